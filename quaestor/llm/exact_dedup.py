@@ -36,41 +36,44 @@ def _winner() -> Column:
     return F.struct((-F.col("len")).alias("neg"), F.col("doc_id").isNull().alias("noid"), F.col("doc_id").alias("id"), F.col("sha").alias("sha"))
 
 
-def flush(digested: DataFrame, index: str) -> None:
-    """One memtable for each task: its digests, summed up, as a sorted run of the index."""
-    mem = digested.groupBy("digest", F.spark_partition_id().alias("run")).agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("n"))
-    mem.select("digest", "best", "n").sortWithinPartitions("digest").write.mode("append").options(**BLOOM).option("compression", "zstd").parquet(index)
+def flush(docs: DataFrame, index: str, digest_bytes: int = 32) -> None:
+    """Each task's memtable goes to the index as a run: a file sorted by digest, with a filter."""
+    digests(docs, digest_bytes).sortWithinPartitions("digest").write.mode("append").options(**BLOOM).option("compression", "zstd").parquet(index)
+
+
+RUN = "doc_id long, len int, sha string, digest binary"
 
 
 def compact(spark: SparkSession, index: str) -> DataFrame:
-    """All runs merged into one level; returns digest, best, n."""
-    merged = spark.read.parquet(index).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    """All runs merged into one sorted level, of the smallest entry and the row count of each digest."""
+    merged = spark.read.schema(RUN).parquet(index).groupBy("digest").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("n"))
     level = scratch(spark)
     merged.sortWithinPartitions("digest").write.options(**BLOOM).option("compression", "zstd").parquet(level)
-    return spark.read.parquet(level)
+    return spark.read.schema(merged.schema).parquet(level)
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    rows = cut(digests(docs, digest_bytes))
     index = scratch(spark)
-    flush(rows, index)
+    flush(docs, index, digest_bytes)
+    rows = spark.read.schema(RUN).parquet(index)
     level = compact(spark, index)
     # Hits: digests of more than one row. Only their texts are read again, for the comparison of bytes.
-    hits = level.where("n > 1").select("digest", F.col("best.sha").alias("best_sha"), F.col("best.neg").alias("best_neg"), F.col("best.id").alias("best_id"))
+    hits = level.where("n > 1").select("digest", F.col("best.sha").alias("best_sha"), (-F.col("best.neg")).alias("best_len"), F.col("best.id").alias("best_id"))
     norm = normalised(text_of())
     again = own_columns(docs, "doc_id", "text").select("doc_id", F.length(text_of()).alias("len"), norm.alias("norm"), F.sha2(norm.cast("binary"), 256).alias("sha"))
     again = again.withColumn("digest", F.substring(F.unhex("sha"), 1, digest_bytes))
-    member = cut(again.join(hits.select("digest", "best_sha"), "digest"))
-    held = cut(member.where("sha = best_sha").groupBy("digest").agg(F.max("norm").alias("held")))
-    seen = member.join(held, "digest", "left").select("digest", "sha", "doc_id", "len", F.col("norm").eqNullSafe(F.col("held")).alias("same"), F.when(~F.col("norm").eqNullSafe(F.col("held")), F.col("norm")).alias("other"))
+    wins = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("len") == F.col("best_len")) & (F.col("sha") == F.col("best_sha"))
+    member = cut(again.join(hits, "digest").select("digest", "sha", "doc_id", "len", "norm", wins.alias("wins")))
+    held = cut(member.where("wins").select("digest", F.col("norm").alias("held")).dropDuplicates(["digest"]))
+    same = F.col("norm") == F.col("held")
+    seen = member.join(held, "digest").select("digest", "sha", "doc_id", "len", F.when(~same, F.col("norm")).alias("other"))
     # What only shares the digest is grouped by its whole text.
-    split = cut(seen.groupBy("digest", "sha", "same", "other").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "sha", "best", "n"))
+    split = seen.groupBy("digest", "sha", "other").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "sha", "best", "n")
     found = level.where("n = 1").select("digest", F.col("best.sha").alias("sha"), "best", "n").unionByName(split)
-    found = cut(found.select(F.col("digest"), F.col("sha"), F.col("best.id").alias("keep_id"), F.col("best.neg").alias("neg"), F.col("n").alias("group_size")))
-    out = rows.join(found, ["digest", "sha"])
-    return _mark(out)
+    found = cut(found.select("digest", "sha", F.col("best.id").alias("keep_id"), F.col("best.neg").alias("neg"), F.col("n").alias("group_size")))
+    return _mark(rows.join(found, ["digest", "sha"]))
 
 
 def _mark(out: DataFrame) -> DataFrame:
