@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, sharding
+from . import exact_dedup, mixing, pieces, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_source_schedule": mixing.op6_source_schedule,
+        "op9_piece_backtracking": pieces.op9_piece_backtracking,
         "op10_entropy_secrets": secrets.op10_entropy_secrets,
     }
 

@@ -31,6 +31,9 @@ BASE = {
 }
 
 
+NEEDS = {"assign": ":=", "access": "K"}
+
+
 @dataclass(frozen=True)
 class EntropyClass:
     kind: str
@@ -44,10 +47,16 @@ CLASSES = (EntropyClass("entropy64", r"()([A-Za-z0-9+/_=-]{20,})", 20, 3.87), En
 ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*[0-9]{0,4}$", r"(?i)example|placeholder|dummy|sample|xxxx|0000|1234567")
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    """The text cut at the pattern's matches: every second piece is a match, as prefix, mark, rest."""
+def pieces(text: Column, pattern: str, needs: str = "") -> Column:
+    """The text cut at the pattern's matches: every second piece is a match, as prefix, mark, rest.
+
+    needs: every match has one of these characters; other texts are not searched.
+    """
     clean = F.when((F.instr(text, "\x01") > 0) | (F.instr(text, "\x02") > 0), F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
-    return F.split(F.regexp_replace(clean, pattern, "\x01$1\x02$2\x01"), "\x01", -1)
+    marked = F.regexp_replace(clean, pattern, "\x01$1\x02$2\x01")
+    if needs:
+        marked = F.when(_any([F.contains(text, F.lit(c)) for c in needs]), marked).otherwise(clean)
+    return F.split(marked, "\x01", -1)
 
 
 def _let(value: Column, body) -> Column:
@@ -132,7 +141,7 @@ def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: tu
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     d = own_columns(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
     patterns = {**{k: p for k, (p, _) in BASE.items()}, **{c.kind: c.pattern for c in classes}}
-    d = d.select("doc_id", *[pieces(F.col("text"), p).alias(f"p_{k}") for k, p in patterns.items()])
+    d = d.select("doc_id", *[pieces(F.col("text"), p, NEEDS.get(k, "")).alias(f"p_{k}") for k, p in patterns.items()])
     d = d.select("doc_id", *[spans(F.col(f"p_{k}")).alias(f"s_{k}") for k in patterns])
     lists = [F.coalesce(_fixed(F.col(f"s_{k}"), n, least), none).alias(k) for n, (k, (_, least)) in enumerate(BASE.items())]
     lists += [F.coalesce(_entropic(F.col(f"s_{c.kind}"), n, c, allow), none).alias(c.kind) for n, c in enumerate(classes, len(BASE))]
@@ -175,11 +184,11 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3)
 ), m AS (SELECT doc_id, kind, upto - n AS start, upto AS stop, string_split(p, chr(2))[2] AS tail FROM q WHERE i % 2 = 0 AND length(string_split(p, chr(2))[2]) >= least
 ), b AS (SELECT doc_id, kind, start, stop FROM m WHERE kind < {len(BASE)}
 ), w0 AS ({windows}
-), w1 AS (SELECT *, unnest(range(0, length(tail) - w + 1)) AS at FROM w0
-), w2 AS (SELECT *, unnest(string_split(substr(tail, at + 1, w), '')) AS ch FROM w1
-), w3 AS (SELECT doc_id, kind, start, at, w, bits, ch, count(*) AS n FROM w2 WHERE ch <> '' GROUP BY ALL
-), w4 AS (SELECT doc_id, kind, start, at, w FROM w3 GROUP BY doc_id, kind, start, at, w, bits HAVING sum(n * log2(n)) <= (log2(w) - bits) * w
-), x AS (SELECT doc_id, kind, start + min(at) AS start, start + max(at) + w AS stop FROM w4 GROUP BY doc_id, kind, w4.start, w
+), w1 AS (SELECT *, unnest(range(0, length(tail) - w + 1)) AS pos FROM w0
+), w2 AS (SELECT *, unnest(string_split(substr(tail, pos + 1, w), '')) AS ch FROM w1
+), w3 AS (SELECT doc_id, kind, start, pos, w, bits, ch, count(*) AS n FROM w2 WHERE ch <> '' GROUP BY ALL
+), w4 AS (SELECT doc_id, kind, start, pos, w FROM w3 GROUP BY doc_id, kind, start, pos, w, bits HAVING sum(n * log2(n)) <= (log2(w) - bits) * w
+), x AS (SELECT doc_id, kind, start + min(pos) AS start, start + max(pos) + w AS stop FROM w4 GROUP BY doc_id, kind, w4.start, w
 ), a AS (SELECT * FROM b UNION ALL SELECT * FROM x
 ), g AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
