@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, secrets, sharding
+from . import exact_dedup, language_id, mixing, pieces, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_hyperdimensional": language_id.op5_hyperdimensional,
         "op6_source_schedule": mixing.op6_source_schedule,
+        "op8_deobfuscation": toxicity.op8_deobfuscation,
         "op9_piece_backtracking": pieces.op9_piece_backtracking,
         "op10_entropy_secrets": secrets.op10_entropy_secrets,
     }

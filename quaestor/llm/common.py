@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +18,19 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, unless they find it by the path they inherit."""
+    package = Path(__file__).resolve().parent.parent
+    inherited = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(package.parent) in inherited or spark.conf.get("spark.quaestor.shipped", None) == spark.sparkContext.applicationId:
+        return
+    folder = tempfile.mkdtemp()
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    spark.conf.set("spark.quaestor.shipped", spark.sparkContext.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
