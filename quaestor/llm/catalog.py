@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, mixing, pieces, secrets, sharding, toxicity
+from . import exact_dedup, language_id, minhash, mixing, neighbours, pieces, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_hyperdimensional": language_id.op5_hyperdimensional,
         "op6_source_schedule": mixing.op6_source_schedule,
+        "op7_hilbert_curves": neighbours.op7_hilbert_curves,
         "op8_deobfuscation": toxicity.op8_deobfuscation,
         "op9_piece_backtracking": pieces.op9_piece_backtracking,
         "op10_entropy_secrets": secrets.op10_entropy_secrets,
