@@ -1,15 +1,72 @@
-"""The corpus pipeline: stages of the training-data operators, each over all that the one before kept."""
+"""The corpus pipeline: five training-data operators, each over all that the one before kept.
+
+Decisions follow ids: where rows share an id, a stage keeps or drops them together, but for exact copies of a row, of
+which one stays. Null ids are kept and dropped like any id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaestor.llm import exact_dedup, language_id, minhash, mixing, pieces
+from quaestor.llm.common import cut, remainder, ship, text_of
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _of(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; a missing language is filled in."""
+    docs = _of(docs)
+    learn = docs.select("doc_id", "text", "lang").where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    seen = language_id.predict(docs, *language_id.prototypes(learn), keep=COLUMNS)
+    return seen.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    docs = _of(docs)
+    stay = cut(exact_dedup.exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n"))
+    own = docs.withColumn("_own", F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    once = own.join(stay.where("n = 1"), same, "left_semi").select(*COLUMNS)
+    again = own.join(stay.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
+    return once.unionByName(again)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates one stays."""
+    docs = _of(docs)
+    stay = cut(minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document comes as often as the mix takes its words, rounded: never, once or twice."""
+    docs = _of(docs)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    taken = cut(mixing.mix(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("times")).where("times > 0"))
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's tokens: number and digest of the ids, digest of the decoded text."""
+    return pieces.digest_column(_of(docs), pieces.default_model())
+
 
-STAGES: list = []
+STAGES = [("language identification", language), ("exact dedup", exact), ("near dedup", near), ("source mixture", mixture), ("piece encoding", encoded)]
+#: Band hashes and piece encoding are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if n == 0 else cut(docs), sf_dir)
     return docs

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, mixing, neighbours, pieces, secrets, sharding, toxicity
+from . import exact_dedup, interpolation, language_id, minhash, mixing, neighbours, pieces, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bag_minhash": minhash.op1_bag_minhash,
+        "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_hyperdimensional": language_id.op5_hyperdimensional,

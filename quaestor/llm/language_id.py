@@ -130,7 +130,7 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of each row, lang_pred and score."""
-    dim = protos.shape[1]
+    dim, column = protos.shape[1], "text" if "text" in keep else "_text"
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tup
         sp = space(dim)
         for b in batches:
             langs, scores = [], []
-            for _, texts in _parts(b, "_text"):
+            for _, texts in _parts(b, column):
                 grams, c, letters = sp.counts(texts)
                 if not languages or not len(grams):
                     langs += ["und"] * len(texts)
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tup
                 scores += [float(min(1.0, max(0.0, cos[i, k]))) if letters[i] else 0.0 for i, k in enumerate(best)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    d = docs.select(*[F.col(k) for k in keep], F.col("text").alias("_text"))
+    d = docs.select(*[F.col(k) for k in keep], *([] if "text" in keep else [F.col("text").alias(column)]))
     types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return d.mapInArrow(run, f"{types}, lang_pred string, score double")
 
