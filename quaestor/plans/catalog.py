@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, graph, search
+from . import documents, evaluation, graph, search, service
 
-ALL = {**search.QUERIES, **graph.QUERIES, **evaluation.QUERIES}
+ALL = {**search.QUERIES, **graph.QUERIES, **evaluation.QUERIES, **service.QUERIES, **documents.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
