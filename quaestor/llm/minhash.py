@@ -7,8 +7,9 @@ the interval that binary splitting finds; a weight takes the points below it; a
 A process stops where no component can get earlier, so that a text costs its distinct shingles and a constant.
 
 Texts of equal words collapse to one node first. Nodes that share a band (ROWS components) are candidates: first each
-with the band's smallest node; verified links give components; then all candidates in different components, but for those
-that the exact length bound or the signatures' one-bit sketch rule out. A link is a pair whose overlap (sum of the smaller
+with the band's most central node; verified links give components; then candidates in different components. Two exact
+bounds come before texts are compared: sizes, and parity sketches (each shingle flips one of 1024 bits, so that two texts'
+sketches differ in no more bits than the texts in shingles). A link is a pair whose overlap (sum of the smaller
 counts over the sum of the larger) is THRESHOLD or more. BANDS bands miss a pair at the threshold with probability 5e-5.
 
 Defined results: null texts count as empty; texts without words are one class; rows that repeat are in one class; a null
@@ -28,8 +29,8 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 COMPONENTS, BANDS, ROWS = 128, 25, 5
-#: Equal bits of two one-bit sketches: at the threshold 115 of 128 expected; fewer than this has probability 1e-5.
-SAME_BITS = 96
+#: Longs of a parity sketch: 64 bits each.
+SKETCH = 16
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,23 +105,39 @@ def _run(h, doc, seed, w, until, lower, size) -> None:
         doc, seed, w, t, j = doc[alive], seed[alive], w[alive], at[alive, -1], j + step
 
 
+def parities(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Parity sketch of each bag: a bit for each of 64 * SKETCH cells, flipped by each occurrence of each shingle."""
+    n = 64 * SKETCH
+    counts = np.concatenate([w for _, w in bags]) if bags else np.empty(0, np.int64)
+    d = np.repeat(np.concatenate([d for d, _ in bags]) if bags else np.empty(0, np.uint64), counts)
+    nth = np.arange(len(d)) - np.repeat(np.cumsum(counts) - counts, counts)
+    doc = np.repeat(np.arange(len(bags)), [int(w.sum()) for _, w in bags])
+    with np.errstate(over="ignore"):
+        cell = (mix(d + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) % np.uint64(n)).astype(np.int64)
+    odd = np.bincount(doc * n + cell, minlength=len(bags) * n) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, n), axis=1).view(np.int64)
+
+
 def sketches(texts, ids):
-    """Rows of (id, prints, size, sketch bits, bands) of an Arrow string array, pack by pack."""
+    """Rows of (id, prints, size, parity sketch, bands) of an Arrow string array, pack by pack."""
     import pyarrow as pa
 
     for a, b, raw, ends in packs(texts):
         lists, prints = shingles(raw, ends)
-        h = bag_minhash([np.unique(s, return_counts=True) for s in lists]).view(np.uint64)
+        bags = [np.unique(s, return_counts=True) for s in lists]
+        h = bag_minhash(bags).view(np.uint64)
         with np.errstate(over="ignore"):
-            bits = np.packbits((mix(h) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             key = np.zeros((len(lists), BANDS), np.uint64)
             for r in range(ROWS):
                 key = mix(key * GOLD + h[:, r : BANDS * ROWS : ROWS])
             key = mix(key + np.arange(BANDS, dtype=np.uint64) * GOLD)
         sizes = [len(s) for s in lists]
         bands = [k if n else [] for k, n in zip(key.view(np.int64).tolist(), sizes, strict=True)]
-        p = prints.view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(p[0]), pa.array(p[1]), pa.array(sizes, pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "p0", "p1", "n", "b0", "b1", "bands"])
+        p, bits = prints.view(np.int64), parities(bags)
+        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(p[0]), pa.array(p[1]), pa.array(sizes, pa.int64()), *[pa.array(bits[:, k]) for k in range(SKETCH)], pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "p0", "p1", "n", *BITS, "bands"])
+
+
+BITS = tuple(f"s{k}" for k in range(SKETCH))
 
 
 def _id_type(docs: DataFrame) -> str:
@@ -132,7 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield from sketches(b.column("text"), b.column("doc_id"))
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, p0 long, p1 long, n long, b0 long, b1 long, bands array<long>")
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, p0 long, p1 long, n long, {', '.join(f'{k} long' for k in BITS)}, bands array<long>")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -181,24 +198,31 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
 
 
 def _possible(a: str, b: str, threshold: float):
-    """What a pair of similarity `threshold` fulfils: sizes exactly, sketches but for a probability of 1e-5."""
-    sizes = (F.col(f"{a}.n") >= threshold * F.col(f"{b}.n")) & (F.col(f"{b}.n") >= threshold * F.col(f"{a}.n"))
-    other = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1")))
-    return sizes & (other <= COMPONENTS - SAME_BITS)
+    """What every pair of similarity `threshold` fulfils: bounds by sizes and by parity sketches, both exact."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in BITS[1:]), F.bit_count(F.col(f"{a}.{BITS[0]}").bitwiseXOR(F.col(f"{b}.{BITS[0]}"))))
+    return (x >= threshold * y) & (y >= threshold * x) & (apart <= (1 - threshold) / (1 + threshold) * (x + y) + 1e-6)
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their node; nodes; verified links between nodes, which connect all that candidates connect."""
     rows = cut(signed(docs))
-    one = rows.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+    one = rows.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), *[F.first(k).alias(k) for k in ("n", *BITS)])
     one = cut(one.withColumn("node", F.monotonically_increasing_id()))
     rows = rows.select("doc_id", "p0", "p1", "bands")
-    bands = rows.where("size(bands) > 0").join(one, (rows.p0 == one.p0) & (rows.p1 == one.p1) & rows.doc_id.eqNullSafe(one.rep)).select("node", "n", "b0", "b1", "bands").dropDuplicates(["node"])
-    in_band = cut(bands.select("node", "n", "b0", "b1", F.explode("bands").alias("bucket")))
-    shared = cut(in_band.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    bands = rows.where("size(bands) > 0").join(one, (rows.p0 == one.p0) & (rows.p1 == one.p1) & rows.doc_id.eqNullSafe(one.rep)).select("node", "bands").dropDuplicates(["node"])
+    in_band = cut(bands.select("node", F.explode("bands").alias("bucket")))
+    # A bucket's leader is its most central node: the one whose buckets are largest, as an original's among its copies.
+    sizes = cut(in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    in_band = cut(in_band.join(sizes, "bucket"))
+    central = cut(in_band.groupBy("node").agg(F.sum("k").alias("central")))
+    in_band = cut(in_band.drop("k").join(central, "node"))
+    lead = in_band.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("n"))).alias("m"))
+    shared = cut(lead.select("bucket", (-F.col("m.n")).alias("leader")))
+    in_band = in_band.drop("central")
     in_band = cut(in_band.join(shared, "bucket"))
     first = in_band.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    of = one.select("node", "n", "b0", "b1")
+    of = one.select("node", "n", *BITS)
     x, y = of.alias("x"), of.alias("y")
     first = cut(first.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_possible("x", "y", threshold)).select("a", "b"))
     sure = verified(docs, one, first, threshold)
@@ -206,7 +230,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     label = components(sure)
     now = cut(in_band.drop("leader").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     lead = cut(now.groupBy("bucket").agg(F.min("label").alias("lead"), F.max("label").alias("last")).where("lead <> last").drop("last"))
-    mixed = cut(now.join(lead, "bucket"))
+    mixed = cut(now.join(lead, "bucket").join(of, "node"))
     x, y = mixed.where("label <> lead").alias("x"), mixed.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node"))) & _possible("x", "y", threshold)
     second = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
