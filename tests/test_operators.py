@@ -164,3 +164,59 @@ def test_limiter_rejections_do_not_count(spark, tmp_path):
     got = streams.drained(streams.limited(streams.source(spark, str(tmp_path), "events"), 2, 60.0)).orderBy("event_id").collect()
     assert [r.allowed for r in got] == [True, True, False, True, True, False, True, True]
     assert got[2].retry_after == 10
+
+
+def test_context_budget_and_passages(spark):
+    from quaestor.operators import context
+
+    s = spark.createDataFrame([(1, k, "x" * 50) for k in range(6)], "g long, o long, text string")
+    assert [len(r.text) for r in context.bounded(s, "g", "o", 310).orderBy("o").collect()] == [50, 50, 50]
+    rows = "\n".join(f"TABLE ROW item {k} | 2025: {k}" for k in range(40))
+    got = context.passages(rows + "\n\nSafe harbor: forward-looking statements")
+    assert "\n".join(got) == rows and all(len(p) <= 450 for p in got)
+    assert context.passages("") == [] and all(len(p) <= 450 for p in context.passages("word " * 400))
+    q = spark.createDataFrame([("net  revenue\nrose 5%", "The net revenue rose 5% in May"), ("net revenue rose 6%", "net revenue rose 5%"), ("", "x")], "quote string, text string")
+    assert [r.found for r in context.quoted(q).collect()][:2] == ["net revenue rose 5%", None]
+
+
+def test_engines_and_answers(spark):
+    from quaestor.functions import models
+    from quaestor.operators import engines
+
+    chunks = spark.createDataFrame([("a", "d1", "Acme revenue rose to 5 million in 2025"), ("b", "d1", "Beta hired a chairman"), ("c", "d2", "weather was fine")], "chunk_id string, doc_id string, text string").withColumn("vec", models.embed(F.col("text")))
+    edges = spark.createDataFrame([("Acme", "Beta", "owns", "b"), ("X", "Y", "is", "c")], "src string, dst string, predicate string, chunk_id string")
+    values = spark.createDataFrame([("Acme", "revenue", "5 million", "a")], "node string, predicate string, value string, chunk_id string")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    communities = spark.createDataFrame([(0, 0, ["X", "Y"], "weather themes"), (1, 0, ["Acme", "Beta"], "companies")], "community long, level int, members array<string>, summary string")
+    corpus = engines.Corpus(chunks, nodes, edges, values, communities)
+    q = spark.createDataFrame([(1, "What was the revenue of Acme in 2025?", ["Acme"]), (2, "What are the overall weather themes?", [])], "question_id long, question string, entities array<string>")
+    got = {}
+    for r in engines.evidence(q, corpus).orderBy("engine", "question_id", "rank").collect():
+        got.setdefault((r.engine, r.question_id), []).append(r.chunk_id)
+    assert got["hybrid_rag", 1][0] == "a" and got["vector_rag", 1][0] == "a" and set(got["graphrag", 1]) == {"a", "b"}
+    assert "c" in got["graphrag", 2]
+    prompts = spark.createDataFrame([(1, "Acme revenue rose. Beta fell.", "what about Beta?"), (2, "", "x")], "question_id long, context string, question string")
+    assert {r.question_id: r.answer for r in models.answer(prompts, models.Extractive()).collect()} == {1: "Beta fell.", 2: models.NOTHING}
+
+
+def test_state(spark, tmp_path):
+    from quaestor.sources import filings, state
+
+    a, b = "a" * 16, "b" * 16
+    state.save(spark.createDataFrame([(1,)], "x long"), f"{tmp_path}/t", a)
+    state.save(spark.createDataFrame([(2,)], "x long"), f"{tmp_path}/t", b)
+    state.save(spark.createDataFrame([(3,)], "x long"), f"{tmp_path}/t", a)
+    assert [r.x for r in state.load(spark, f"{tmp_path}/t", a).collect()] == [3] and [r.x for r in state.load(spark, f"{tmp_path}/t", b).collect()] == [2]
+    with pytest.raises(ValueError):
+        state.save(spark.range(1), f"{tmp_path}/t", "../x")
+    good = '{"question_id": "q", "split": "train", "context": [1,1,1,1,1,1,1,1], "reward_graphrag": 0.5, "reward_vector_rag": 1, "reward_hybrid_rag": 0, "signature": "s"}'
+    (tmp_path / "r.jsonl").write_text(good + "\n")
+    assert state.rewards(spark, str(tmp_path / "r.jsonl")).count() == 1
+    (tmp_path / "r2.jsonl").write_text(good + "\n" + good.replace("0.5", "1.5") + "\n")
+    with pytest.raises(ValueError):
+        state.rewards(spark, str(tmp_path / "r2.jsonl"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.txt").write_text("two")
+    (tmp_path / "in" / "a.md").write_text("one")
+    (tmp_path / "in" / "c.bin").write_text("no")
+    assert [(r.doc_id, r.text) for r in filings.folder(spark, str(tmp_path / "in")).collect()] == [("a", "one"), ("b", "two")]
