@@ -43,9 +43,11 @@ class Space:
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
         """Bound n-gram vectors, one row each."""
-        out = self.rolled[0][grams // SYMBOLS**2].copy()
-        out *= self.rolled[1][grams // SYMBOLS % SYMBOLS]
-        out *= self.rolled[2][grams % SYMBOLS]
+        out = np.empty((len(grams), self.dim), np.float32)
+        for at in range(0, len(grams), 1024):  # little beside the result
+            g = grams[at : at + 1024]
+            np.multiply(self.rolled[0][g // SYMBOLS**2], self.rolled[1][g // SYMBOLS % SYMBOLS], out=out[at : at + 1024])
+            out[at : at + 1024] *= self.rolled[2][g % SYMBOLS]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

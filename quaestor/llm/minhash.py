@@ -31,6 +31,8 @@ WORDS, THRESHOLD = 5, 0.8
 COMPONENTS, BANDS, ROWS = 128, 25, 5
 #: Longs of a parity sketch: 64 bits each.
 SKETCH = 16
+#: Points that are drawn at a time: what a worker's memory holds.
+POINTS = 1 << 19
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +97,7 @@ def _run(h, doc, seed, w, until, lower, size) -> None:
     m = COMPONENTS
     t, j = np.zeros(len(seed)), 0
     while len(seed):
-        step = 1 if j < 3 else 64
+        step = 1 if j < 3 else max(1, min(64, POINTS // len(seed)))
         wait, component, u = _points(seed[:, None], size * m, np.arange(j, j + step, dtype=np.uint64)[None, :])
         at = t[:, None] + np.cumsum(wait, axis=1)
         ok = (at <= until[doc][:, None]) & (lower + np.floor(u * size) < w[:, None])
@@ -122,7 +124,7 @@ def sketches(texts, ids):
     """Rows of (id, prints, size, parity sketch, bands) of an Arrow string array, pack by pack."""
     import pyarrow as pa
 
-    for a, b, raw, ends in packs(texts):
+    for a, b, raw, ends in packs(texts, 2048, 1 << 19):
         lists, prints = shingles(raw, ends)
         bags = [np.unique(s, return_counts=True) for s in lists]
         h = bag_minhash(bags).view(np.uint64)

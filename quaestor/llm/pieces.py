@@ -165,11 +165,11 @@ class Codec:
 
     # -- texts
 
-    def _segment(self, s: str) -> tuple[str, int, str]:
-        """Ids of one segment, joined by commas; their number; the decoded segment."""
+    def _segment(self, s: str) -> tuple[str, int, str | None]:
+        """Ids of one segment, joined by commas; their number; the decoded segment, None if its pieces spell it as it is."""
         if self.chars.issuperset(s):
             ids = self.encode_run(s)
-            return ",".join([self.digits[i] for i in ids]), len(ids), s.replace(SPACE, " ")
+            return ",".join([self.digits[i] for i in ids]), len(ids), None
         ids: list[int] = []
         known: list[str] = []
 
@@ -230,7 +230,9 @@ class Codec:
                     memory[s] = x
             got.append(x)
         ids, numbers, texts = zip(*got, strict=True)
-        return ",".join(ids), sum(numbers), "".join(texts)[1:]
+        plain = texts.count(None) == len(texts)
+        text = "".join(parts) if plain else "".join([p if t is None else t for p, t in zip(parts, texts, strict=True)])
+        return ",".join(ids), sum(numbers), text.replace(SPACE, " ")[1:]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.run(text)[0]
