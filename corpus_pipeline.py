@@ -30,19 +30,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
     docs = _of(docs)
-    stay = cut(exact_dedup.exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n"))
-    own = docs.withColumn("_own", F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    once = own.join(stay.where("n = 1"), same, "left_semi").select(*COLUMNS)
-    again = own.join(stay.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
-    return once.unionByName(again)
+    own = docs.withColumn("_own", F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256)).withColumn("_len", F.length(text_of()))
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")) & (F.col("_len") == F.col("_n"))
+    found = exact_dedup.exact_dedup(docs, keep_length=True).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("len").alias("_n"), "kept").agg(F.count(F.lit(1)).alias("rows"))
+    # What goes is less than what stays: an anti-join with it leaves most texts where they are.
+    found = cut(found.where("NOT kept OR rows > 1"))
+    again = own.join(found.where("kept"), key, "left_semi").dropDuplicates(["doc_id", "_own"])
+    return own.join(found, key, "left_anti").unionByName(again).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one stays."""
     docs = _of(docs)
-    stay = cut(minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Ids that stay in one row and go in another stay.
+    ids = minhash.near_dedup(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
+    gone = cut(ids.where("NOT kept").select("_id"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _of(docs)
     times = F.floor(F.col("taken") / F.col("size") + 0.5)
     taken = cut(mixing.mix(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("times")).where("times > 0"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # As many ids as documents: they are joined by shuffle at any size.
+    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 

@@ -52,8 +52,8 @@ def compact(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.schema(merged.schema).parquet(level)
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, digest_bytes: int = 32, keep_length: bool = False) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, and with keep_length its code points, len."""
     spark = docs.sparkSession
     index = scratch(spark)
     flush(docs, index, digest_bytes)
@@ -73,13 +73,13 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     split = seen.groupBy("digest", "sha", "other").agg(F.min(_winner()).alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "sha", "best", "n")
     found = level.where("n = 1").select("digest", F.col("best.sha").alias("sha"), "best", "n").unionByName(split)
     found = cut(found.select("digest", "sha", F.col("best.id").alias("keep_id"), F.col("best.neg").alias("neg"), F.col("n").alias("group_size")))
-    return _mark(rows.join(found, ["digest", "sha"]))
+    return _mark(rows.join(found, ["digest", "sha"]), ("len",) if keep_length else ())
 
 
-def _mark(out: DataFrame) -> DataFrame:
+def _mark(out: DataFrame, more: tuple[str, ...]) -> DataFrame:
     """Of rows that repeat the winner's id and length, all are the winner; the contract's ids are unique."""
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == -F.col("neg"))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), *more)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
