@@ -1,9 +1,26 @@
-"""Reading the engine's tables."""
+"""Reading the engine's tables, and sending the package to the executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, unless they find it by the path they inherit."""
+    package = Path(__file__).resolve().parent.parent
+    inherited = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(package.parent) in inherited or spark.conf.get("spark.quaestor.shipped", None) == spark.sparkContext.applicationId:
+        return
+    folder = tempfile.mkdtemp()
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    spark.conf.set("spark.quaestor.shipped", spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
