@@ -123,7 +123,7 @@ QUERIES = {
     "communities": (communities, None),
     "numeric_score": (numeric_score, "SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 0.0 ELSE 5.0 END AS score FROM events"),
     "judge_scores": (judge_scores, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN user_id % 8 <= 5 THEN (user_id % 8)::DOUBLE END WHEN 3 THEN 3.5 WHEN 4 THEN (user_id % 6)::DOUBLE END AS score FROM events"),
-    "stream_window_metrics": (stream_window_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL"),
+    "stream_window_metrics": (stream_window_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY ALL"),
     "stream_sessions": (
         stream_sessions,
         "WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS new FROM events), s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",

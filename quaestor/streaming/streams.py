@@ -34,11 +34,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{path}/out")  # each batch has the whole result
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/log").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def _stamped(events: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _stamped(events: DataFrame) -> DataFrame:
 def window_metrics(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:
     """Requests, errors and mean latency of each window and type; complete output, so late rows within `late` count."""
     g = _stamped(events).withWatermark("at", late).groupBy(F.window("at", length).alias("w"), "event_type")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
