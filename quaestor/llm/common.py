@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -66,6 +67,31 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+# ---- what a Python worker keeps between tasks ----------------------------------------------------------------------
+
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str, forget: Callable[[], None]) -> None:
+    """A worker, which serves many tasks, keeps what one operator remembers: at another's first task the rest goes."""
+    others = [name for name in _remembered if name != operator]
+    for name in others:
+        _remembered.pop(name)()
+    _remembered[operator] = forget
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; where the C library can't, it stays with the worker."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---- vectorised hashing of words over UTF-8 bytes ------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

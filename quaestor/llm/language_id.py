@@ -20,12 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, read, remainder
+from .common import give_back, only, own_columns, read, remainder
 
 DIM, N, SYMBOLS = 1024, 3, 128
 #: Languages at most: prototypes are LANGUAGES * DIM numbers at the driver.
 LANGUAGES = 2000
 ROWS, CHARS = 256, 1 << 20
+#: Counts (texts times n-grams) and n-gram vectors that are held at a time.
+CELLS, BLOCK = 1 << 22, 2048
 
 
 class Space:
@@ -43,15 +45,20 @@ class Space:
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
         """Bound n-gram vectors, one row each."""
-        out = np.empty((len(grams), self.dim), np.float32)
-        for at in range(0, len(grams), 1024):  # little beside the result
-            g = grams[at : at + 1024]
-            np.multiply(self.rolled[0][g // SYMBOLS**2], self.rolled[1][g // SYMBOLS % SYMBOLS], out=out[at : at + 1024])
-            out[at : at + 1024] *= self.rolled[2][g % SYMBOLS]
+        out = self.rolled[0][grams // SYMBOLS**2]
+        out *= self.rolled[1][grams // SYMBOLS % SYMBOLS]
+        out *= self.rolled[2][grams % SYMBOLS]
         return out
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n-grams of the texts, their counts (texts x n-grams), and whether a text has a letter."""
+    def bundle(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each row of weights the weighted sum of the n-grams' vectors."""
+        out = np.zeros((len(weights), self.dim), np.float32)
+        for at in range(0, len(grams), BLOCK):
+            out += weights[:, at : at + BLOCK] @ self.vectors(grams[at : at + BLOCK])
+        return out
+
+    def keys(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """n-grams of each text with repeats, distinct n-grams of all, and whether a text has a letter."""
         keys, letters = [], np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
             s = self.symbol[np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -59,16 +66,20 @@ class Space:
             s = np.concatenate(([0], s, [0])).astype(np.int32)
             s = s[np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0)))]  # runs of spaces become one
             keys.append((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:] if len(s) >= N else np.empty(0, np.int32))
-        everything = np.concatenate(keys) if keys else np.empty(0, np.int32)
         seen = np.zeros(SYMBOLS**N, bool)
-        seen[everything] = True
-        grams = np.flatnonzero(seen)
+        for k in keys:
+            seen[k] = True
+        return keys, np.flatnonzero(seen), letters
+
+    def table(self, keys: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
+        """Counts, texts x n-grams."""
         self.place[grams] = np.arange(len(grams))
-        c = np.zeros((len(texts), max(1, len(grams))), np.float32)
-        for i, k in enumerate(keys):
-            if len(k):
-                c[i, : len(grams)] = np.bincount(self.place[k], minlength=len(grams))
-        return grams, c[:, : len(grams)], letters
+        return np.stack([np.bincount(self.place[k], minlength=len(grams)).astype(np.float32) for k in keys]) if keys else np.zeros((0, len(grams)), np.float32)
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n-grams of the texts, their counts (texts x n-grams), and whether a text has a letter."""
+        keys, grams, letters = self.keys(texts)
+        return grams, self.table(keys, grams), letters
 
 
 _space: dict[int, Space] = {}
@@ -92,24 +103,33 @@ def _parts(batch, column: str = "text") -> Iterator[tuple[int, list[str]]]:
         at = end
 
 
+def _profiles(sp: Space, batch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, n-grams, counts and letters of few texts at a time: CELLS counts, or one text."""
+    for at, texts in _parts(batch, column):
+        keys, grams, letters = sp.keys(texts)
+        step = max(1, CELLS // max(1, len(grams)))
+        for k in range(0, len(texts), step):
+            yield at + k, grams, sp.table(keys[k : k + step], grams), letters[k : k + step]
+
+
 def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes of length 1. docs: text, lang of the training rows."""
 
     def bundle(batches):
         import pyarrow as pa
 
+        only("language", _space.clear)
         sp, total = space(dim), {}
         for b in batches:
             langs = b.column("lang").to_pylist()
-            for at, texts in _parts(b):
-                grams, c, letters = sp.counts(texts)
+            for at, grams, c, letters in _profiles(sp, b):
                 if not len(grams):
                     continue
                 c /= np.maximum(c.sum(axis=1, keepdims=True), 1)
-                own = langs[at : at + len(texts)]
+                own = langs[at : at + len(c)]
                 codes = sorted({x for x, y in zip(own, letters, strict=True) if y})
                 sums = np.stack([c[[x == k and bool(y) for x, y in zip(own, letters, strict=True)]].sum(axis=0) for k in codes]) if codes else np.empty((0, len(grams)))
-                for k, v in zip(codes, sums.astype(np.float32) @ sp.vectors(grams), strict=True):
+                for k, v in zip(codes, sp.bundle(grams, sums.astype(np.float32)), strict=True):
                     total[k] = total.get(k, 0) + v.astype(np.float64)
         for k, v in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [k], "salt": [hash(tuple(v[:4])) % 64], "v": [v.tobytes()]}, schema=pa.schema([("lang", pa.string()), ("salt", pa.int32()), ("v", pa.binary())]))
@@ -137,21 +157,22 @@ def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tup
     def run(batches):
         import pyarrow as pa
 
+        only("language", _space.clear)
         sp = space(dim)
         for b in batches:
             langs, scores = [], []
-            for _, texts in _parts(b, column):
-                grams, c, letters = sp.counts(texts)
+            for _, grams, c, letters in _profiles(sp, b, column):
                 if not languages or not len(grams):
-                    langs += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
+                    langs += ["und"] * len(c)
+                    scores += [0.0] * len(c)
                     continue
-                v = c @ sp.vectors(grams)
+                v = sp.bundle(grams, c)
                 cos = (v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 best = cos.argmax(axis=1)
                 langs += [languages[k] if y else "und" for k, y in zip(best, letters, strict=True)]
                 scores += [float(min(1.0, max(0.0, cos[i, k]))) if letters[i] else 0.0 for i, k in enumerate(best)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        give_back()
 
     d = docs.select(*[F.col(k) for k in keep], *([] if "text" in keep else [F.col("text").alias(column)]))
     types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, own_columns, packs, read, text_of, word_hashes
+from .common import cut, give_back, mix, only, own_columns, packs, read, text_of, word_hashes
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -148,6 +148,7 @@ def _id_type(docs: DataFrame) -> str:
 
 def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
+        only("minhash", give_back)
         for b in batches:
             yield from sketches(b.column("text"), b.column("doc_id"))
 

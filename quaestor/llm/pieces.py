@@ -20,7 +20,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import own_columns, read
+from .common import only, own_columns, read
 
 SPACE = "▁"
 #: Segments that a worker remembers at most; then it starts anew.
@@ -94,6 +94,10 @@ class Codec:
         self.compatible = lru_cache(1 << 18)(self._compatible)
         self.memory: dict[str, tuple[str, int, str]] = {}
 
+    def forget(self) -> None:
+        self.memory.clear()
+        self.compatible.cache_clear()
+
     # -- merging, the definition
 
     def merge(self, segment: str) -> list[str]:
@@ -255,6 +259,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         c = codec(path)
+        only("pieces", c.forget)
         for b in batches:
             ids = [c.encode(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -270,6 +275,7 @@ def digest_column(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         c, sha = codec(path), lambda s: hashlib.sha256(s.encode()).hexdigest()
+        only("pieces", c.forget)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
