@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,26 @@ def test_secrets_are_brute_force(spark, docs, empty):
     got = secrets.scan(d).collect()
     assert sorted((str(r.doc_id), str(sorted((s.start, s.kind, s.end) for k in kinds for s in r[k]))) for r in got) == want
     assert secrets.scan(empty).count() == 0
+
+
+def test_workers_keep_one_operators_memory():
+    gone = []
+    common.only("one", lambda: gone.append("one"))
+    common.only("one", lambda: gone.append("one"))
+    assert gone == []
+    common.only("two", lambda: gone.append("two"))
+    assert gone == ["one"]
+
+
+def test_language_counts_in_slices(monkeypatch):
+    texts = ["", "Ab c", "xyz xyz", "abcdefgh " * 50, "1 2 3"]
+    batch = pa.record_batch({"text": pa.array([*texts, None])})
+    sp = language_id.space(64)
+    whole = next(language_id._profiles(sp, batch))
+    monkeypatch.setattr(language_id, "CELLS", 1)
+    monkeypatch.setattr(language_id, "BLOCK", 2)
+    parts = list(language_id._profiles(sp, batch))
+    assert [p[0] for p in parts] == list(range(6))
+    assert np.array_equal(np.vstack([p[2] for p in parts]), whole[2])
+    assert np.array_equal(np.concatenate([p[3] for p in parts]), whole[3])
+    assert np.array_equal(np.vstack([sp.bundle(p[1], p[2]) for p in parts]), whole[2] @ sp.vectors(whole[1]))
