@@ -13,9 +13,13 @@ DIM = 8
 
 def features(nodes: DataFrame) -> DataFrame:
     """One row: share of nodes in two documents or more, recurrence, number of documents, each up to 1. nodes: source_docs."""
-    k = F.size("source_docs")
     docs = nodes.select(F.explode("source_docs").alias("d")).agg(F.countDistinct("d").alias("n_docs"))
-    f = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if(k >= 2).alias("shared"), F.coalesce(F.max(k), F.lit(0)).alias("most"))
+    return counted_features(nodes.select(F.size("source_docs").alias("k")), docs)
+
+
+def counted_features(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The features from counts, without sets of documents. counts: k, the documents of each node; docs: one row, n_docs."""
+    f = counts.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") >= 2).alias("shared"), F.coalesce(F.max("k"), F.lit(0)).alias("most"))
     return f.crossJoin(docs).select((F.col("shared") / F.greatest("n", F.lit(1))).alias("cross_doc_fraction"), F.least(F.col("most") / 10, F.lit(1.0)).alias("recurrence"), F.least(F.col("n_docs") / 10, F.lit(1.0)).alias("num_docs"), "shared", "n_docs")
 
 

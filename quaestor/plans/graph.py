@@ -78,21 +78,25 @@ def node_consolidate(spark, d):
 
 
 def _nodes(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 100 = 1")
-    return li.groupBy(F.col("l_partkey").alias("node")).agg(F.array_sort(F.collect_set("l_orderkey")).alias("source_docs"))
+    """Parts and the number of orders that have them. Repeated pairs fall away before the counts."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.countDistinct("l_orderkey").alias("k"))
+
+
+def _features(spark, d):
+    return router.counted_features(_nodes(spark, d), table(spark, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("n_docs")))
 
 
 def corpus_features(spark, d):
-    f = router.features(_nodes(spark, d))
+    f = _features(spark, d)
     return f.select(*[F.round(c, 6).alias(c) for c in ("cross_doc_fraction", "recurrence", "num_docs")], "shared", "n_docs")
 
 
 def shared_entities(spark, d):
-    return _nodes(spark, d).where(F.size("source_docs") >= 2).select("node", F.size("source_docs").cast("long").alias("n_docs"))
+    return _nodes(spark, d).where("k >= 2").select("node", F.col("k").alias("n_docs"))
 
 
 def corpus_verdict(spark, d):
-    f = router.features(_nodes(spark, d)).select("n_docs", "shared")
+    f = _features(spark, d).select("n_docs", "shared")
     cases = spark.createDataFrame([(0, None, None), (1, 0.3, 0.7), (2, 0.05, 0.7), (3, 0.3, 0.5)], "case long, modularity double, auc double")
     return router.verdict(f.crossJoin(cases)).select("case", "engine", "reason")
 
