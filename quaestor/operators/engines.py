@@ -40,8 +40,11 @@ def _nearest(questions: DataFrame, items: DataFrame, key: str, k: int) -> DataFr
 
 
 def _rerank(pairs: DataFrame, questions: DataFrame, text: str, keys: list[str], k: int) -> DataFrame:
-    """Best k of each question's own candidates by similarity of their text."""
-    s = pairs.join(_asked(questions), "question_id").withColumn("score", dense.cosine(models.embed(F.col(text)), F.col("q"))).drop("q")
+    """Best k of each question's own candidates by similarity of their text. Texts are embedded once, not for each question."""
+    seen = pairs.select(text).distinct().withColumn("embedding", models.embed(F.col(text))).withColumn("n", dense.norm(F.col("embedding")))
+    asked = _asked(questions).withColumn("qn", dense.norm(F.col("q")))
+    score = dense.dot(F.col("embedding"), F.col("q")) / ((F.col("n") + 1e-8) * (F.col("qn") + 1e-8))
+    s = pairs.join(seen, text).join(asked, "question_id").withColumn("score", score).drop("q", "qn", "embedding", "n")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), *keys)
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -59,9 +59,14 @@ def agreement(pairs: DataFrame, cut: float = 3) -> DataFrame:
     return s.select("n", "exact", "within_1", "mad", "bias", F.when(pe < 1, (F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
+#: Draws that one task makes at most.
+DRAWS = 4_000_000
+
+
 def draw(b: Column, k: Column, n: Column) -> Column:
-    """The k-th index of resample b: an integer congruence that SQL engines share."""
-    return F.pmod(F.pmod((b * 7919 + k * 104729 + 12345) * 1103515245 + 12345, F.lit(1 << 31).cast("long")), n)
+    """The k-th index of resample b: an integer congruence that SQL engines share, reduced first, as k may be large."""
+    m = F.lit(1 << 31).cast("long")
+    return F.pmod(F.pmod(F.pmod(b * 7919 + k * 104729 + 12345, m) * 1103515245 + 12345, m), n)
 
 
 def bootstrap(values: DataFrame, resamples: int = 1000) -> DataFrame:
@@ -70,8 +75,11 @@ def bootstrap(values: DataFrame, resamples: int = 1000) -> DataFrame:
     A resample is drawn by an equi-join on the drawn index; means are summed before they move.
     """
     n = values.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    draws = values.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))  # one row beside
-    means = draws.select("b", draw(F.col("b"), F.col("j"), F.col("n")).alias("k")).join(values, "k").groupBy("b").agg(F.avg("x").alias("m"))
+    rows = values.count()
+    ids = values.sparkSession.range(0, rows * resamples, 1, max(values.sparkSession.sparkContext.defaultParallelism, rows * resamples // DRAWS + 1))
+    at = F.lit(max(rows, 1)).cast("long")
+    drawn = ids.select(F.expr(f"id div {max(rows, 1)}").alias("b"), F.pmod("id", at).alias("j")).select("b", draw(F.col("b"), F.col("j"), at).alias("k"))
+    means = drawn.join(values, "k").groupBy("b").agg(F.avg("x").alias("m"))
     ci = means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("p_better"))
     return n.crossJoin(F.broadcast(ci)).select("n", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_better", ((F.col("q")[0] > 0) | (F.col("q")[1] < 0)).alias("significant"))
 

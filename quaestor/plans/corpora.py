@@ -39,12 +39,12 @@ def source_quote(spark, d):
 
 def evidence_resolved(spark, d):
     b = table(spark, d, "benchmark").select(F.concat(F.lit("P"), F.col("item_id").cast("string")).alias("ref"), F.col("text").alias("quote"))
-    e = table(spark, d, "events").where("event_id < 1000").select(F.col("event_id").alias("question_id"), F.array(F.concat(F.lit("P"), F.pmod("user_id", F.lit(60)).cast("string")), F.concat(F.lit("P"), F.pmod("event_id", F.lit(30)).cast("string"))).alias("refs"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.array(F.concat(F.lit("P"), F.pmod("user_id", F.lit(60)).cast("string")), F.concat(F.lit("P"), F.pmod("event_id", F.lit(30)).cast("string"))).alias("refs"))
     return context.resolved(e, b).select("question_id", F.length(F.array_join("quotes", "|")).cast("long").alias("chars"))
 
 
 def edgar_selection(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 200")
+    o = table(spark, d, "orders")
     row = F.struct("o_orderkey", F.when(F.col("o_orderstatus") == "F", "8-K").otherwise("10-Q").alias("form"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, "2.02,9.01").otherwise("8.01").alias("items"))
     g = o.groupBy(F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("ticker")).agg(F.array_sort(F.collect_list(row)).alias("r"))
     feed = g.select("ticker", F.transform("r", lambda x: x["form"]).alias("form"), F.transform("r", lambda x: x["items"]).alias("items"), F.transform("r", lambda x: x["o_orderkey"].cast("string")).alias("accessionNumber"), F.transform("r", lambda x: F.lit("2025-01-01")).alias("filingDate"))
@@ -99,14 +99,14 @@ def _corpus(spark, d):
 
 
 def engine_evidence(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 6").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.array(F.concat(F.lit("src"), F.col("item_id").cast("string"))).alias("entities"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.array(F.concat(F.lit("src"), F.col("item_id").cast("string"))).alias("entities"))
     return engines.evidence(q, _corpus(spark, d)).select("engine", "question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def answers(spark, d):
     """The whole way: hybrid evidence, bounded context, extractive answer."""
     corpus = _corpus(spark, d)
-    q = table(spark, d, "benchmark").where("item_id < 6").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     ev = engines.evidence(q, corpus, "hybrid_rag").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
     prompts = context.assembled(ev.select("question_id", "rank", "text"), "question_id", "rank").join(q, "question_id")
     return models.answer(prompts, models.Extractive())

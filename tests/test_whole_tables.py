@@ -1,6 +1,10 @@
 """Queries over whole tables, against brute force over every row."""
 
+import tempfile
+
+import numpy as np
 import pandas as pd
+import pytest
 
 from quaestor.plans import catalog
 
@@ -24,3 +28,54 @@ def test_orders_of_parts_are_all_counted(spark):
     assert (f.n_docs, f.shared) == (li.l_orderkey.nunique(), (k >= 2).sum())
     assert (f.cross_doc_fraction, f.recurrence, f.num_docs) == (round((k >= 2).mean(), 6), min(k.max() / 10, 1), min(li.l_orderkey.nunique() / 10, 1))
     assert all(r.startswith(f"{(k >= 2).sum()} shared entities") for r in run(spark, "corpus_verdict").reason)
+
+
+def test_bootstraps_draw_from_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from quaestor.operators import evaluation
+
+    e = read("events").sort_values("event_id")
+    n, j = len(e), np.arange(len(e))
+    for name, x in (("bootstrap_ci", e.value / 100), ("paired_bootstrap", e.value / 100 - e.user_id % 10 / 10)):
+        m = [x.to_numpy()[((b * 7919 + j * 104729 + 12345) * 1103515245 + 12345) % 2**31 % n].mean() for b in range(500)]
+        got = run(spark, name).iloc[0]
+        assert (got.n, got["mean"]) == (n, pytest.approx(x.mean(), abs=1e-6))
+        assert [got.lo, got.hi] == pytest.approx(np.quantile(m, [0.025, 0.975]), abs=2e-6)
+    k = 10_000_000  # more than 64 bits hold before the congruence is reduced
+    got = spark.range(k, k + 1).select(evaluation.draw(F.lit(499), F.col("id"), F.lit(k))).first()[0]
+    assert got == ((499 * 7919 + k * 104729 + 12345) * 1103515245 + 12345) % 2**31 % k
+
+
+def test_evidence_of_every_event(spark):
+    e, b = read("events"), read("benchmark").set_index("item_id").text
+    more = pd.concat([e, e.assign(event_id=e.event_id + len(e))])  # the old cut was at 1,000, the rows of this table
+    want = {i: len(b[u % 60]) + 1 + len(b[i % 30]) for i, u in zip(more.event_id, more.user_id, strict=True) if u % 60 in b.index}
+    assert max(want) >= 1000
+    with tempfile.TemporaryDirectory() as d:
+        more.to_parquet(f"{d}/events.parquet")
+        read("benchmark").to_parquet(f"{d}/benchmark.parquet")
+        got = run(spark, "evidence_resolved", d)
+    assert dict(zip(got.question_id, got.chars, strict=True)) == want
+
+
+def test_filings_of_every_customer(spark):
+    o, li = read("orders"), read("lineitem")
+    o = pd.concat([o, o.assign(o_custkey=o.o_custkey + 1000)])
+    li = li[li.l_linenumber % 3 < 2].assign(other=li.l_linenumber % 3 != 0, url=li.l_orderkey.astype(str) + "/" + li.l_linenumber.astype(str))
+    best = li.sort_values(["other", "url"]).groupby("l_orderkey").url.first()
+    fit = o[(o.o_orderstatus == "F") & (o.o_orderkey % 2 == 0) & o.o_orderkey.isin(best.index)].sort_values("o_orderkey")
+    fit = fit.groupby("o_custkey").head(2)
+    want = {(f"T{c}", str(k), best[k]) for c, k in zip(fit.o_custkey, fit.o_orderkey, strict=True)}
+    with tempfile.TemporaryDirectory() as d:
+        o.to_parquet(f"{d}/orders.parquet")
+        read("lineitem").to_parquet(f"{d}/lineitem.parquet")
+        got = run(spark, "edgar_selection", d)
+    assert set(zip(got.ticker, got.accessionNumber, got.url, strict=True)) == want
+
+
+def test_every_question_has_evidence_and_an_answer(spark):
+    want = set(read("benchmark").item_id)
+    got = run(spark, "engine_evidence")
+    assert all(set(g.question_id) == want for _, g in got.groupby("engine")) and got.engine.nunique() == 3
+    assert set(run(spark, "answers").question_id) == want
