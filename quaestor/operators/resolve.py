@@ -1,8 +1,9 @@
 """Names: similarity with years, best matches, and entity resolution in arrival order.
 
 Names can merge only if their numbers and quarters are the same set, so resolution runs for each such set on its own: the
-result is that of one pass over all arrivals. A set without numbers may be large; its names are compared only within the
-length bound that the threshold implies, and its groups are further divided by type where types must agree.
+result is that of one pass over all arrivals. A name's first arrival decides for all its arrivals, so only first arrivals
+meet in a task: as many rows as a set has different names. A set without numbers may be large; its names are compared only
+within the length bound that the threshold implies, and its groups are further divided by type where types must agree.
 """
 
 from __future__ import annotations
@@ -76,12 +77,14 @@ def resolve(mentions: DataFrame, threshold: float = SAME) -> DataFrame:
                 found = name
                 by_length.setdefault(len(form(name)), []).append((n, form(name), name))
             known[name.lower()] = found
-            out.append((ord_, raw, found))
+            out.append((raw, found))
         cols = list(zip(*out, strict=True))
-        return pa.table({"ord": pa.array(cols[0], pa.int64()), "name": pa.array(cols[1], pa.string()), "canonical": pa.array(cols[2], pa.string())})
+        return pa.table({"raw": pa.array(cols[0], pa.string()), "canonical": pa.array(cols[1], pa.string())})
 
     keyed = mentions.select(F.col("ord").cast("long").alias("ord"), "name", "exact", F.array_join(T.number_key(F.coalesce("name", F.lit(""))), ",").alias("numbers"))
-    return keyed.groupBy("numbers").applyInArrow(run, "ord long, name string, canonical string")
+    first = keyed.groupBy("numbers", "name").agg(F.min(F.struct("ord", "exact")).alias("m")).select("numbers", "m.ord", "name", "m.exact")
+    found = first.groupBy("numbers").applyInArrow(run, "raw string, canonical string")
+    return mentions.join(found, F.col("name").eqNullSafe(F.col("raw"))).select(F.col("ord").cast("long").alias("ord"), "name", "canonical")
 
 
 def _closest(f: str, by_length: dict, threshold: float) -> str | None:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quaestor.operators import community, resolve
 from quaestor.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -79,3 +80,35 @@ def test_every_question_has_evidence_and_an_answer(spark):
     got = run(spark, "engine_evidence")
     assert all(set(g.question_id) == want for _, g in got.groupby("engine")) and got.engine.nunique() == 3
     assert set(run(spark, "answers").question_id) == want
+
+
+def test_every_part_is_resolved(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    p = read("part")
+    p = pd.concat([p, p.assign(p_partkey=p.p_partkey + 1001, p_type=p.p_type + "s")]).sort_values("p_partkey")
+    known, canonical, want = {}, [], {}
+    for k, kind in zip(p.p_partkey, p.p_type, strict=True):
+        name = kind + ("", ", Inc.", " Corp", " q1", " 2025")[k % 5]
+        form, numbers = re.sub(resolve._SUFFIX, "", name).lower(), set(re.findall(r"[0-9]+|q[1-4]", name.lower()))
+        if name.lower() not in known:
+            near = [] if k % 11 == 0 else [(SequenceMatcher(None, f, form).ratio(), -n, c) for n, (f, c, other) in enumerate(canonical) if other == numbers]
+            best = max(near, default=(0, 0, None))
+            known[name.lower()] = best[2] if best[0] >= 0.92 else name
+            if best[0] < 0.92:
+                canonical.append((form, name, numbers))
+        want[k] = known[name.lower()]
+    with tempfile.TemporaryDirectory() as d:
+        p.to_parquet(f"{d}/part.parquet")
+        got = run(spark, "entity_resolution", d)
+    assert len(got) == len(p) and dict(zip(got.ord, got.canonical, strict=True)) == want
+
+
+def test_all_lines_link_nations(spark):
+    e = read("lineitem").merge(read("orders"), left_on="l_orderkey", right_on="o_orderkey").merge(read("customer"), left_on="o_custkey", right_on="c_custkey").merge(read("supplier"), left_on="l_suppkey", right_on="s_suppkey")
+    n = e[["c_nationkey", "s_nationkey"]].astype(int)
+    w = n.assign(u=n.min(axis=1).astype(str), v=n.max(axis=1).astype(str)).groupby(["u", "v"]).size()
+    got = run(spark, "communities")
+    where = dict(zip(got.node, got.community, strict=True))
+    assert got.modularity.iloc[0] == pytest.approx(community.quality([(u, v, float(x)) for (u, v), x in w.items()], where), abs=1e-9)
