@@ -10,9 +10,11 @@ from quaestor.sources.tables import table
 
 
 def _words(spark, d):
-    """Short phrases of the documents: the first three words of each line."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).where("line < 5")
-    return docs.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join(F.slice(F.split("s", " "), 1, 3), " ").alias("s"))
+    """Short phrases of the documents: every line in pieces of three words; line is the line's number."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    words = docs.select("doc_id", F.col("line").cast("long").alias("line"), F.split("s", " ").alias("w"))
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(3))
+    return words.select("doc_id", "line", "w", F.explode(starts).alias("k")).select("doc_id", "line", F.array_join(F.slice("w", F.col("k"), F.lit(3)), " ").alias("s"))
 
 
 _W = "w AS (SELECT doc_id, unnest(range(0, least(5, len(string_split(text, chr(10)))))) AS line, string_split(text, chr(10)) AS l FROM documents), w2 AS (SELECT doc_id, line, array_to_string(string_split(l[line + 1], ' ')[1:3], ' ') AS s FROM w)"

@@ -112,3 +112,21 @@ def test_all_lines_link_nations(spark):
     got = run(spark, "communities")
     where = dict(zip(got.node, got.community, strict=True))
     assert got.modularity.iloc[0] == pytest.approx(community.quality([(u, v, float(x)) for (u, v), x in w.items()], where), abs=1e-9)
+
+
+def test_phrases_reach_the_end_of_texts(spark):
+    import re
+
+    text = "\n".join(f"w{k}a b {k} c 7.5 up q3 fy2024" for k in range(8)) + "\n\nup"
+    want, literal = [], 0
+    for n, line in enumerate(text.split("\n")):
+        w = line.split(" ")
+        for k in range(0, len(w), 3):
+            s = " ".join(w[k : k + 3])
+            want.append((n, ",".join(sorted(set(re.findall(r"[0-9]+(?:\.[0-9]+)?|\b[qh][1-4]\b|\bfy[0-9]*\b", s))))))
+            literal += s == "up" or bool(re.search("[0-9]", s))
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+        got, counts = run(spark, "number_key", d), run(spark, "literal_filter", d)
+    assert sorted(zip(got.line, got.numbers, strict=True)) == sorted(want)
+    assert dict(zip(counts.literal, counts.n, strict=True)) == {True: literal, False: len(want) - literal}
