@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import models
-from quaestor.operators import chunking, context, engines
+from quaestor.operators import chunking, context, engines, service
 from quaestor.sources import filings, state
 from quaestor.sources.tables import table
 from quaestor.streaming.streams import shared
@@ -26,7 +27,10 @@ def source_passages(spark, d):
 
 
 def passage_catalog(spark, d):
-    return context.catalog(context.passage_rows(table(spark, d, "documents")))
+    """Bundles of eight documents in order of their ids, each with an equal share of the budget."""
+    docs = service.bundles(table(spark, d, "documents").select("doc_id", "text", F.lit("all").alias("split")), "split", "doc_id")
+    docs = docs.withColumn("doc_no", F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id")).cast("long"))
+    return context.catalog(docs.select("bundle", "doc_id", "doc_no").join(context.passage_rows(docs), "doc_id"))
 
 
 def source_quote(spark, d):
@@ -92,7 +96,7 @@ def _corpus(spark, d):
     first = docs.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk0")))
     edges = first.select(F.col("source").alias("src"), F.concat(F.lit("language "), F.col("lang")).alias("dst"), F.lit("written in").alias("predicate"), "chunk_id")
     values = first.select(F.col("source").alias("node"), F.lit("document").alias("predicate"), F.col("doc_id").cast("string").alias("value"), "chunk_id")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit("Other").alias("type"), F.lit("").alias("description"))
     groups = docs.select(F.col("source").alias("node"), F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 1), 16, 10).cast("long").alias("community")).distinct()
     communities = groups.groupBy("community").agg(F.array_sort(F.collect_set("node")).alias("members"), F.lit(0).alias("level"), F.array_join(F.array_sort(F.collect_set("node")), " ").alias("summary"))
     return engines.Corpus(chunks, nodes, edges, values, communities)
@@ -107,7 +111,7 @@ def answers(spark, d):
     """The whole way: hybrid evidence, bounded context, extractive answer."""
     corpus = _corpus(spark, d)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    ev = engines.evidence(q, corpus, "hybrid_rag").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
+    ev = engines.evidence(q, corpus, "hybrid").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
     prompts = context.assembled(ev.select("question_id", "rank", "text"), "question_id", "rank").join(q, "question_id")
     return models.answer(prompts, models.Extractive())
 
@@ -124,10 +128,10 @@ QUERIES = {
         source_quote,
         r"WITH d AS (SELECT doc_id, doc_id % 3 = 2 AS odd, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, NOT (odd AND NOT contains(t, array_to_string(string_split(t, ' ')[2:7], ' ') || ' zzz')) AS found FROM d",
     ),
-    "evidence_resolved": (evidence_resolved, "SELECT event_id AS question_id, length(a.text) + 1 + length(b.text) AS chars FROM events JOIN benchmark a ON a.item_id = user_id % 60 JOIN benchmark b ON b.item_id = event_id % 30 WHERE event_id < 1000"),
+    "evidence_resolved": (evidence_resolved, "SELECT event_id AS question_id, length(a.text) + 1 + length(b.text) AS chars FROM events JOIN benchmark a ON a.item_id = user_id % 60 JOIN benchmark b ON b.item_id = event_id % 30"),
     "edgar_selection": (
         edgar_selection,
-        "WITH o AS (SELECT 'T' || o_custkey AS ticker, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS fit FROM orders WHERE o_custkey < 200), x AS (SELECT l_orderkey, first(l_orderkey || '/' || l_linenumber ORDER BY l_linenumber % 3 <> 0, l_orderkey || '/' || l_linenumber) AS url FROM lineitem WHERE l_linenumber % 3 < 2 GROUP BY 1), r AS (SELECT ticker, o_orderkey, url, row_number() OVER (PARTITION BY ticker ORDER BY place) AS nth FROM o JOIN x ON o_orderkey = l_orderkey WHERE fit) SELECT ticker, nth, o_orderkey::VARCHAR AS \"accessionNumber\", url FROM r WHERE nth <= 2",
+        "WITH o AS (SELECT 'T' || o_custkey AS ticker, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS fit FROM orders), x AS (SELECT l_orderkey, first(l_orderkey || '/' || l_linenumber ORDER BY l_linenumber % 3 <> 0, l_orderkey || '/' || l_linenumber) AS url FROM lineitem WHERE l_linenumber % 3 < 2 GROUP BY 1), r AS (SELECT ticker, o_orderkey, url, row_number() OVER (PARTITION BY ticker ORDER BY place) AS nth FROM o JOIN x ON o_orderkey = l_orderkey WHERE fit) SELECT ticker, nth, o_orderkey::VARCHAR AS \"accessionNumber\", url FROM r WHERE nth <= 2",
     ),
     "finqa_render": (finqa_render, "SELECT p_partkey, 'SOURCE: AB/2020/p' || p_partkey || '.pdf' || chr(10) || chr(10) || 'before' || chr(10) || chr(10) || 'TABLE HEADERS: item | size' || chr(10) || chr(10) || 'TABLE ROW ' || p_name || ' | size: ' || p_size || ' ; column 2: ' || p_brand || chr(10) || chr(10) || 'after' AS text FROM part"),
     "release_render": (

@@ -23,12 +23,17 @@ def html_tables(spark, d):
     return tables.cells(text).select("doc_id", "caption", "unit", "label", "col", "value")
 
 
+_LABELS = ("item", "total", "margin", "other")
+
+
 def _documents(spark, d):
-    """Parts of each brand as a labelled table."""
+    """Parts of each brand as a labelled table with a section, general labels, rates and values in per cent."""
     p = table(spark, d, "part")
-    row = F.struct("p_partkey", F.format_string("TABLE ROW item %d | size: %d ; price: $ %d", "p_partkey", "p_size", F.floor("p_retailprice")).alias("t"))
+    label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    row = F.struct("p_partkey", F.format_string("TABLE ROW %s %d | size: %d ; employees: $ %d ; share %%: %d ; grew: %d %%", label, "p_partkey", "p_size", F.floor("p_retailprice"), "p_size", "p_size").alias("t"))
     docs = p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), "\n").alias("rows"))
-    return docs.select(F.col("p_brand").alias("doc_id"), F.concat(F.lit("COMPANY: Acme ("), F.lit("ACM)\nItems, in thousands\nTABLE HEADERS: item | size | price\n"), "rows", F.lit("\nprose after\n")).alias("text"))
+    head = "COMPANY: Acme (ACM)\nItems, in thousands\nTABLE HEADERS: item | size | employees | share % | grew\nTABLE SECTION Parts:\n"
+    return docs.select(F.col("p_brand").alias("doc_id"), F.concat(F.lit(head), "rows", F.lit("\nprose after\n")).alias("text"))
 
 
 def parse_tables(spark, d):
@@ -36,12 +41,32 @@ def parse_tables(spark, d):
 
 
 def cell_facts(spark, d):
-    return tables.facts(tables.cells(_documents(spark, d))).select("doc_id", "chunk_id", "subject", "predicate", "object", "evidence", "first")
+    return tables.facts(tables.cells(_documents(spark, d))).select("doc_id", "chunk_id", "subject", "predicate", "object", "evidence")
+
+
+def cell_metrics(spark, d):
+    return tables.metrics(tables.cells(_documents(spark, d)))
 
 
 def table_chunks(spark, d):
-    c = tables.table_chunks(tables.cells(_documents(spark, d)))
-    return c.select("doc_id", F.col("part").cast("long").alias("part"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    c = tables.table_chunks(tables.table_rows(_documents(spark, d)))
+    return c.select("doc_id", "chunk_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def _aligned_documents(spark, d):
+    """Nations of each region as columns aligned by spaces, between lines of prose."""
+    n = table(spark, d, "nation")
+    row = F.struct("n_nationkey", F.concat_ws("   ", "n_name", (F.col("n_nationkey") + 1000).cast("string"), F.concat(F.lit("("), F.col("n_nationkey").cast("string"), F.lit(")"))).alias("t"))
+    docs = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), "\n").alias("rows"))
+    return docs.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("Before.\n\n  Q1 2025    Q1 2024\n"), "rows", F.lit("\n\n\nAfter  all.")).alias("text"))
+
+
+def aligned_tables(spark, d):
+    return tables.cells(_aligned_documents(spark, d)).select("doc_id", "row_no", "label", "col", "value")
+
+
+def table_prose(spark, d):
+    return tables.prose(_aligned_documents(spark, d).unionByName(_documents(spark, d).select(F.xxhash64("doc_id").alias("doc_id"), "text"))).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fuzzy_match(spark, d):
@@ -107,17 +132,26 @@ def stream_ingest(spark, d):
     return streams.drained(streams.ingested(docs, known)).select("doc_id", "c_name")
 
 
-_CELL = "p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_no FROM part), c AS (SELECT *, unnest(['size', 'price']) AS col, unnest([p_size::VARCHAR, '$ ' || floor(p_retailprice)::BIGINT]) AS value, unnest([0, 1]) AS col_no FROM p)"
+_CELL = f"""p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_no, p_partkey % 4 AS k, CASE WHEN p_partkey % 4 IN (1, 3) THEN 'Parts - ' ELSE '' END || ['{"', '".join(_LABELS)}'][(p_partkey % 4 + 1)::INT] || ' ' || p_partkey AS label FROM part),
+c AS (SELECT *, unnest(['size', 'employees', 'share %', 'grew']) AS col, unnest([p_size::VARCHAR, '$ ' || floor(p_retailprice)::BIGINT, p_size::VARCHAR, p_size || ' %']) AS value, unnest([0, 1, 2, 3]) AS col_no FROM p)"""
 
 QUERIES = {
     "html_to_text": (html_to_text, None),
     "html_tables": (html_tables, "SELECT s_nationkey AS doc_id, 'Balances, in millions' AS caption, 'millions' AS unit, s_name AS label, 'FY 2025' AS col, '$' || s_suppkey || '.5' AS value FROM supplier"),
-    "parse_tables": (parse_tables, f"WITH {_CELL} SELECT p_brand AS doc_id, 'Acme' AS company, 'Items, in thousands' AS caption, 'thousands' AS unit, row_no, 'item ' || p_partkey AS label, col, value FROM c"),
+    "parse_tables": (parse_tables, f"WITH {_CELL} SELECT p_brand AS doc_id, 'Acme' AS company, 'Items, in thousands' AS caption, 'thousands' AS unit, row_no, label, col, value FROM c"),
     "cell_facts": (
         cell_facts,
-        f"WITH {_CELL} SELECT p_brand AS doc_id, p_brand || '::table0' AS chunk_id, 'Acme item ' || p_partkey AS subject, col AS predicate, replace(value, ' ', '') AS object, 'item ' || p_partkey || ', ' || col || ': ' || replace(value, ' ', '') || ' (in thousands)' AS evidence, col_no = 0 AS first FROM c",
+        f"""WITH {_CELL} SELECT p_brand AS doc_id, p_brand || '::table' || row_no // 40 AS chunk_id, 'Acme ' || label AS subject, col AS predicate, replace(value, ' ', '') AS object, label || ', ' || col || ': ' || replace(value, ' ', '') || CASE WHEN k = 2 OR col_no >= 2 THEN '' ELSE ' (in thousands)' END AS evidence FROM c
+UNION ALL SELECT p_brand, p_brand || '::table' || row_no // 40, 'Acme', 'reports', 'Acme ' || label, 'Acme reports ' || label FROM p""",
+    ),
+    "cell_metrics": (cell_metrics, f"WITH {_CELL} SELECT p_brand AS doc_id, 'Acme ' || label AS name, 'Metric' AS type, label || ' (in thousands); table: Items, in thousands' AS description FROM p UNION ALL SELECT DISTINCT p_brand, 'Acme', 'Company', 'Reporting company' FROM part"),
+    "table_chunks": (
+        table_chunks,
+        f"""WITH {_CELL}, l AS (SELECT p_brand, row_no, row_no // 40 AS part, 'TABLE ROW ' || label || ' | ' || string_agg(col || ': ' || replace(value, ' ', ''), ' ; ' ORDER BY col_no) AS line FROM c GROUP BY ALL)
+SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items, in thousands' || chr(10) || 'TABLE HEADERS: item | size | employees | share % | grew' || chr(10) || string_agg(line, chr(10) ORDER BY row_no)) AS md5 FROM l GROUP BY p_brand, part""",
     ),
-    "table_chunks": (table_chunks, f"WITH {_CELL} SELECT p_brand AS doc_id, row_no // 40 AS part, count(*) + 1 AS lines FROM p GROUP BY ALL"),
+    "aligned_tables": (aligned_tables, "SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey, col ORDER BY n_nationkey) - 1 AS row_no, n_name AS label, col, value FROM (SELECT *, unnest(['Q1 2025', 'Q1 2024']) AS col, unnest([(n_nationkey + 1000)::VARCHAR, '(' || n_nationkey || ')']) AS value FROM nation)"),
+    "table_prose": (table_prose, "SELECT 'Before.' || chr(10) || chr(10) || 'After  all.' AS text, count(DISTINCT n_regionkey) AS n FROM nation UNION ALL SELECT 'COMPANY: Acme (ACM)' || chr(10) || 'Items, in thousands' || chr(10) || 'prose after' || chr(10), count(DISTINCT p_brand) FROM part"),
     "fuzzy_match": (fuzzy_match, None),
     "entity_resolution": (entity_resolution, None),
     "communities": (communities, None),

@@ -1,8 +1,8 @@
-"""Filings: the column-wise feed of submissions, choice of earnings releases and exhibits, rendering, files and folders."""
+"""Filings: the column-wise feed of submissions, choice of earnings releases and exhibits, rendering."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Form and item of an earnings release, kinds of exhibit in order of preference, releases a company.
@@ -41,9 +41,9 @@ def question_document(id_: Column, pre: Column, table: Column, post: Column) ->
     """A question's source as a document: its texts, and its table as labelled lines; nothing of the answer."""
     header = F.element_at(table, 1)
     name = lambda i: F.when(i <= F.size(header), F.element_at(header, i)).otherwise(F.concat(F.lit("column "), (i - 1).cast("string")))
-    cell = lambda row: F.transform(F.slice(row, 2, 1000), lambda c, i: F.concat(name((i + 2).cast("int")), F.lit(": "), c))
+    cell = lambda row: F.transform(F.slice(row, F.lit(2), F.greatest(F.size(row), F.lit(1))), lambda c, i: F.concat(name((i + 2).cast("int")), F.lit(": "), c))
     line = lambda row: F.concat(F.lit("TABLE ROW "), row[0], F.lit(" | "), F.array_join(cell(row), " ; "))
-    rows = F.when(F.size(table) > 0, F.concat(F.array(F.concat(F.lit("TABLE HEADERS: "), F.array_join(header, " | "))), F.transform(F.slice(table, 2, 100_000), line)))
+    rows = F.when(F.size(table) > 0, F.concat(F.array(F.concat(F.lit("TABLE HEADERS: "), F.array_join(header, " | "))), F.transform(F.slice(table, F.lit(2), F.greatest(F.size(table), F.lit(1))), line)))
     parts = F.concat(F.array(F.concat(F.lit("SOURCE: "), F.regexp_replace(id_, "-[^-]*$", ""))), F.coalesce(pre, F.array()), F.coalesce(rows, F.array()), F.coalesce(post, F.array()))
     return F.array_join(parts, "\n\n")
 
@@ -55,10 +55,3 @@ def report_id(id_: Column) -> Column:
 def decoded(raw: Column) -> Column:
     """Bytes as UTF-8, else as Windows-1252."""
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "windows-1252"))
-
-
-def folder(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (file stem), text of all .txt and .md files in order of their paths; PDF needs a parser that is not installed."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(path)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return raw.select(stem.alias("doc_id"), F.decode("content", "UTF-8").alias("text"), "path").orderBy("path").drop("path")

@@ -62,7 +62,7 @@ def test_features_and_verdict(spark):
     f = router.features(nodes).first()
     assert (f.cross_doc_fraction, f.recurrence, f.num_docs) == (pytest.approx(1 / 3), 0.2, 0.2)
     cases = spark.createDataFrame([(1, 5, None, None), (3, 0, None, None), (3, 2, 0.05, None), (3, 2, 0.3, 0.5), (3, 2, 0.3, None)], "n_docs long, shared long, modularity double, auc double")
-    assert [r.engine for r in router.verdict(cases).collect()] == ["vector_rag"] * 4 + ["graphrag"]
+    assert [r.engine for r in router.verdict(cases).collect()] == ["vector"] * 4 + ["graph"]
 
 
 def test_bandit_statistics_and_choice(spark):
@@ -90,19 +90,43 @@ def test_filing_html():
     assert html.to_text("<table><tr><td>only</td><td>layout</td></tr></table>") == "only layout"
 
 
-def test_tables_in_text():
-    found, rest = tables.parse("Intro\nTABLE HEADERS: net | 5 | 6\nTABLE ROW total | 5: 7 ; 6: 8\nOutro")
-    assert [(label, cells) for label, cells, _ in found[0].rows] == [("net", [("value", "5"), ("value", "6")]), ("total", [("value", "7"), ("value", "8")])]
-    assert rest == "Intro\nOutro" and found[0].caption == "Intro"
-    found, rest = tables.parse("x  Q1 2025  Q1 2024\nrevenue  1,234  987\nprose")
-    assert found[0].rows[0][1] == [("x", "1,234"), ("Q1 2025", "987")] or found[0].rows and "1,234" not in rest
-    assert tables.company("COMPANY: Acme Inc (ACM)\n") == "Acme Inc" and tables.company("plain") is None
+def _rows(spark, text):
+    docs = spark.createDataFrame([("d", text), ("empty", ""), ("none", None)], "doc_id string, text string")
+    rows = tables.table_rows(docs).where("doc_id = 'd'").orderBy("tab", "row_no").collect()
+    return docs, [(r.caption, r.label, [tuple(c) for c in r.cells]) for r in rows]
+
+
+def test_tables_in_text(spark):
+    docs, rows = _rows(spark, "Intro\nTABLE HEADERS: net | 5 | 6\nTABLE ROW total | 5: 7 ; 6: 8\n\n\n\nOutro")
+    assert rows == [("Intro", "net", [("value", "5"), ("value", "6")]), ("Intro", "total", [("value", "7"), ("value", "8")])]
+    assert {r.doc_id: r.text for r in tables.prose(docs).collect()} == {"d": "Intro\n\nOutro", "empty": "", "none": ""}
+    docs, rows = _rows(spark, "x  Q1 2025  Q1 2024\nrevenue  1,234  987\nprose\n2025  2024\nno row")
+    assert rows == [("", "revenue", [("x", "1,234"), ("Q1 2025", "987")])]
+    assert [r.text for r in tables.prose(docs).where("doc_id = 'd'").collect()] == ["prose\n2025  2024\nno row"]
+    _, rows = _rows(spark, "A\nTABLE HEADERS: i | FY 2025\nTABLE HEADERS: i | FY 2024\nTABLE SECTION Costs:\nTABLE ROW Total | FY 2024: 5 ; bad ; x: y: 6\nTABLE ROW none\nTABLE HEADERS: j\nTABLE ROW Other | : 1\nB\nTABLE ROW net | c: 2")
+    assert rows == [("A", "Costs - Total", [("FY 2024", "5"), ("x: y", "6")]), ("A", "Other", [("", "1")]), ("B", "net", [("c", "2")])]
+    who = lambda t: spark.createDataFrame([(t,)], "t string").select(tables.company(F.col("t"))).first()[0]
+    assert who("COMPANY: Acme Inc (ACM)\n") == "Acme Inc" and who("plain") is None and who(None) is None and who("SOURCE: AB/2020/p1") == "AB"
+    assert who("Big Co said Small Inc. and Small Inc. did") == "Small Inc."
 
 
 def test_units_skip_rates(spark):
-    docs = spark.createDataFrame([("d", "Figures in millions\nTABLE HEADERS: item | 2025 total | x\nTABLE ROW revenue | 2025 total: 5\nTABLE ROW gross margin | 2025 total: 4")], "doc_id string, text string")
-    got = {r.subject: r.evidence for r in tables.facts(tables.cells(docs)).collect()}
-    assert got["revenue"].endswith("(in millions)") and "millions" not in got["gross margin"]
+    docs = spark.createDataFrame([("d", "Figures in millions\nTABLE HEADERS: item | employees | x\nTABLE ROW revenue | employees: 5\nTABLE ROW gross margin | employees: 4\nTABLE ROW costs | 2025: 4 % ; in %: 3")], "doc_id string, text string")
+    got = {(r.subject, r.predicate): r.evidence for r in tables.facts(tables.cells(docs)).collect()}
+    assert {k for k, e in got.items() if e.endswith("(in millions)")} == {("revenue", "employees")} and len(got) == 4
+
+
+def test_facts_and_chunks_cite_the_same(spark):
+    rows = "\n".join(f"TABLE ROW metric {k} | FY 2025: $ {k}" for k in range(95))
+    text = f"COMPANY: Acme\nCaption\nTABLE HEADERS: m | FY 2025\n{rows}\n\nmore prose\nTABLE ROW last | FY 2025: 1"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    chunks = {r.chunk_id: r.text for r in tables.table_chunks(tables.table_rows(docs)).collect()}
+    assert sorted(chunks) == [f"d::table{k}" for k in range(4)]
+    assert all(chunks[f"d::table{k}"].startswith("Caption\nTABLE HEADERS: m | FY 2025\nTABLE ROW metric") for k in range(3))
+    said = tables.facts(tables.cells(docs)).collect()
+    for f in said:
+        assert (f.predicate != "reports" and f"{f.subject.removeprefix('Acme ')} | FY 2025: {f.object}" in chunks[f.chunk_id]) or f.object.removeprefix("Acme ") in chunks[f.chunk_id]
+    assert sum(f.predicate == "reports" for f in said) == 96 and len(said) == 192
 
 
 def test_names(spark):
@@ -193,14 +217,14 @@ def test_engines_and_answers(spark):
     got = {}
     for r in engines.evidence(q, corpus).orderBy("engine", "question_id", "rank").collect():
         got.setdefault((r.engine, r.question_id), []).append(r.chunk_id)
-    assert got["hybrid_rag", 1][0] == "a" and got["vector_rag", 1][0] == "a" and set(got["graphrag", 1]) == {"a", "b"}
-    assert "c" in got["graphrag", 2]
+    assert got["hybrid", 1][0] == "a" and got["vector", 1][0] == "a" and set(got["graph", 1]) == {"a", "b"}
+    assert "c" in got["graph", 2]
     prompts = spark.createDataFrame([(1, "Acme revenue rose. Beta fell.", "what about Beta?"), (2, "", "x")], "question_id long, context string, question string")
     assert {r.question_id: r.answer for r in models.answer(prompts, models.Extractive()).collect()} == {1: "Beta fell.", 2: models.NOTHING}
 
 
 def test_state(spark, tmp_path):
-    from quaestor.sources import filings, state
+    from quaestor.sources import state, uploads
 
     a, b = "a" * 16, "b" * 16
     state.save(spark.createDataFrame([(1,)], "x long"), f"{tmp_path}/t", a)
@@ -209,14 +233,14 @@ def test_state(spark, tmp_path):
     assert [r.x for r in state.load(spark, f"{tmp_path}/t", a).collect()] == [3] and [r.x for r in state.load(spark, f"{tmp_path}/t", b).collect()] == [2]
     with pytest.raises(ValueError):
         state.save(spark.range(1), f"{tmp_path}/t", "../x")
-    good = '{"question_id": "q", "split": "train", "context": [1,1,1,1,1,1,1,1], "reward_graphrag": 0.5, "reward_vector_rag": 1, "reward_hybrid_rag": 0, "signature": "s"}'
+    good = '{"question_id": "q", "split": "train", "context": [1,1,1,1,1,1,1,1], "reward_graph": 0.5, "reward_vector": 1, "reward_hybrid": 0, "signature": "s"}'
     (tmp_path / "r.jsonl").write_text(good + "\n")
     assert state.rewards(spark, str(tmp_path / "r.jsonl")).count() == 1
     (tmp_path / "r2.jsonl").write_text(good + "\n" + good.replace("0.5", "1.5") + "\n")
     with pytest.raises(ValueError):
         state.rewards(spark, str(tmp_path / "r2.jsonl"))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "b.txt").write_text("two")
+    (tmp_path / "in" / "b.txt").write_bytes(b"t\xffwo\xe2\x82 \xef\xbf\xbd")
     (tmp_path / "in" / "a.md").write_text("one")
     (tmp_path / "in" / "c.bin").write_text("no")
-    assert [(r.doc_id, r.text) for r in filings.folder(spark, str(tmp_path / "in")).collect()] == [("a", "one"), ("b", "two")]
+    assert [(r.doc_id, r.text) for r in uploads.folder(spark, str(tmp_path / "in")).collect()] == [("a", "one"), ("b", "two \ufffd")]
