@@ -1,8 +1,9 @@
 """The three engines as plans over a batch of questions: evidence(question_id, rank, chunk_id, score).
 
 questions: question_id, question, entities. A corpus is a set of tables: chunks(chunk_id, doc_id, text, vec),
-nodes(node, ...), edges(src, dst, predicate, chunk_id), values(node, predicate, value, chunk_id), communities(community,
-level, members, summary).
+nodes(node, type, description, ...), edges(src, dst, predicate, doc_id, chunk_id, evidence), values(node, predicate, value,
+doc_id, chunk_id, evidence), communities(community, level, members, title, summary), vectors(node, embedding) of a trained
+graph network. Nodes that a question reaches are kept for each question apart.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import models
-from quaestor.operators import dense, fusion, lexical, resolve
+from quaestor.operators import build, dense, fusion, graph as graphs, lexical, resolve
 
 #: How many of each the engines take.
-VECTOR, CANDIDATES, HYBRID, FACTS, CHUNKS, SUMMARIES, PER_SUMMARY, LINKED = 6, 20, 6, 40, 4, 4, 2, 4
+VECTOR, CANDIDATES, HYBRID, FACTS, CHUNKS, SUMMARIES, PER_SUMMARY = 6, 20, 6, 40, 4, 4, 2
+#: Facts that are ranked at most, nodes that a graph network adds, citations, nodes of a path, characters of a snippet.
+RANKED, LEARNED, CITATIONS, PATH, SNIPPET = 8000, 4, 14, 24, 300
 
 
 @dataclass
@@ -27,6 +30,7 @@ class Corpus:
     edges: DataFrame | None = None
     values: DataFrame | None = None
     communities: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def _asked(questions: DataFrame) -> DataFrame:
@@ -61,12 +65,19 @@ def hybrid(questions: DataFrame, corpus: Corpus) -> DataFrame:
 
 
 def seeds(questions: DataFrame, corpus: Corpus) -> DataFrame:
-    """question_id, node: up to LINKED nodes that the questions' entities name."""
-    named = questions.select("question_id", F.explode("entities").alias("name"))
-    best = resolve.best_matches(named.select("name"), corpus.nodes)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "node")
-    hit = named.join(best, "name").groupBy("question_id", "node").agg(F.max("score").alias("score"))
-    return hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= LINKED).select("question_id", "node")
+    """question_id, node: the nodes that the questions' entities name."""
+    return resolve.linked(questions, corpus.nodes)
+
+
+def learned(start: DataFrame, near: DataFrame, vectors: DataFrame, k: int = LEARNED) -> DataFrame:
+    """question_id, node: the k nodes whose vectors are nearest to the mean of a question's seeds, outside its neighbourhood."""
+    v = vectors.select("node", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    parts = start.join(v, "node").select("question_id", F.posexplode("v").alias("i", "x")).groupBy("question_id", "i").agg(F.avg("x").alias("x"))
+    mean = parts.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))  # one vector
+    scored = resolve._pairs(mean, v).select("question_id", "node", dense.cosine(F.col("v"), F.col("q")).alias("score"))
+    scored = scored.join(near, ["question_id", "node"], "left_anti")
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "node")
+    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("question_id", "node")
 
 
 def neighbourhood(start: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
@@ -79,20 +90,73 @@ def neighbourhood(start: DataFrame, edges: DataFrame, hops: int = 2) -> DataFram
     return near
 
 
-def facts(near: DataFrame, corpus: Corpus) -> DataFrame:
-    """question_id, chunk_id, fact: relations inside the neighbourhood, and its nodes' values."""
+def facts(near: DataFrame, corpus: Corpus, most: int = RANKED) -> DataFrame:
+    """question_id, node, chunk_id, fact: relations inside the neighbourhood, then its nodes' values, the first `most`."""
     a, b = near.withColumnRenamed("node", "src"), near.withColumnRenamed("node", "dst")
-    rel = corpus.edges.join(a, "src").join(b, ["question_id", "dst"]).select("question_id", "chunk_id", F.concat_ws(" ", "src", "predicate", "dst").alias("fact"))
-    val = corpus.values.join(near, "node").select("question_id", "chunk_id", F.concat(F.col("node"), F.lit(" "), F.col("predicate"), F.lit(": "), F.col("value")).alias("fact"))
-    return rel.unionByName(val).distinct()
+    edges = corpus.edges.join(a, "src").join(b, ["question_id", "dst"])
+    values = corpus.values.join(near, "node")
+    plain = lambda df: df.select(*df.columns, *[F.lit("").alias(c) for c in ("doc_id", "evidence") if c not in df.columns])
+    told = build.fact_texts(plain(edges).withColumn("chunk_id", F.struct("question_id", "chunk_id", F.lit(0).alias("kind"))), plain(values).withColumn("chunk_id", F.struct("question_id", "chunk_id", F.lit(1).alias("kind"))))
+    out = told.select("chunk_id.*", "node", "fact").distinct()
+    w = Window.partitionBy("question_id").orderBy("kind", "node", "fact", "chunk_id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("question_id", "node", "chunk_id", "fact")
 
 
-def local(questions: DataFrame, corpus: Corpus) -> DataFrame:
-    """Chunks that the best facts around a question's seeds cite, best first."""
-    near = neighbourhood(seeds(questions, corpus), corpus.edges)
+@dataclass
+class Found:
+    """What local search finds: reached nodes, ranked facts, ranked chunks, citations. All by question."""
+
+    start: DataFrame
+    near: DataFrame
+    facts: DataFrame
+    chunks: DataFrame
+
+
+def searched(questions: DataFrame, corpus: Corpus) -> Found:
+    """Around a question's seeds: two hops and learned neighbours, their best facts, and the best of all chunks that ground them."""
+    start = seeds(questions, corpus)
+    near = neighbourhood(start, corpus.edges)
+    if corpus.vectors is not None:
+        near = near.unionByName(learned(start, near, corpus.vectors)).distinct()
     top = _rerank(facts(near, corpus), questions, "fact", ["fact", "chunk_id"], FACTS)
-    cited = top.select("question_id", "chunk_id").distinct().join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
-    return _rerank(cited, questions, "text", ["chunk_id"], CHUNKS).select("question_id", "rank", "chunk_id", "score")
+    ground = graphs.grounding(corpus.edges, corpus.values, corpus.chunks).join(near, "node").select("question_id", "chunk_id").distinct()
+    ground = ground.join(top.select("question_id").distinct(), "question_id", "left_semi")  # no facts, no answer
+    texts = ground.join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
+    return Found(start, near, top, _rerank(texts, questions, "text", ["chunk_id"], CHUNKS))
+
+
+def local(questions: DataFrame, corpus: Corpus) -> DataFrame:
+    """The best chunks around a question's seeds."""
+    return searched(questions, corpus).chunks.select("question_id", "rank", "chunk_id", "score")
+
+
+def citations(found: Found, corpus: Corpus, most: int = CITATIONS) -> DataFrame:
+    """question_id, rank, chunk_id, doc_id, snippet: the best chunks, then the other chunks that the best facts cite."""
+    cited = found.facts.groupBy("question_id", "chunk_id").agg((F.min("rank") + CHUNKS).alias("rank"))
+    both = found.chunks.select("question_id", "chunk_id", "rank").unionByName(cited).groupBy("question_id", "chunk_id").agg(F.min("rank").alias("at"))
+    own = both.join(corpus.chunks.select("chunk_id", "doc_id", F.substring("text", 1, SNIPPET).alias("snippet")), "chunk_id")
+    w = Window.partitionBy("question_id").orderBy("at", "chunk_id")
+    return own.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).drop("at")
+
+
+def paths(found: Found, most: int = PATH) -> DataFrame:
+    """question_id, nodes: the first nodes that were reached."""
+    n = found.near.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("node"))).where(F.col("r") <= most)
+    return n.groupBy("question_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+
+
+def sections(found: Found, corpus: Corpus) -> DataFrame:
+    """question_id, part, text: facts, source texts and entities as the sections of a context."""
+    line = lambda rows, order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("t")))), lambda s: s["t"]), rows)
+    said = found.facts.groupBy("question_id").agg(F.concat(F.lit("FACTS:\n"), line("\n", ["rank"], F.col("fact"))).alias("text"))  # FACTS rows
+    src = found.chunks.join(corpus.chunks.select("chunk_id", "doc_id"), "chunk_id")
+    src = src.groupBy("question_id").agg(F.concat(F.lit("\nSOURCE TEXT:\n"), line("\n\n", ["rank"], F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(" | "), F.col("chunk_id"), F.lit("]\n"), F.col("text")))).alias("text"))  # CHUNKS rows
+    who = found.facts.select("question_id", "node").unionByName(found.start).distinct()
+    added = found.near.join(neighbourhood(found.start, corpus.edges), ["question_id", "node"], "left_anti").withColumn("tag", F.lit(" [via R-GCN]")) if corpus.vectors is not None else None
+    who = who.join(added, ["question_id", "node"], "left") if added is not None else who.withColumn("tag", F.lit(None).cast("string"))
+    ent = who.join(corpus.nodes.select("node", "type", "description"), "node")
+    ent = ent.groupBy("question_id").agg(F.concat(F.lit("\nENTITIES:\n"), line("\n", ["node"], F.concat(F.lit("- "), F.col("node"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"), F.coalesce("tag", F.lit("")), F.lit(": "), F.coalesce("description", F.lit(""))))).alias("text"))  # nodes of FACTS facts
+    return said.withColumn("part", F.lit(0)).unionByName(src.withColumn("part", F.lit(1))).unionByName(ent.withColumn("part", F.lit(2)))
 
 
 def overall(questions: DataFrame, corpus: Corpus) -> DataFrame:
@@ -117,7 +181,7 @@ def graph(questions: DataFrame, corpus: Corpus) -> DataFrame:
     return found.unionByName(overall(rest, corpus))
 
 
-ENGINES: dict[str, Callable[[DataFrame, Corpus], DataFrame]] = {"graphrag": graph, "vector_rag": vector, "hybrid_rag": hybrid}
+ENGINES: dict[str, Callable[[DataFrame, Corpus], DataFrame]] = {"graph": graph, "vector": vector, "hybrid": hybrid}
 
 
 def evidence(questions: DataFrame, corpus: Corpus, engine: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,6 @@ def averages(scores: DataFrame, digits: int = 4) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in scores.columns if c != "question_id"])
 
 
-def average_rank(value: str, cells: int = 1024) -> Column:
-    w = Window.orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2.0
-
-
 def spearman(pairs: DataFrame) -> DataFrame:
     """One row: rank correlation of a and b, ties sharing their average rank. Ranks come from counts of distinct values."""
 
@@ -59,32 +56,35 @@ def agreement(pairs: DataFrame, cut: float = 3) -> DataFrame:
     return s.select("n", "exact", "within_1", "mad", "bias", F.when(pe < 1, (F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
-#: Draws that one task makes at most.
-DRAWS = 4_000_000
+PRIME = 2**31 - 1
+#: Above the k-th of these parts of PRIME a Poisson count of mean 1 is more than k.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
 
 
-def draw(b: Column, k: Column, n: Column) -> Column:
-    """The k-th index of resample b: an integer congruence that SQL engines share, reduced first, as k may be large."""
-    m = F.lit(1 << 31).cast("long")
-    return F.pmod(F.pmod(F.pmod(b * 7919 + k * 104729 + 12345, m) * 1103515245 + 12345, m), n)
+def shuffled(b: Column, k: Column) -> Column:
+    """A number below PRIME for resample b and row k (0 or more): products, shifts and xor that SQL engines share."""
+    x = F.pmod(b * 7919 + F.pmod(k, F.lit(PRIME)) * 104729 + 12345, F.lit(PRIME).cast("long"))
+    for shift, factor in ((15, 48271), (13, 69621), (16, 16807)):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * factor, F.lit(PRIME).cast("long"))
+    return x
 
 
 def bootstrap(values: DataFrame, resamples: int = 1000) -> DataFrame:
-    """One row: n, mean, and the 2.5 and 97.5 percentiles of resampled means. values: k (0 to n - 1), x.
+    """One row: n, mean, and the 2.5 and 97.5 percentiles of resampled means. values: k (row number or id), x.
 
-    A resample is drawn by an equi-join on the drawn index; means are summed before they move.
+    Each row counts in a resample as often as a Poisson law of mean 1 says, which for many rows is drawing with replacement.
+    So a resample needs no draws and no joins: one pass over the rows, whose sums are aggregated where the rows are.
     """
     n = values.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    rows = values.count()
-    ids = values.sparkSession.range(0, rows * resamples, 1, max(values.sparkSession.sparkContext.defaultParallelism, rows * resamples // DRAWS + 1))
-    at = F.lit(max(rows, 1)).cast("long")
-    drawn = ids.select(F.expr(f"id div {max(rows, 1)}").alias("b"), F.pmod("id", at).alias("j")).select("b", draw(F.col("b"), F.col("j"), at).alias("k"))
-    means = drawn.join(values, "k").groupBy("b").agg(F.avg("x").alias("m"))
+    rows = values.select(F.col("k").cast("long").alias("k"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    times = sum((F.when(F.col("h") > t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    rows = rows.select("b", "x", shuffled(F.col("b"), F.col("k")).alias("h")).select("b", "x", times.alias("w")).where("w > 0")
+    means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     ci = means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("p_better"))
-    return n.crossJoin(F.broadcast(ci)).select("n", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_better", ((F.col("q")[0] > 0) | (F.col("q")[1] < 0)).alias("significant"))
+    return n.crossJoin(F.broadcast(ci)).select("n", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_better", ((F.col("q")[0] > 0) | (F.col("q")[1] < 0)).alias("significant"))  # one row each
 
 
-ENGINES = ("graphrag", "vector_rag", "hybrid_rag")
+ENGINES = ("graph", "vector", "hybrid")
 
 
 def policies(records: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def verdict(signals: DataFrame) -> DataFrame:
         F.when(low, F.lit("low modularity")).when(F.col("modularity").isNotNull(), F.lit("clear communities")),
         F.when(poor, F.lit("links hard to predict")).when(F.col("auc").isNotNull(), F.lit("links predictable")),
     )
-    return signals.withColumn("engine", F.when(no, "vector_rag").otherwise("graphrag")).withColumn("reason", reason)
+    return signals.withColumn("engine", F.when(no, "vector").otherwise("graph")).withColumn("reason", reason)
 
 
 def context(cross: Column, recurrence: Column, docs: Column, category: Column) -> Column:
@@ -102,3 +102,108 @@ def effective_reward(reward: Column, latency_ms: Column, weight: float) -> Colum
     """Reward less the weight of latency, which counts up to a minute; latency must be known."""
     known = F.when(latency_ms.isNull(), F.raise_error(F.lit("latency is missing"))).otherwise(latency_ms)
     return reward - weight * F.least(known / 60000.0, F.lit(1.0))
+
+
+#: Settings that a policy and the serving side must share, models being compared by family.
+SAME = ("retrieval_version", "answer_model", "extraction_model")
+
+
+def family(name: str | None) -> str:
+    """One name for the same weights, whoever serves them; the column expression is `text.canonical_model`."""
+    import re
+
+    return re.sub(r"-(instruct|chat|it)$", "", (name or "").lower().rsplit("/", 1)[-1].replace(":", "-"))
+
+
+def compatible(meta: dict, settings: dict) -> bool:
+    """Whether a policy's rewards were earned under these settings; older policies classified with the extraction model."""
+    asked = meta.get("query_model") or meta.get("extraction_model")
+    models = all(family(meta.get(k)) == family(settings.get(k)) for k in ("answer_model", "extraction_model"))
+    return meta.get("retrieval_version") == settings.get("retrieval_version") and models and family(asked) == family(settings.get("query_model"))
+
+
+def policy_status(arms: dict | None, meta: dict, settings: dict) -> dict:
+    """What is deployed, and whether it fits exactly, by family, or not."""
+    if arms is None:
+        return {"deployed": False, "compatible": False}
+    exact = all(meta.get(k) == settings.get(k) for k in ("answer_model", "backend"))
+    return {"deployed": True, "compatible": compatible(meta, settings), "exact_match": exact, "arms": list(arms), "metadata": {k: meta.get(k) for k in ("dataset", "split", "answer_model", "retrieval_version")}}
+
+
+def validate(arms: dict, meta: dict, manifest: dict, settings: dict, names: tuple[str, ...], dim: int = DIM) -> None:
+    """Raises unless the policy may be evaluated on the data set: all arms, trained on train splits, of the same version and settings."""
+    if set(arms) != set(names) or any(len(theta) != dim for _, theta in arms.values()):
+        raise ValueError("the policy has other arms or dimensions")
+    if meta.get("split") != "train":
+        raise ValueError("the policy was not trained on train splits alone")
+    known = meta.get("datasets") or {meta.get("dataset"): meta.get("dataset_fingerprint")}
+    if known.get(manifest["dataset"], manifest["fingerprint"]) != manifest["fingerprint"]:
+        raise ValueError("the policy was trained on another version of this data set")
+    if wrong := [k for k in (*SAME, "judge_model", "backend") if meta.get(k) != settings.get(k)]:
+        raise ValueError(f"the policy was trained with other settings: {', '.join(wrong)}")
+
+
+def digest(arms: dict) -> str:
+    """SHA-256 of a policy's numbers: a frozen one keeps it."""
+    import hashlib
+
+    return hashlib.sha256(b"".join(a.encode() + inverse.tobytes() + theta.tobytes() for a, (inverse, theta) in sorted(arms.items()))).hexdigest()
+
+
+def frozen(records: DataFrame, arms: dict) -> DataFrame:
+    """Records with the policy's greedy choice and its reward; nothing is learned. records: question_id, x, reward_<arm>."""
+    before = digest(arms)
+    out = predict(records, arms)
+    reward = F.coalesce(*[F.when(F.col("engine") == a, F.col(f"reward_{a}")) for a in arms])
+    assert digest(arms) == before
+    return out.withColumn("router_reward", reward).withColumnRenamed("engine", "router_engine")
+
+
+def replayed(rows: DataFrame, names: tuple[str, ...], alpha: float, dim: int = DIM) -> DataFrame:
+    """ord, arm, reward: a bandit that learns from its own choices alone, in the order of `ord`. rows: ord, x, reward_<arm>.
+
+    Each choice depends on the last, so one task folds the sorted rows; it holds a batch and the statistics, never the rows.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = {n: np.eye(dim) for n in names}, {n: np.zeros(dim) for n in names}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.array(r["x"])
+                inverse = {n: np.linalg.inv(a[n]) for n in names}
+                bound = {n: x @ inverse[n] @ b[n] + alpha * np.sqrt(max(x @ inverse[n] @ x, 0.0)) for n in names}
+                arm = max(names, key=bound.__getitem__)
+                reward = r[f"reward_{arm}"]
+                a[arm] += np.outer(x, x)
+                b[arm] += reward * x
+                out.append((r["ord"], arm, reward))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["ord", "arm", "reward"])
+
+    own = rows.select(F.col("ord").cast("long").alias("ord"), "x", *[F.col(f"reward_{n}").cast("double").alias(f"reward_{n}") for n in names])
+    return own.orderBy("ord").coalesce(1).mapInArrow(run, "ord long, arm string, reward double")
+
+
+def routed(questions: DataFrame, corpus_features: DataFrame, arms: dict | None, meta: dict, settings: dict, fallback: tuple[str, str], names: tuple[str, ...]) -> DataFrame:
+    """question_id, engine, reason, source, category, rewards: each question's engine.
+
+    With no documents the vector engine (`empty`); without a fitting policy the corpus verdict, `fallback` (engine, reason);
+    else the arm of the highest predicted reward, ties to the first. questions: question_id, category; corpus_features: one
+    row of cross_doc_fraction, recurrence, num_docs, n_docs.
+    """
+    q = questions.crossJoin(F.broadcast(corpus_features.select("cross_doc_fraction", "recurrence", "num_docs", "n_docs")))  # one row
+    q = q.withColumn("x", context(F.col("cross_doc_fraction"), F.col("recurrence"), F.col("num_docs"), F.col("category")))
+    why = "no trained policy" if arms is None else "the policy has other engines" if set(arms) != set(names) else "the policy's settings changed" if not compatible(meta, settings) else ""
+    if why:
+        none = F.lit(None).cast("map<string,double>")
+        out = q.select("question_id", F.lit(fallback[0]).alias("engine"), F.lit(f"[fallback: {why}] {fallback[1]}").alias("reason"), F.lit("corpus_fallback").alias("source"), "category", none.alias("rewards"), "n_docs")
+    else:
+        told = F.array_join(F.transform(F.map_entries("rewards"), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 2))), ", ")
+        p = predict(q, arms)
+        out = p.select("question_id", "engine", F.concat(F.lit("question classified as '"), "category", F.lit("'; predicted reward "), told).alias("reason"), F.lit("bandit").alias("source"), "category", "rewards", "n_docs")
+    empty = F.col("n_docs") == 0
+    return out.select("question_id", F.when(empty, "vector").otherwise(F.col("engine")).alias("engine"), F.when(empty, "No documents ingested yet.").otherwise(F.col("reason")).alias("reason"), F.when(empty, "empty").otherwise(F.col("source")).alias("source"), "category", F.when(~empty, F.col("rewards")).alias("rewards"))

@@ -11,7 +11,7 @@ from quaestor.functions.text import token_estimate
 def from_events(events: DataFrame) -> DataFrame:
     """Events read as a request log: the type is the endpoint, the value the latency."""
     status = F.when(F.col("event_type") == "error", "error").when(F.pmod("user_id", F.lit(10)) == 0, "cached").otherwise("ok")
-    engine = F.element_at(F.array(F.lit("graphrag"), F.lit("vector_rag"), F.lit("hybrid_rag")), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
+    engine = F.element_at(F.array(F.lit("graph"), F.lit("vector"), F.lit("hybrid")), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
     return events.select(
         F.col("event_id").alias("request_id"), "ts", F.col("event_type").alias("endpoint"), status.alias("status"), engine.alias("engine"), (F.col("value") * 10).alias("latency_ms"),
         (F.length("props") * 10).cast("long").alias("prompt_tokens"), F.pmod("user_id", F.lit(50)).alias("completion_tokens"), (F.col("value") * 8).alias("llm_ms"), F.pmod("user_id", F.lit(2)).cast("int").alias("routed"),

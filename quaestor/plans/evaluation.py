@@ -9,9 +9,9 @@ from quaestor.sources.tables import table
 
 
 def _ranked(spark, d):
-    """Neighbours of every 25th vector, and as gold the nearby ids of its label."""
+    """Neighbours of every 20th vector, and as gold the nearby ids of its label."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 25 = 0")
+    q = v.where("vec_id % 20 = 0")
     ranked = dense.topk(q.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")), v, 5)
     docs = ranked.select("question_id", "rank", F.floor(F.col("vec_id") / 2).cast("long").alias("doc_id"))
     gold = q.select(F.col("vec_id").alias("question_id"), F.col("label").alias("l")).join(v.select(F.floor(F.col("vec_id") / 2).cast("long").alias("doc_id"), F.col("label").alias("l"), "vec_id"), "l").where("vec_id <> question_id AND vec_id % 3 = 0")
@@ -113,17 +113,21 @@ def answer_quality(spark, d):
 
 
 _REC = "r AS (SELECT event_id, event_type AS task, (user_id * 3 + event_id) % 11 / 10.0::DOUBLE AS a, (user_id * 5 + event_id) % 11 / 10.0::DOUBLE AS b, (user_id * 7 + event_id) % 11 / 10.0::DOUBLE AS c, user_id % 3 AS k FROM events), rr AS (SELECT *, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS r, greatest(a, b, c) AS o FROM r)"
-_REQ = "req AS (SELECT event_id AS request_id, ts, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 'error' WHEN user_id % 10 = 0 THEN 'cached' ELSE 'ok' END AS status, ['graphrag', 'vector_rag', 'hybrid_rag'][(user_id % 3 + 1)::INT] AS engine, value * 10 AS latency_ms, (length(props) * 10)::BIGINT AS prompt_tokens, (user_id % 50)::BIGINT AS completion_tokens, value * 8 AS llm_ms, (user_id % 2)::INT AS routed FROM events)"
+_REQ = "req AS (SELECT event_id AS request_id, ts, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 'error' WHEN user_id % 10 = 0 THEN 'cached' ELSE 'ok' END AS status, ['graph', 'vector', 'hybrid'][(user_id % 3 + 1)::INT] AS engine, value * 10 AS latency_ms, (length(props) * 10)::BIGINT AS prompt_tokens, (user_id % 50)::BIGINT AS completion_tokens, value * 8 AS llm_ms, (user_id % 2)::INT AS routed FROM events)"
 _LAT = ", ".join(f"round(quantile_cont(latency_ms, {q}), 1) AS p{int(q * 100)}" for q in (0.5, 0.95, 0.99)) + ", round(avg(latency_ms), 1) AS mean_ms, round(max(latency_ms), 1) AS max_ms"
-_RANKED = """n AS (SELECT q.vec_id AS question_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-8)), 9) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0),
+_RANKED = """n AS (SELECT q.vec_id AS question_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-8)), 9) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 u AS (SELECT question_id, vec_id // 2 AS doc_id, min(rank) AS rank FROM n WHERE rank <= 5 GROUP BY ALL), k AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id) AS rank FROM u),
-g AS (SELECT DISTINCT q.vec_id AS question_id, v.vec_id // 2 AS doc_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 25 = 0 AND v.vec_id <> q.vec_id AND v.vec_id % 3 = 0), gs AS (SELECT question_id, count(*) AS n_gold FROM g GROUP BY 1),
+g AS (SELECT DISTINCT q.vec_id AS question_id, v.vec_id // 2 AS doc_id FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND v.vec_id % 3 = 0), gs AS (SELECT question_id, count(*) AS n_gold FROM g GROUP BY 1),
 h AS (SELECT k.* FROM k JOIN g USING (question_id, doc_id)),
 s AS (SELECT gs.question_id, n_gold, min(rank) AS first, """ + ", ".join(f"count(*) FILTER (rank <= {k})::DOUBLE AS h{k}, coalesce(sum(1 / log2(rank + 1.0)) FILTER (rank <= {k}), 0) AS g{k}" for k in (1, 3, 5)) + """ FROM gs LEFT JOIN h USING (question_id) GROUP BY ALL),
 m AS (SELECT question_id, """ + ", ".join(f"h{k} / {k} AS p_at_{k}, h{k} / n_gold AS r_at_{k}, g{k} / list_sum([1 / log2(i + 1.0) FOR i IN range(1, least({k}, n_gold) + 1)]) AS ndcg_at_{k}" for k in (1, 3, 5)) + ", CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END AS hit, coalesce(1.0 / first, 0.0) AS rr FROM s)"
 _METRICS = [f"{m}_at_{k}" for k in (1, 3, 5) for m in ("p", "r", "ndcg")] + ["hit", "rr"]
-_BOOT = """n AS (SELECT count(*) AS n, avg(x) AS mean FROM v), b AS (SELECT unnest(range(0, 500)) AS b), j AS (SELECT unnest(range(0, (SELECT n FROM n))) AS j),
-dr AS (SELECT b, ((b * 7919 + j * 104729 + 12345) * 1103515245 + 12345) % 2147483648 % (SELECT n FROM n) AS k FROM b, j), ms AS (SELECT b, avg(x) AS m FROM dr JOIN v USING (k) GROUP BY b),
+_MIX = "(b * 7919 + k % 2147483647 * 104729 + 12345) % 2147483647"
+_ROUND = "xor({0}, {0} >> {1}) * {2} % 2147483647"
+_TIMES = " + ".join(f"(h > {t})::INT" for t in evaluation.POISSON)
+_BOOT = f"""n AS (SELECT count(*) AS n, avg(x) AS mean FROM v), b AS (SELECT unnest(range(0, 500)) AS b),
+h0 AS (SELECT b, x, {_MIX} AS h FROM v, b), h1 AS (SELECT b, x, {_ROUND.format('h', 15, 48271)} AS h FROM h0), h2 AS (SELECT b, x, {_ROUND.format('h', 13, 69621)} AS h FROM h1), h3 AS (SELECT b, x, {_ROUND.format('h', 16, 16807)} AS h FROM h2),
+ws AS (SELECT b, x, {_TIMES} AS w FROM h3), ms AS (SELECT b, sum(w * x) / sum(w) AS m FROM ws WHERE w > 0 GROUP BY b),
 ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) AS p FROM ms)"""
 
 QUERIES = {
@@ -135,15 +139,15 @@ QUERIES = {
         agreement,
         "WITH p AS (SELECT (user_id % 6)::DOUBLE AS a, ((user_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) % 6)::DOUBLE AS b FROM events), s AS (SELECT count(*) AS n, avg((a = b)::INT) AS exact, avg((abs(b - a) <= 1)::INT) AS within_1, avg(abs(b - a)) AS mad, avg(b - a) AS bias, avg(((a >= 3) = (b >= 3))::INT) AS po, avg((a >= 3)::INT) AS px, avg((b >= 3)::INT) AS py FROM p) SELECT n, round(exact, 6) AS exact, round(within_1, 6) AS within_1, round(mad, 6) AS mad, round(bias, 6) AS bias, round((po - (px * py + (1 - px) * (1 - py))) / (1 - (px * py + (1 - px) * (1 - py))), 6) AS kappa FROM s",
     ),
-    "bootstrap_ci": (bootstrap_ci, f"WITH v AS (SELECT event_id AS k, value / 100 AS x FROM events WHERE event_id < 200), {_BOOT} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM n, ci"),
-    "paired_bootstrap": (paired_bootstrap, f"WITH v AS (SELECT event_id AS k, value / 100 - user_id % 10 / 10.0::DOUBLE AS x FROM events WHERE event_id < 200), {_BOOT} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_better, lo > 0 OR hi < 0 AS significant FROM n, ci"),
+    "bootstrap_ci": (bootstrap_ci, f"WITH v AS (SELECT event_id AS k, value / 100 AS x FROM events), {_BOOT} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM n, ci"),
+    "paired_bootstrap": (paired_bootstrap, f"WITH v AS (SELECT event_id AS k, value / 100 - user_id % 10 / 10.0::DOUBLE AS x FROM events), {_BOOT} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_better, lo > 0 OR hi < 0 AS significant FROM n, ci"),
     "policy_compare": (
         policy_compare,
-        f"WITH {_REC}, l AS (SELECT task, unnest(['always_graphrag', 'always_vector_rag', 'always_hybrid_rag', 'random', 'oracle', 'router']) AS policy, unnest([a, b, c, (a + b + c) / 3, o, r]) AS x FROM rr) SELECT policy, coalesce(task, 'all') AS task, count(*) AS n, round(avg(x), 6) AS mean FROM l GROUP BY GROUPING SETS ((policy), (policy, task))",
+        f"WITH {_REC}, l AS (SELECT task, unnest(['always_graph', 'always_vector', 'always_hybrid', 'random', 'oracle', 'router']) AS policy, unnest([a, b, c, (a + b + c) / 3, o, r]) AS x FROM rr) SELECT policy, coalesce(task, 'all') AS task, count(*) AS n, round(avg(x), 6) AS mean FROM l GROUP BY GROUPING SETS ((policy), (policy, task))",
     ),
     "outright_wins": (
         outright_wins,
-        f"WITH {_REC} SELECT CASE WHEN (a = o)::INT + (b = o)::INT + (c = o)::INT > 1 THEN 'tie' WHEN a = o THEN 'graphrag' WHEN b = o THEN 'vector_rag' ELSE 'hybrid_rag' END AS winner, count(*) AS n, round(avg((r = o)::INT), 6) AS optimal_pick, round(avg(o - r), 6) AS regret FROM rr GROUP BY 1",
+        f"WITH {_REC} SELECT CASE WHEN (a = o)::INT + (b = o)::INT + (c = o)::INT > 1 THEN 'tie' WHEN a = o THEN 'graph' WHEN b = o THEN 'vector' ELSE 'hybrid' END AS winner, count(*) AS n, round(avg((r = o)::INT), 6) AS optimal_pick, round(avg(o - r), 6) AS regret FROM rr GROUP BY 1",
     ),
     "latency_percentiles": (latency_percentiles, f"WITH {_REQ} SELECT endpoint, count(*) AS n, {_LAT} FROM req WHERE status = 'ok' GROUP BY endpoint"),
     "request_summary": (

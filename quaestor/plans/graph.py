@@ -139,7 +139,7 @@ def cost_aware_reward(spark, d):
 _HOP = """r0 AS (SELECT unnest(['s1', 'p7']) AS node), both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 r1 AS (SELECT node, 0 AS hop FROM r0 UNION ALL SELECT DISTINCT dst, 1 FROM both_ways WHERE src IN (SELECT node FROM r0) AND dst NOT IN (SELECT node FROM r0)),
 r2 AS (SELECT node, hop FROM r1 UNION ALL SELECT DISTINCT dst, 2 FROM both_ways WHERE src IN (SELECT node FROM r1) AND dst NOT IN (SELECT node FROM r1))"""
-_NODES = "nodes AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS k FROM lineitem WHERE l_orderkey % 100 = 1 GROUP BY 1), f AS (SELECT count(*) AS n, count(*) FILTER (k >= 2) AS shared, max(k) AS most, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 100 = 1) AS n_docs FROM nodes)"
+_NODES = "nodes AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS k FROM lineitem GROUP BY 1), f AS (SELECT count(*) AS n, count(*) FILTER (k >= 2) AS shared, max(k) AS most, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_docs FROM nodes)"
 _CATS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CAT.items()) + " ELSE 'global' END"
 _CTX = "c AS (SELECT event_id, 'arm' || (user_id % 3) AS arm, least(value / 100, 1.0) AS reward, [value / 200, hour(ts) / 24.0::DOUBLE, 0.5, " + ", ".join(f"CASE WHEN {_CATS} = '{k}' THEN 1.0 ELSE 0.0 END" for k in router.CATEGORIES) + ", 1.0]::DOUBLE[] AS x FROM events)"
 
@@ -170,7 +170,7 @@ SELECT node, coalesce(first(type ORDER BY ord, type) FILTER (type <> 'Other'), '
     "corpus_verdict": (
         corpus_verdict,
         f"""WITH {_NODES}, s AS (SELECT n_docs, shared, c, m, a FROM f, (VALUES (0, NULL, NULL), (1, 0.3, 0.7), (2, 0.05, 0.7), (3, 0.3, 0.5)) t(c, m, a))
-SELECT c::BIGINT AS "case", CASE WHEN n_docs < 2 OR shared < 1 OR coalesce(m < 0.1, false) OR coalesce(a < 0.55, false) THEN 'vector_rag' ELSE 'graphrag' END AS engine,
+SELECT c::BIGINT AS "case", CASE WHEN n_docs < 2 OR shared < 1 OR coalesce(m < 0.1, false) OR coalesce(a < 0.55, false) THEN 'vector' ELSE 'graph' END AS engine,
 concat_ws('; ', CASE WHEN n_docs < 2 THEN 'fewer than two documents' WHEN shared < 1 THEN 'no shared entities' ELSE shared || ' shared entities' END, CASE WHEN m < 0.1 THEN 'low modularity' WHEN m IS NOT NULL THEN 'clear communities' END, CASE WHEN a < 0.55 THEN 'links hard to predict' WHEN a IS NOT NULL THEN 'links predictable' END) AS reason FROM s""",
     ),
     "context_vectors": (context_vectors, f"WITH {_CTX} SELECT event_id, " + ", ".join(f"round(x[{i + 1}], 9) AS x{i}" for i in range(router.DIM)) + " FROM c"),

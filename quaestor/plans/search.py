@@ -98,14 +98,14 @@ def dense_topk(spark, d):
 
 def dense_topk_multi(spark, d):
     v = _vectors(spark, d)
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
     return dense.topk(q, v, 20).select("question_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def cosine_matrix(spark, d):
-    """Similarities of a stated question set (ids divisible by 50) to all vectors, as sums for each."""
+    """Similarities of a stated question set (ids divisible by 20) to all vectors, as sums for each."""
     v = _vectors(spark, d)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
     s = v.crossJoin(F.broadcast(q)).select("question_id", dense.cosine(F.col("embedding"), F.col("q")).alias("s"))
     return s.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 5).alias("total"), F.round(F.max("s"), 6).alias("most"), F.round(F.min("s"), 6).alias("least"))
 
@@ -173,8 +173,8 @@ k AS (SELECT doc_id, p, list_filter(p, lambda x: NOT regexp_matches(x, '(?i)\bth
 SELECT doc_id, len(p) AS paragraphs, len(k) AS kept, length(array_to_string(k, chr(10) || chr(10))) AS chars FROM k""",
     ),
     "dense_topk": (dense_topk, _dense_sql("q.vec_id = 0") + "SELECT rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 20"),
-    "dense_topk_multi": (dense_topk_multi, _dense_sql("q.vec_id % 100 = 0") + "SELECT question_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 20"),
-    "cosine_matrix_sample": (cosine_matrix, f"SELECT q.vec_id AS question_id, count(*) AS n, round(sum({_COS}), 5) AS total, round(max({_COS}), 6) AS most, round(min({_COS}), 6) AS least FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id"),
+    "dense_topk_multi": (dense_topk_multi, _dense_sql("q.vec_id % 20 = 0") + "SELECT question_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 20"),
+    "cosine_matrix_sample": (cosine_matrix, f"SELECT q.vec_id AS question_id, count(*) AS n, round(sum({_COS}), 5) AS total, round(max({_COS}), 6) AS most, round(min({_COS}), 6) AS least FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id"),
     "mean_seed_neighbors": (
         mean_seed_neighbors,
         f"""WITH m AS (SELECT list(x ORDER BY i) AS embedding FROM (SELECT i, avg(x::DOUBLE) AS x FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label = 3 AND vec_id < 100) GROUP BY i)),

@@ -17,7 +17,8 @@ def _words(spark, d):
     return words.select("doc_id", "line", "w", F.explode(starts).alias("k")).select("doc_id", "line", F.array_join(F.slice("w", F.col("k"), F.lit(3)), " ").alias("s"))
 
 
-_W = "w AS (SELECT doc_id, unnest(range(0, least(5, len(string_split(text, chr(10)))))) AS line, string_split(text, chr(10)) AS l FROM documents), w2 AS (SELECT doc_id, line, array_to_string(string_split(l[line + 1], ' ')[1:3], ' ') AS s FROM w)"
+_W = """l0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), l1 AS (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS s FROM l0),
+w AS (SELECT doc_id, line, string_split(s, ' ') AS w FROM l1), w1 AS (SELECT doc_id, line, w, unnest(range(1, len(w) + 1, 3)) AS k FROM w), w2 AS (SELECT doc_id, line, array_to_string(w[k:k + 2], ' ') AS s FROM w1)"""
 
 
 def predicate_bucket(spark, d):
@@ -67,7 +68,7 @@ def canonical_model(spark, d):
 
 
 def cache_key(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.cache_key(F.col("text"), F.lit("hybrid_rag"), F.lit("v2")).alias("key"))
+    return table(spark, d, "benchmark").select("item_id", T.cache_key(F.col("text"), F.lit("hybrid"), F.lit("v2")).alias("key"))
 
 
 def safe_filename(spark, d):
@@ -151,7 +152,7 @@ QUERIES = {
     "clean_text": (clean_text, r"WITH c AS (SELECT doc_id, trim(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS md5, length(t) AS n FROM c"),
     "corp_suffix": (corp_suffix, rf"SELECT c_custkey, lower(regexp_replace(trim(c_name || [', Inc.', ' Corp', ' Holdings', ' LLC', '', ' Incorporated'][(c_custkey % 6 + 1)::INT]), '{T.SUFFIX}', '')) AS form FROM customer"),
     "canonical_model": (canonical_model, "SELECT p_partkey, regexp_replace(replace(lower(replace(p_brand, '#', ':') || ['-Instruct', '-chat', '-base'][(p_partkey % 3 + 1)::INT]), ':', '-'), '-(instruct|chat|it)$', '') AS model FROM part"),
-    "cache_key": (cache_key, r"SELECT item_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || chr(31) || 'hybrid_rag' || chr(31) || 'v2') AS key FROM benchmark"),
+    "cache_key": (cache_key, r"SELECT item_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || chr(31) || 'hybrid' || chr(31) || 'v2') AS key FROM benchmark"),
     "safe_filename": (safe_filename, r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '^.*[\\/]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:80], ''), 'document') AS name FROM pages"),
     "abstention_count": (abstentions, f"SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '{T.ABSTAIN}')) AS abstained FROM conversations GROUP BY role"),
     "round_robin_pick": (round_robin, "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS round FROM documents) SELECT round, lang, doc_id FROM r ORDER BY round, lang LIMIT 20"),

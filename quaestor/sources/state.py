@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REWARDS = "question_id string, dataset string, split string, task string, category string, context array<double>, reward_graphrag double, reward_vector_rag double, reward_hybrid_rag double, signature string"
+REWARDS = "question_id string, dataset string, split string, task string, category string, context array<double>, reward_graph double, reward_vector double, reward_hybrid double, signature string"
+
+
+def check_workspace(workspace: str) -> None:
+    if not 16 <= len(workspace) <= 32 or set(workspace) - set("abcdef0123456789"):
+        raise ValueError("a workspace id is 16 to 32 characters of a-f and 0-9")
 
 
 def save(df: DataFrame, path: str, workspace: str) -> None:
     """Replaces one workspace's rows, and no other's."""
-    if not workspace.isalnum() or not 16 <= len(workspace) <= 32 or set(workspace) - set("abcdef0123456789"):
-        raise ValueError("a workspace id is 16 to 32 characters of a-f and 0-9")
+    check_workspace(workspace)
     df.withColumn("workspace_id", F.lit(workspace)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
 
 
@@ -29,6 +33,24 @@ def pending(work: DataFrame, done: DataFrame, key: str = "fingerprint") -> DataF
     return work.join(done.select(key), key, "left_anti")
 
 
+def extracted(spark: SparkSession, chunks: DataFrame, path: str, extract, version: str = "1") -> DataFrame:
+    """doc_id, chunk_id, res, response of all chunks: kept responses for those whose text was asked about before, new ones for the rest.
+
+    A response counts only if it holds both lists; new ones are appended in one commit. chunks: doc_id, chunk_id, res, text.
+    """
+    work = chunks.withColumn("fingerprint", fingerprint(F.lit(version), F.col("text")))
+    whole = F.get_json_object("response", "$.entities").isNotNull() & F.get_json_object("response", "$.triples").isNotNull()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = spark.createDataFrame([], "fingerprint string, response string")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        done = spark.read.schema(done.schema).parquet(path).where(whole)
+    new = pending(work, done).dropDuplicates(["fingerprint"])
+    found = extract(new).join(new.select("chunk_id", "fingerprint"), "chunk_id")
+    found.where(whole).select("fingerprint", "response").write.mode("append").parquet(path)
+    kept = spark.read.schema(done.schema).parquet(path).where(whole).dropDuplicates(["fingerprint"])
+    return work.join(kept, "fingerprint").select("doc_id", "chunk_id", "res", "response")
+
+
 def rewards(spark: SparkSession, path: str) -> DataFrame:
     """Reward records of a JSON-lines file; raises if any is invalid, or if runs of different settings are mixed."""
     df = spark.read.schema(REWARDS).json(path)

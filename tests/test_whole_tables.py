@@ -31,21 +31,27 @@ def test_orders_of_parts_are_all_counted(spark):
     assert all(r.startswith(f"{(k >= 2).sum()} shared entities") for r in run(spark, "corpus_verdict").reason)
 
 
-def test_bootstraps_draw_from_every_row(spark):
-    from pyspark.sql import functions as F
-
-    from quaestor.operators import evaluation
+def test_bootstraps_weigh_every_row(spark):
+    import math
 
     e = read("events").sort_values("event_id")
-    n, j = len(e), np.arange(len(e))
+    k, prime = e.event_id.to_numpy().astype(np.int64), 2**31 - 1
+
+    def counts(b):
+        x = (b * 7919 + k % prime * 104729 + 12345) % prime
+        for shift, factor in ((15, 48271), (13, 69621), (16, 16807)):
+            x = (x ^ (x >> shift)) * factor % prime
+        return sum((x > int(prime * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)))).astype(int) for i in range(10))
+
+    w = np.stack([counts(b) for b in range(500)])
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.1
     for name, x in (("bootstrap_ci", e.value / 100), ("paired_bootstrap", e.value / 100 - e.user_id % 10 / 10)):
-        m = [x.to_numpy()[((b * 7919 + j * 104729 + 12345) * 1103515245 + 12345) % 2**31 % n].mean() for b in range(500)]
+        m = (w * x.to_numpy()).sum(axis=1) / w.sum(axis=1)
         got = run(spark, name).iloc[0]
-        assert (got.n, got["mean"]) == (n, pytest.approx(x.mean(), abs=1e-6))
+        assert (got.n, got["mean"]) == (len(e), pytest.approx(x.mean(), abs=1e-6))
         assert [got.lo, got.hi] == pytest.approx(np.quantile(m, [0.025, 0.975]), abs=2e-6)
-    k = 10_000_000  # more than 64 bits hold before the congruence is reduced
-    got = spark.range(k, k + 1).select(evaluation.draw(F.lit(499), F.col("id"), F.lit(k))).first()[0]
-    assert got == ((499 * 7919 + k * 104729 + 12345) * 1103515245 + 12345) % 2**31 % k
+        normal = 2 * 1.96 * x.std() / len(e) ** 0.5
+        assert 0.85 * normal < got.hi - got.lo < 1.15 * normal
 
 
 def test_evidence_of_every_event(spark):
