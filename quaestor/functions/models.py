@@ -74,4 +74,4 @@ def answer(prompts: DataFrame, model: LanguageModel, budgets: tuple[int, ...] =
                 out.append((i, TRUNCATED if cut else text, cut))
             yield pd.DataFrame(out, columns=["question_id", "answer", "cut"])
 
-    return prompts.select("question_id", "context", "question").repartition(at_once).mapInPandas(run, "question_id long, answer string, cut boolean")
+    return prompts.select("question_id", "context", "question").repartition(at_once).mapInPandas(run, f"question_id {prompts.schema["question_id"].dataType.simpleString()}, answer string, cut boolean")

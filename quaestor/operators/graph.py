@@ -60,7 +60,7 @@ def consolidate(mentions: DataFrame) -> DataFrame:
     mentions: node, type, description, doc_id, ord.
     """
     typed = F.min(F.when(F.col("type") != "Other", F.struct("ord", "type")))["type"]
-    longest = F.max(F.when(F.length("description") > 0, F.struct(F.length("description").alias("n"), (-F.col("ord")).alias("o"), F.col("description").alias("t"))))["t"]
+    longest = F.min(F.when(F.length("description") > 0, F.struct((-F.length("description")).alias("n"), "ord", F.col("description").alias("t"))))["t"]
     return mentions.groupBy("node").agg(F.coalesce(typed, F.lit("Other")).alias("type"), F.coalesce(longest, F.lit("")).alias("description"), F.array_sort(F.collect_set("doc_id")).alias("source_docs"))
 
 

@@ -1,23 +1,29 @@
-"""Names: similarity with years, best matches, and entity resolution in arrival order.
+"""Names: similarity with years, best matches, linking with a semantic fallback, and entity resolution in arrival order.
 
 Names can merge only if their numbers and quarters are the same set, so resolution runs for each such set on its own: the
 result is that of one pass over all arrivals. A name's first arrival decides for all its arrivals, so only first arrivals
-meet in a task: as many rows as a set has different names. A set without numbers may be large; its names are compared only
-within the length bound that the threshold implies, and its groups are further divided by type where types must agree.
+meet in a task: as many rows as a set has different names. Names without numbers are one such set; within it only names of
+lengths that can reach the threshold are compared.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.functions import models
 from quaestor.functions import text as T
+from quaestor.operators import dense
 
-#: Thresholds.
+#: Similarity that merges names; the factor of a conflict of years; cosines that merge names of one type
+#: without and with confirmation; what a link must exceed by letters and by meaning; links of a question.
 SAME, CONFLICT = 0.92, 0.4
+CERTAIN, POSSIBLE = 0.93, 0.80
+LETTERS, MEANING, LINKED = 0.55, 0.35, 4
 _SUFFIX, _YEAR = re.compile(T.SUFFIX), re.compile(T.YEAR)
 
 
@@ -32,59 +38,124 @@ def year_aware(name: str, candidate: str) -> float:
     return ratio * CONFLICT if a and b and not a & b else ratio
 
 
-def best_matches(names: DataFrame, nodes: DataFrame, least: float = 0.55) -> DataFrame:
-    """name, node, score: each asked name's best node above `least`, ties to the smaller node.
+def _pairs(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each asked name (few) beside each node: broadcast up to SMALL names, beyond that dealt in blocks."""
+    if asked.limit(dense.SMALL + 1).count() <= dense.SMALL:
+        return nodes.crossJoin(F.broadcast(asked))
+    dealt = nodes.withColumn("blk", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
+    return dealt.join(asked.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(63)))), "blk").drop("blk")
 
-    The asked names are a question's few entities; beyond SMALL they are dealt in blocks instead of broadcast.
-    """
-    from quaestor.operators.dense import SMALL
+
+def best_matches(names: DataFrame, nodes: DataFrame, least: float = LETTERS) -> DataFrame:
+    """name, node, score: each asked name's best node above `least`, ties to the smaller node."""
 
     @F.pandas_udf("double")
-    def score(a, b):
+    def ratio(a, b):
         import pandas as pd
 
-        return pd.Series([year_aware(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    asked = names.select("name").distinct()
-    if asked.limit(SMALL + 1).count() <= SMALL:
-        pairs = nodes.select("node").crossJoin(F.broadcast(asked))
-    else:
-        dealt = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int").alias("blk"))
-        pairs = dealt.join(asked.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(63)))), "blk")
-    # A ratio is at most 2 * shorter / (both): a cheap bound before Python.
+    pairs = _pairs(names.select("name").distinct(), nodes.select("node"))
+    # A ratio is at most 2 * shorter / (both): a cheap bound before Python. Years are compared in the JVM.
     a, b = F.length("name"), F.length("node")
-    scored = pairs.where(2 * F.least(a, b) / (a + b) > least).select("name", "node", score("name", "node").alias("score")).where(F.col("score") > least)
-    top = scored.groupBy("name").agg(F.max(F.struct("score", F.lit(0).alias("z"))).alias("m"), F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("node"))
-    return top.select("name", "node", F.col("m.score").alias("score"))
+    factor = F.when(T.year_conflict(F.col("name"), F.col("node")), CONFLICT).otherwise(1.0)
+    near = pairs.withColumn("factor", factor).where(F.col("factor") * 2 * F.least(a, b) / (a + b) > least)
+    scored = near.select("name", "node", (F.col("factor") * ratio(F.lower("name"), F.lower("node"))).alias("score")).where(F.col("score") > least)
+    top = scored.groupBy("name").agg(F.max("score").alias("score"), F.min_by("node", F.struct(-F.col("score"), F.col("node"))).alias("node"))
+    return top.select("name", "node", "score")
 
 
-def resolve(mentions: DataFrame, threshold: float = SAME) -> DataFrame:
-    """ord, name, canonical of each mention. mentions: ord, name, exact (table names: they take exact matches only)."""
+def by_meaning(names: DataFrame, nodes: DataFrame, least: float = MEANING) -> DataFrame:
+    """name, node, score: each asked name's node of largest cosine above `least`. nodes: node, type, description."""
+    asked = names.select("name").distinct().select("name", models.embed(F.col("name")).alias("q"))
+    told = F.concat(F.col("node"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.coalesce("description", F.lit("")))
+    pairs = _pairs(asked, nodes.select("node", models.embed(told).alias("v")))
+    s = pairs.select("name", "node", dense.cosine(F.col("v"), F.col("q")).alias("score")).where(F.col("score") > least)
+    return s.groupBy("name").agg(F.max("score").alias("score"), F.min_by("node", F.struct(-F.round("score", 9), F.col("node"))).alias("node")).select("name", "node", "score")
+
+
+def linked(questions: DataFrame, nodes: DataFrame, most: int = LINKED) -> DataFrame:
+    """question_id, node: the nodes that a question's entities name, by letters, else by meaning; the first `most`, none twice.
+
+    Questions without any get up to `most` + 1 nodes whose name, or its first six letters, stand in the question.
+    questions: question_id, question, entities; nodes: node, type, description.
+    """
+    named = questions.select("question_id", F.posexplode("entities").alias("at", "name")).where("name IS NOT NULL")
+    sure = best_matches(named, nodes)
+    rest = named.select("name").distinct().join(sure, "name", "left_anti")
+    best = sure.unionByName(by_meaning(rest, nodes))
+    hit = named.join(best, "name").groupBy("question_id", "node").agg(F.min("at").alias("at"))
+    found = hit.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("at", "node"))).where(F.col("r") <= most).select("question_id", "node")
+    none = questions.join(found, "question_id", "left_anti").select("question_id", F.lower("question").alias("name"))
+    own = F.lower("node")
+    inside = _pairs(none, nodes.select("node")).where(F.contains("name", own) | F.contains("name", F.substring(own, 1, 6)))
+    inside = inside.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("node"))).where(F.col("r") <= most + 1)
+    return found.unionByName(inside.select("question_id", "node"))
+
+
+def aliases(mentions: DataFrame, threshold: float = SAME, confirm: Callable[[str, str, str, str], bool] | None = None, meaning: bool = True) -> DataFrame:
+    """name, canonical of each distinct name, resolved in order of arrival, in tiers.
+
+    A name that came before, in any case, resolves as it did. Table names (exact) take nothing else. Others merge with the
+    most similar canonical name at `threshold`; else, with `meaning`, with the canonical name of the same type whose text is
+    nearest: at CERTAIN always, at POSSIBLE if `confirm` (name and description of both) agrees; table names are no such targets.
+    mentions: ord (anything that sorts), name, exact, and for meaning type, description.
+    """
 
     def run(key, table):
+        import numpy as np
         import pyarrow as pa
 
-        rows = sorted(zip(table.column("ord").to_pylist(), table.column("name").to_pylist(), table.column("exact").to_pylist(), strict=True))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("ord", "name", "exact", "type", "description", "vec")), strict=True), key=lambda r: r[:2])
         known: dict[str, str] = {}
         by_length: dict[int, list[tuple[int, str, str]]] = {}  # form's length -> (arrival, form, canonical)
+        meant: dict[str, list[tuple[str, str, np.ndarray]]] = {}  # type -> canonical, description, vector
         out = []
-        for n, (ord_, raw, exact) in enumerate(rows):
-            name = re.sub(r"\s+", " ", re.sub(r"^(the|this)\s+", "", (raw or "").strip(), flags=re.I))
+        for n, (_, raw, exact, kind, about, vec) in enumerate(rows):
+            name = re.sub(r"\s+", " ", re.sub(r"^(the|this)\s+", "", raw.strip(), flags=re.I))
             found = known.get(name.lower())
             if found is None and not exact:
                 found = _closest(form(name), by_length, threshold)
+                if found is None and vec is not None and (held := meant.get(kind)):
+                    found = _meant(name, about, np.asarray(vec), held, confirm)
             if found is None:
                 found = name
                 by_length.setdefault(len(form(name)), []).append((n, form(name), name))
+                if not exact and vec is not None:
+                    meant.setdefault(kind, []).append((name, about, np.asarray(vec)))
             known[name.lower()] = found
             out.append((raw, found))
         cols = list(zip(*out, strict=True))
-        return pa.table({"raw": pa.array(cols[0], pa.string()), "canonical": pa.array(cols[1], pa.string())})
+        return pa.table({"name": pa.array(cols[0], pa.string()), "canonical": pa.array(cols[1], pa.string())})
+
+    have = mentions.columns
+    kind = F.col("type") if "type" in have else F.lit("Other")
+    about = F.col("description") if "description" in have else F.lit("")
+    m = mentions.select("ord", F.coalesce("name", F.lit("")).alias("name"), "exact", kind.alias("type"), F.coalesce(about, F.lit("")).alias("description"))
+    m = m.groupBy("name").agg(F.min(F.struct("ord", "exact", "type", "description")).alias("m")).select("name", "m.*")
+    told = F.concat(F.col("name"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.col("description"))
+    vec = F.when(~F.col("exact"), models.embed(told)) if meaning else F.lit(None).cast("array<double>")
+    m = m.withColumn("numbers", F.array_join(T.number_key(F.col("name")), ",")).withColumn("vec", vec)
+    return m.groupBy("numbers").applyInArrow(run, "name string, canonical string")
 
-    keyed = mentions.select(F.col("ord").cast("long").alias("ord"), "name", "exact", F.array_join(T.number_key(F.coalesce("name", F.lit(""))), ",").alias("numbers"))
-    first = keyed.groupBy("numbers", "name").agg(F.min(F.struct("ord", "exact")).alias("m")).select("numbers", "m.ord", "name", "m.exact")
-    found = first.groupBy("numbers").applyInArrow(run, "raw string, canonical string")
-    return mentions.join(found, F.col("name").eqNullSafe(F.col("raw"))).select(F.col("ord").cast("long").alias("ord"), "name", "canonical")
+
+def resolve(mentions: DataFrame, threshold: float = SAME) -> DataFrame:
+    """ord, name, canonical of each mention, by letters alone. mentions: ord, name, exact."""
+    found = aliases(mentions.select("ord", "name", "exact"), threshold, meaning=False)
+    return mentions.join(found, F.coalesce(mentions["name"], F.lit("")) == found["name"]).select(mentions["ord"], mentions["name"], "canonical")
+
+
+def _meant(name: str, about: str, vec, held: list, confirm) -> str | None:
+    """The first canonical name of largest cosine, if that is enough."""
+    import numpy as np
+
+    v = np.stack([x for _, _, x in held])
+    scores = v @ vec / ((np.linalg.norm(v, axis=1) + 1e-8) * (np.linalg.norm(vec) + 1e-8))
+    top = int(scores.argmax())
+    other, its, _ = held[top]
+    if scores[top] >= CERTAIN or (scores[top] >= POSSIBLE and confirm is not None and confirm(name, about, other, its)):
+        return other
+    return None
 
 
 def _closest(f: str, by_length: dict, threshold: float) -> str | None:

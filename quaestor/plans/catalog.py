@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpora, documents, evaluation, graph, search, service
+from . import corpora, documents, evaluation, graph, knowledge, search, service
 
-ALL = {**search.QUERIES, **graph.QUERIES, **evaluation.QUERIES, **service.QUERIES, **documents.QUERIES, **corpora.QUERIES}
+ALL = {**search.QUERIES, **graph.QUERIES, **evaluation.QUERIES, **service.QUERIES, **documents.QUERIES, **corpora.QUERIES, **knowledge.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,10 +62,11 @@ def deduplicated(events: DataFrame, late: str = "40 days") -> DataFrame:
     return _stamped(events).withWatermark("at", late).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
-def limited(events: DataFrame, limit: int = 1, window_s: float = 3600.0) -> DataFrame:
+def limited(events: DataFrame, limit: int = 1, window_s: float = 3600.0, late: str = "1 day") -> DataFrame:
     """Each event with allowed and retry_after (seconds, when rejected). A rejected event does not count later.
 
-    The state of a key is the times of its allowed events within the window: `limit` at most.
+    The state of a key is the times of its allowed events within the window: `limit` at most. It goes when the watermark has
+    passed the window of the last one, so that keys that fell silent hold nothing.
     """
 
     def run(key, chunks, state):
@@ -73,6 +74,9 @@ def limited(events: DataFrame, limit: int = 1, window_s: float = 3600.0) -> Data
 
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(chunks)).sort_values(["t", "event_id"])
         out = []
@@ -84,10 +88,11 @@ def limited(events: DataFrame, limit: int = 1, window_s: float = 3600.0) -> Data
                 log.append(float(t))
                 out.append((int(i), key[0], True, 0))
         state.update((log,))
+        state.setTimeoutTimestamp(max(int((log[-1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed", "retry_after"])
 
-    rows = events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = _stamped(events).withWatermark("at", late).select("event_id", "user_id", "at", (F.unix_micros("at") / 1e6).alias("t"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def online_bandit(events: DataFrame, alpha: float = 0.5, dim: int = 3) -> DataFrame:
