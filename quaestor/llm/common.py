@@ -30,6 +30,17 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.quaestor.shipped", spark.sparkContext.applicationId)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Texts are long: Spark's own limits would have a partition in one batch.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch limit, where it stands at Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -55,18 +66,107 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: later plans start from files that survive lost executors."""
+def cut(df: DataFrame, *, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
+    """Write to the shared folder and read again: later plans start from files that survive lost executors.
+
+    snappy, as each open file of zstd holds megabytes outside the heap.
+    """
     path = scratch(df.sparkSession)
     df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and no plan reads any more; the rest is for the owner of the folder."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_scratch", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller can never clash with ours."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(n) for n in names])
 
 
+# ---- rows by their place: decisions travel, texts stay -------------------------------------------------------------
+
+PLACE = ("_file", "_row")
+#: Words of 64 marks in one broadcast: about 40 MB at the executors.
+WORDS = 1 << 18
+
+
+def _in_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from Parquet files, at most filtered and projected."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation") and "parquet" in plan.simpleString(25)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt to all cores; where the files fill them, and after any other step, nothing changes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _in_files(df) and df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def located(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and each row's file and place in it; rows that are not in Parquet files are written first."""
+    docs = own_columns(docs, *names)
+    docs = docs if _in_files(docs) else cut(docs)
+    return docs.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def with_marks(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs (located) with `_mark`: what `marked` (_file, _row, _mark of 1 to 3) says of the row, else 0.
+
+    No row of docs is shuffled. Marks are gathered to words of 64 rows of a file, and the words are broadcast to where the
+    rows are, at most WORDS at a time: beyond that, files are divided over several broadcasts, each for its own files. Where
+    a single file has more words than one broadcast may hold, its rows meet their marks by shuffle.
+    """
+    at = (F.col("_row") % 64).cast("int")
+    plane = lambda k: F.bit_or(F.when(F.col("_mark").bitwiseAND(k) > 0, F.expr("shiftleft(1L, cast(_row % 64 as int))")).otherwise(F.lit(0).cast("long")))
+    words = cut(marked.groupBy("_file", F.expr("_row div 64").alias("_word")).agg(plane(1).alias("_m1"), plane(2).alias("_m2")))
+    docs = docs.withColumn("_word", F.expr("_row div 64"))
+    mark = lambda d: d.withColumn("_mark", F.coalesce(F.getbit("_m1", at) + 2 * F.getbit("_m2", at), F.lit(0))).drop("_m1", "_m2", "_word")
+    n = words.count()
+    parts = 1 if n <= WORDS else 2 * n // WORDS + 1
+    share = F.pmod(F.xxhash64("_file"), F.lit(parts))
+    if parts > 1 and words.groupBy(share.alias("share")).count().agg(F.max("count")).first()[0] > WORDS:
+        return mark(docs.join(words.hint("merge"), ["_file", "_word"], "left"))
+    out = None
+    for k in range(parts):
+        own, its = (docs, words) if parts == 1 else (docs.where(share == k), words.where(share == k))
+        own = mark(own.join(F.broadcast(its), ["_file", "_word"], "left"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+#: A key is a head if it has more than one in HEADS of all rows, so that there are fewer heads than HEADS.
+HEADS = 1024
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row for each key; column n: how many of `rows` have it, or had) on keys.
+
+    Heads' rows, which may be a third of all, stay where they are and meet a broadcast of fewer than HEADS rows; the others
+    meet by shuffle. Where there is no head there is no broadcast.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    head = F.col(n) * HEADS > total
+    heads = groups.where(head)
+    if heads.isEmpty():
+        return rows.join(groups, keys, how)
+    more = [c for c in groups.columns if c not in keys]
+    met = rows.join(F.broadcast(heads.withColumn("_head", F.lit(True))), keys, "left")
+    light = met.where("_head IS NULL").drop("_head", *more).join(groups.where(~head), keys, how)
+    return met.where("_head").drop("_head").unionByName(light)
+
+
 # ---- what a Python worker keeps between tasks ----------------------------------------------------------------------
 
 _remembered: dict[str, Callable[[], None]] = {}
