@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node that has an edge to another; label: the smallest node of its component.
 
     edges: columns a and b, long. Rounds keep one smaller neighbour for each node, the smallest, and hand the others on
-    to it; then every node has one, and jumping over parents halves the depth each time. No step gathers a component, and
-    rows of one node are its smaller neighbours only, which copies of an edge are merged into before.
+    to it; then every node has one, and jumping over parents halves the depth each time. No step gathers a component or a
+    node's neighbours: the smallest is a partial aggregate, and nodes of many edges get it by broadcast.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     while True:
         e = cut(e)
-        low = F.min("lo").over(Window.partitionBy("hi"))
-        g = cut(e.withColumn("low", low))
+        low = cut(e.groupBy("hi").agg(F.min("lo").alias("low"), F.count(F.lit(1)).alias("n")))
+        g = cut(spread_join(e, low, ["hi"]).select("hi", "lo", "low"))
         rest = g.where("lo <> low")
         if rest.isEmpty():
             break
