@@ -9,45 +9,66 @@ longer by that much for each source reaches every target.
 Defined results: a null text has size 0; documents without words have taken 0; a source without words has target 0; the
 null source is a source of its own, last; rows that repeat are documents of their own; an empty table gives an empty
 result. Runs agree: the order is that of md5 of id and size.
+
+Sources may be as many as web domains: they are numbered by range partitions, shares come from few passes over the table of
+sources, and a source that holds a third of all documents meets its row by broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, own_columns, read, text_of
+from .common import WORD, cut, own_columns, read, spread, spread_join
 
 BLOCK = 256  # words
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: The golden ratio's fraction, and that of 2**20 times it.
 PHI, PHI20 = 0.6180339887498949, 0.6088378504735308
-GRID, CHUNK, SUPER = 1024, 512, 2048
+CHUNK, SUPER = 512, 2048
+
+
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    size = F.expr(f"regexp_count(coalesce(text, ''), r'{WORD}')").cast("long").alias("size")
+    return spread(own_columns(docs, "doc_id", "text", "source", *keep)).select("doc_id", "source", *keep, size)
+
+
+def _name() -> Column:
+    """The source as a value that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return own_columns(docs, "doc_id", "text", "source").select("doc_id", "source", F.expr(f"regexp_count(coalesce(text, ''), r'{WORD}')").cast("long").alias("size"))
+def _numbered(s: DataFrame) -> DataFrame:
+    """`sid`: place of the source by code point, null last, from 0."""
+    order = F.asc_nulls_last("source")
+    s = s.repartitionByRange(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    s = cut(s.withColumn("at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    parts = s.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return s.withColumn("part", part).join(F.broadcast(before), "part").withColumn("sid", (row + F.col("before")).cast("int")).drop("at", "part", "before")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """sid, source, source_size, target of each source: shares by weight, none above twice its size.
+    """sid, source, name, docs, source_size, target of each source: shares by weight, none above twice its size.
 
-    With the sources in order of cap over weight, the capped ones are a prefix: for each position, `level` is what a
-    unit of weight gets if all before are capped. One row for each source meets in one task.
+    `level` is what a unit of weight gets. Each pass takes the sources that reach their cap out and shares what is left; the
+    level only rises, so that the capped only grow, and it ends when none joins them.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    s = s.withColumn("sid", F.row_number().over(by_name) - 1)
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")))
-    everything = Window.partitionBy()
-    up = Window.orderBy(F.col("source_size") / F.col("w"), "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("total", F.sum("source_size").over(everything)).withColumn("cap", 2.0 * F.col("source_size"))
-    s = s.withColumn("before", F.sum("cap").over(up) - F.col("cap")).withColumn("left", F.sum("w").over(everything) - F.sum("w").over(up) + F.col("w"))
-    s = s.withColumn("level", (F.lit(share) * F.col("total") - F.col("before")) / F.col("left"))
-    free = F.col("level") * F.col("w") < F.col("cap")
-    s = s.withColumn("free_level", F.min(F.when(free, F.struct(F.col("source_size") / F.col("w"), "sid", "level"))).over(everything)["level"])
-    return s.select("sid", "source", "source_size", F.coalesce(F.least("cap", F.col("free_level") * F.col("w")), "cap").alias("target"))
+    s = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
+    w = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    s = cut(s.withColumn("w", w).withColumn("cap", 2.0 * F.col("source_size")).withColumn("name", _name()))
+    sums = F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")
+    all_, held, level = s.agg(*sums).first(), (0.0, 0.0), None
+    while all_.w > held[1]:
+        level = (share * all_.cap / 2 - held[0]) / (all_.w - held[1])
+        now = s.where(F.col("w") * level >= F.col("cap")).agg(*sums).first()
+        if (now.cap, now.w) == held:
+            break
+        held, level = (now.cap, now.w), None
+    target = F.col("cap") if level is None else F.least("cap", F.col("w") * level)
+    return s.select("sid", "source", "name", "docs", "source_size", target.alias("target"))
 
 
 def _running(df: DataFrame, group: str, digits: list[str], value: str, out: str) -> DataFrame:
@@ -76,15 +97,16 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> Dat
         return spark.createDataFrame([], "k long, sid int, rank long, block long, take long")
     pad = 8 + 2 * (all_ + 64 * n).bit_length()  # above what the counts of golden-ratio points can be off
     points = all_ + pad * n
-    w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("hi", F.sum(F.col("need") + pad).over(w)).withColumn("lo", F.col("hi") - F.col("need") - pad)
-    cell = lambda c: F.floor(F.col(c) * float(GRID) / points)
-    s = cut(s.withColumn("cell", F.explode(F.sequence(F.greatest(cell("lo") - 1, F.lit(0)), F.least(cell("hi") + 1, F.lit(GRID - 1))))))
+    s = s.withColumn("all", F.lit(0)).withColumn("far", F.expr("sid div 1048576")).withColumn("near", F.expr("sid div 1024")).withColumn("width", F.col("need") + pad)
+    s = _running(cut(s), "all", ["far", "near", "sid"], "width", "lo").withColumn("hi", F.col("lo") + F.col("width")).drop("all", "far", "near", "width")
+    grid = max(1024, 1 << (2 * n).bit_length())  # cells: a few sources in each
+    cell = lambda c: F.floor(F.col(c) * float(grid) / points)
+    s = cut(s.withColumn("cell", F.explode(F.sequence(F.greatest(cell("lo") - 1, F.lit(0)), F.least(cell("hi") + 1, F.lit(grid - 1))))))
     k = F.col("k")
     x = F.expr(f"(k div 1048576) * {PHI20!r}D")
     x = (x - F.floor(x)) + (k % 1048576) * F.lit(PHI)
     p = spark.range(points).withColumnRenamed("id", "k").withColumn("x", x - F.floor(x))
-    p = p.withColumn("cell", F.floor(F.col("x") * GRID)).withColumn("y", F.col("x") * float(points))
+    p = p.withColumn("cell", F.floor(F.col("x") * grid)).withColumn("y", F.col("x") * float(points))
     p = p.join(s, "cell").where("y >= lo AND y < hi").select("k", "sid", "source_size", "goal", "per_pass", "need", F.lit(1).cast("long").alias("one"))
     p = cut(p.withColumn("far", F.expr(f"k div {CHUNK * SUPER}")).withColumn("near", F.expr(f"k div {CHUNK}")))
     p = _running(p, "sid", ["far", "near", "k"], "one", "rank").where("rank < need")
@@ -94,24 +116,25 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> Dat
     return p.select("k", "sid", "rank", "block", take.cast("long").alias("take")).where("take > 0")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, taken, and the kept columns."""
     spark = docs.sparkSession
-    sizes = cut(sized(docs))
+    sizes = cut(sized(docs, keep))
     sources = cut(targets(sizes, weights, share))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
-    rows = sizes.withColumnRenamed("source", "src").join(sources, F.col("src").eqNullSafe(F.col("source")))
-    rows = rows.select("sid", "doc_id", "size", "source_size", "target", key.alias("key"), F.substring(key, 1, 3).alias("bin"))
-    none = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    some = cut(rows.where("size > 0").withColumn("order", F.struct("key", F.col("doc_id").isNull().alias("noid"), "doc_id")))
-    some = _running(some, "sid", ["bin", "order"], "size", "off").select("sid", "doc_id", "size", "source_size", "target", "off")
+    rows = spread_join(sizes.withColumn("name", _name()).drop("source"), sources.select("name", "sid", "docs", "source_size", "target"), ["name"], "docs")
+    rows = rows.select("sid", "doc_id", *keep, "size", "source_size", "target", key.alias("key"), F.substring(key, 1, 3).alias("bin"))
+    out = ("doc_id", "size", "source_size", "target", "taken", *keep)
+    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)
+    some = cut(rows.where("size > 0").withColumn("order", F.struct("key", F.col("doc_id").isNull().alias("noid"), "doc_id", *keep)))
+    some = _running(some, "sid", ["bin", "order"], "size", "off").select("sid", "doc_id", *keep, "size", "source_size", "target", "off")
     slots = cut(schedule(spark, sources, block).groupBy("sid", "block", "take").agg(F.count(F.lit(1)).alias("times")))
     parts = some.withColumn("block", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
     parts = parts.join(slots, ["sid", "block"], "left")
     start = F.col("block") * block
     words = F.greatest(F.lit(0).cast("long"), F.least(F.col("off") + F.col("size"), start + F.col("take")) - F.greatest("off", start))
-    taken = parts.groupBy("sid", "off", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("times") * words), F.lit(0)).cast("long").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken").unionByName(none)
+    taken = parts.groupBy("sid", "off", "doc_id", *keep, "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("times") * words), F.lit(0)).cast("long").alias("taken"))
+    return taken.select(*out).unionByName(none)
 
 
 def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
