@@ -1,7 +1,10 @@
 """The corpus pipeline: five training-data operators, each over all that the one before kept.
 
-Decisions follow ids: where rows share an id, a stage keeps or drops them together, but for exact copies of a row, of
-which one stays. Null ids are kept and dropped like any id.
+Decisions are about rows, known by file and place, so that repeated ids and null ids need no care: of equal rows one stays.
+Decisions travel as marks of a bit or two; no stage shuffles the texts that it passes on.
+
+Defined results, in all stages: a null text counts as empty; empty texts have no language and go in the first stage; an
+empty table gives an empty result; columns other than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import exact_dedup, language_id, minhash, mixing, pieces
-from quaestor.llm.common import cut, remainder, ship, text_of
+from quaestor.llm.common import PLACE, cut, located, own_columns, remainder, ship, with_marks
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _of(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+    return own_columns(docs, *COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,35 +30,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return with_marks(docs, gone.select(*PLACE, F.lit(1).alias("_mark"))).where("_mark = 0").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
-    docs = _of(docs)
-    own = docs.withColumn("_own", F.sha2(exact_dedup.normalised(text_of()).cast("binary"), 256)).withColumn("_len", F.length(text_of()))
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")) & (F.col("_len") == F.col("_n"))
-    found = exact_dedup.exact_dedup(docs, keep_length=True).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("len").alias("_n"), "kept").agg(F.count(F.lit(1)).alias("rows"))
-    # What goes is less than what stays: an anti-join with it leaves most texts where they are.
-    found = cut(found.where("NOT kept OR rows > 1"))
-    again = own.join(found.where("kept"), key, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return own.join(found, key, "left_anti").unionByName(again).select(*COLUMNS)
+    docs = located(docs, *COLUMNS)
+    return _without(docs, exact_dedup.exact_dedup(docs, keep=(*PLACE, "stays")).where("NOT stays"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one stays."""
-    docs = _of(docs)
-    # Ids that stay in one row and go in another stay.
-    ids = minhash.near_dedup(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
-    gone = cut(ids.where("NOT kept").select("_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    docs = located(docs, *COLUMNS)
+    return _without(docs, minhash.near_dedup(docs, keep=(*PLACE, "stays")).where("NOT stays"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes its words, rounded: never, once or twice."""
-    docs = _of(docs)
-    times = F.floor(F.col("taken") / F.col("size") + 0.5)
-    taken = cut(mixing.mix(docs).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("times")).where("times > 0"))
-    # As many ids as documents: they are joined by shuffle at any size.
-    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    docs = located(docs, *COLUMNS)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mixing.mix(docs, keep=PLACE).where("size > 0").select(*PLACE, times.alias("_mark")).where("_mark > 0")
+    return with_marks(docs, taken).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mark")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
