@@ -9,7 +9,8 @@ Texts are lower-cased; what is no letter becomes a single space. a-z have symbol
 remaining symbols by a hash of their code point.
 
 Defined results: null texts, empty texts and texts without letters get `und`, score 0; ties go to the smaller language
-code; without any training row every text gets `und`; null ids are kept. Texts are read whole.
+code; without any training row every text gets `und`; null ids are kept; repeated rows count and come out as often as they
+stand there; an empty table gives an empty result; other columns than the kept ones are left out. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, only, own_columns, read, remainder
+from .common import give_back, only, own_columns, read, remainder, spread
 
 DIM, N, SYMBOLS = 1024, 3, 128
-#: Languages at most: prototypes are LANGUAGES * DIM numbers at the driver.
+#: Languages whose prototypes a task holds at a time; more of them take more passes over the texts.
 LANGUAGES = 2000
 ROWS, CHARS = 256, 1 << 20
 #: Counts (texts times n-grams) and n-gram vectors that are held at a time.
@@ -141,18 +142,26 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
         return pa.table({"lang": [key[0].as_py()], "v": [v.tobytes()]})
 
     # A row for each task and language, summed up in two steps, so that no task gets a row from every other.
-    parts = docs.select("text", "lang").mapInArrow(bundle, "lang string, salt int, v binary")
+    parts = spread(docs.select("text", "lang")).mapInArrow(bundle, "lang string, salt int, v binary")
     parts = parts.groupBy("lang", "salt").applyInArrow(add, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary")
-    rows = sorted((r.lang, np.frombuffer(r.v)) for r in parts.limit(LANGUAGES + 1).collect())
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    rows = sorted((r.lang, np.frombuffer(r.v)) for r in parts.collect())  # a row for each language
     p = np.stack([v / max(np.linalg.norm(v), 1e-12) for _, v in rows]) if rows else np.empty((0, dim))
     return [k for k, _ in rows], p.astype(np.float32)
 
 
 def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of each row, lang_pred and score."""
-    dim, column = protos.shape[1], "text" if "text" in keep else "_text"
+    column = "text" if "text" in keep else "_text"
+    d = spread(docs).select(*[F.col(k) for k in keep], *([] if "text" in keep else [F.col("text").alias(column)]))
+    out = d.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(-2.0))
+    for at in range(0, max(1, len(languages)), LANGUAGES):
+        out = _pass(out, column, languages[at : at + LANGUAGES], protos[at : at + LANGUAGES])
+    return out.select(*keep, "lang_pred", F.when(F.col("lang_pred") == "und", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).alias("score"))
+
+
+def _pass(rows: DataFrame, column: str, languages: list[str], protos: np.ndarray) -> DataFrame:
+    """rows with lang_pred and score (cosine) where one of these languages is nearer than what they hold."""
+    dim, rest = protos.shape[1], [c for c in rows.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
         import pyarrow as pa
@@ -160,23 +169,20 @@ def predict(docs: DataFrame, languages: list[str], protos: np.ndarray, keep: tup
         only("language", _space.clear)
         sp = space(dim)
         for b in batches:
-            langs, scores = [], []
-            for _, grams, c, letters in _profiles(sp, b, column):
+            langs, scores = b.column("lang_pred").to_pylist(), b.column("score").to_numpy().copy()
+            for at, grams, c, letters in _profiles(sp, b, column):
                 if not languages or not len(grams):
-                    langs += ["und"] * len(c)
-                    scores += [0.0] * len(c)
                     continue
                 v = sp.bundle(grams, c)
                 cos = (v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                best = cos.argmax(axis=1)
-                langs += [languages[k] if y else "und" for k, y in zip(best, letters, strict=True)]
-                scores += [float(min(1.0, max(0.0, cos[i, k]))) if letters[i] else 0.0 for i, k in enumerate(best)]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                for i, k in enumerate(cos.argmax(axis=1)):
+                    if letters[i] and cos[i, k] > scores[at + i]:
+                        langs[at + i], scores[at + i] = languages[k], cos[i, k]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in rest], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
         give_back()
 
-    d = docs.select(*[F.col(k) for k in keep], *([] if "text" in keep else [F.col("text").alias(column)]))
-    types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return d.mapInArrow(run, f"{types}, lang_pred string, score double")
+    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in rest)
+    return rows.select(*rest, "lang_pred", "score").mapInArrow(run, f"{types}, lang_pred string, score double")
 
 
 def op5_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
