@@ -8,7 +8,9 @@ bitfield remembers positions from which no way leads to the end. Pieces that mer
 automaton. Segments with several U+2581 in a row are merged directly: the pieces of such runs all have the same score, so
 that compatibility of neighbours does not decide. Segments repeat a lot, so each worker remembers recent ones.
 
-Defined results: null counts as empty; empty texts have no ids. Texts are encoded whole, in time linear in their length.
+Defined results: null counts as empty; empty texts have no ids; repeated rows and null ids stay as they are; an empty table
+gives an empty result; columns other than doc_id and text are left out. Texts are encoded whole, in time linear in their
+length. A model of other settings than the Codec's (see `settings`) is refused.
 """
 
 from __future__ import annotations
@@ -20,19 +22,43 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, own_columns, read
+from .common import only, own_columns, read, spread
 
 SPACE = "▁"
-#: Segments that a worker remembers at most; then it starts anew.
-REMEMBER = 400_000
+#: Segments that a worker remembers at most, half of them of the time before; pairs of pieces whose compatibility it knows.
+REMEMBER, PAIRS = 320_000, 1 << 17
 
 
-def read_model(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of each id, from the model's protocol buffer: field 1 is a piece, of text 1, float 2, enum 3."""
-    import struct
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict]:
+    """(piece, score, type) of each id, and the settings, from the model's protocol buffer.
 
+    Field 1 is a piece, of text 1, float 2, enum 3; field 2 the training, of type 3, suffix 24, bytes 35; field 3 the
+    normaliser, of table 2, prefix 3, squeezing 4, escaping 5.
+    """
     with open(path, "rb") as f:
         data = f.read()
+    pieces, training, normaliser = [], {}, {}
+    for number, v in _fields(data, 0, len(data)):
+        x = dict(_fields(data, *v)) if number in (1, 2, 3) else {}
+        if number == 1:
+            pieces.append((data[slice(*x[1])].decode(), x.get(2, 0.0), x.get(3, 1)))
+        elif number == 2:
+            training = x
+        elif number == 3:
+            normaliser = x
+    table = normaliser.get(2, (0, 0))
+    settings = {"merges": training.get(3, 1) == 2, "suffix": bool(training.get(24, 0)), "bytes": bool(training.get(35, 0))}
+    settings |= {"table": table[1] > table[0], "prefix": bool(normaliser.get(3, 1)), "squeezes": bool(normaliser.get(4, 1)), "escapes": bool(normaliser.get(5, 1))}
+    return pieces, settings
+
+
+#: What the Codec does: merges, byte fallback, a space in front, U+2581 for spaces, no other change of the text.
+SETTINGS = {"merges": True, "suffix": False, "bytes": True, "table": False, "prefix": True, "squeezes": False, "escapes": True}
+
+
+def _fields(data: bytes, at: int, end: int):
+    """(number, value) of the fields between two places; values of length are (start, end)."""
+    import struct
 
     def varint(at: int) -> tuple[int, int]:
         n = shift = 0
@@ -43,26 +69,18 @@ def read_model(path: str) -> list[tuple[str, float, int]]:
             if b < 128:
                 return n, at
 
-    def fields(at: int, end: int):
-        while at < end:
-            tag, at = varint(at)
-            if tag & 7 == 0:
-                v, at = varint(at)
-            elif tag & 7 == 5:
-                v, at = struct.unpack("<f", data[at : at + 4])[0], at + 4
-            elif tag & 7 == 1:
-                v, at = None, at + 8
-            else:
-                n, at = varint(at)
-                v, at = (at, at + n), at + n
-            yield tag >> 3, v
-
-    out = []
-    for number, v in fields(0, len(data)):
-        if number == 1:
-            x = dict(fields(*v))
-            out.append((data[slice(*x[1])].decode(), x.get(2, 0.0), x.get(3, 1)))
-    return out
+    while at < end:
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            v, at = varint(at)
+        elif tag & 7 == 5:
+            v, at = struct.unpack("<f", data[at : at + 4])[0], at + 4
+        elif tag & 7 == 1:
+            v, at = None, at + 8
+        else:
+            n, at = varint(at)
+            v, at = (at, at + n), at + n
+        yield tag >> 3, v
 
 
 class Codec:
@@ -73,7 +91,9 @@ class Codec:
     def __init__(self, path: str):
         import ahocorasick
 
-        model = read_model(path)
+        model, settings = read_model(path)
+        if settings != SETTINGS:
+            raise ValueError(f"a model of other settings: {sorted(k for k in SETTINGS if settings[k] != SETTINGS[k])}")
         self.text = [p for p, _, _ in model]
         self.kind = [k for _, _, k in model]
         self.score = {p: s for p, s, k in model if k == self.NORMAL}
@@ -91,11 +111,12 @@ class Codec:
         self.length = [len(p) for p in self.text]
         #: The next shorter piece that a piece starts with.
         self.shorter = {i: next((made[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in made), -1) for p, i in made.items()}
-        self.compatible = lru_cache(1 << 18)(self._compatible)
-        self.memory: dict[str, tuple[str, int, str]] = {}
+        self.compatible = lru_cache(PAIRS)(self._compatible)
+        self.memory: dict[str, tuple[str, int, str | None]] = {}
+        self.older: dict[str, tuple[str, int, str | None]] = {}
 
     def forget(self) -> None:
-        self.memory.clear()
+        self.memory, self.older = {}, {}
         self.compatible.cache_clear()
 
     # -- merging, the definition
@@ -221,15 +242,15 @@ class Codec:
         """The text's ids joined by commas, their number, and the decoded text."""
         if not text:
             return "", 0, ""
-        memory = self.memory
-        if len(memory) > REMEMBER:
-            memory.clear()
+        if len(self.memory) > REMEMBER // 2:  # what is asked for again moves on, the rest goes
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
         parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
         got = []
         for s in parts:
             x = memory.get(s)
             if x is None:
-                x = self._segment(s)
+                x = older.get(s) or self._segment(s)
                 if len(s) < 64:
                     memory[s] = x
             got.append(x)
@@ -286,7 +307,7 @@ def digest_column(docs: DataFrame, path: str) -> DataFrame:
                 n, i, t = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(i), pa.array(t)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    d = own_columns(docs, "doc_id", "text")
+    d = spread(own_columns(docs, "doc_id", "text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
