@@ -1,16 +1,21 @@
 """Toxicity behind obfuscation: a noisy-channel decoder, then a score of the restored text.
 
 Tokens that look written around a filter (letters mixed with digits and symbols, separators between letters, letters
-repeated three times and more, words spelled letter by letter) become lattices of characters: a symbol may stand for the
-letters it resembles, a separator for nothing, a run of a letter for one or two. Viterbi finds the path of least cost
-under a character trigram model and the channel's costs. The restored text is scored by naive Bayes over words and word
-beginnings whose association with label 1 is significant (G2 of at least MIN_G2) and
-strong (a log ratio of at least MIN_WEIGHT).
+repeated three times and more) and runs of short tokens (words that are spelled or broken up) become lattices of characters:
+a symbol may stand for the letters it resembles, a separator for nothing, a run of a letter for one or two, and a space for a
+word's end or for nothing. Viterbi finds the path of least cost under a character trigram model and the channel's costs. The
+restored text is scored by naive Bayes over words and word beginnings whose association with label 1 is significant (G2 of at
+least MIN_G2) and strong (a log ratio of at least MIN_WEIGHT).
 
-Both models are learned from a bounded sample of the labelled training rows: SAMPLE rows at most, those of least hash.
+The trigrams are counted over all documents; they are of the letters of LETTERS, so their table is bounded. The classifier is
+learned from a bounded sample of the labelled training rows: SAMPLE rows at most, those of least hash.
 
-Defined results: null and empty texts get the prior; scores lie between 0 and 1; repeated rows stay; without labelled
-rows every score is 0; conflicting labels of one document count one each. Texts are read whole.
+Runs of short tokens are most of any text, so only those are decoded whose skeleton (one letter for all that look alike, no
+repeats, no spaces) holds the skeleton of a feature: no path through another run's lattice could spell one.
+
+Defined results: null and empty texts get the prior; scores lie between 0 and 1; repeated rows and null ids stay; without
+labelled rows every score is 0; conflicting labels of one document count one each; an empty table gives an empty result;
+columns other than doc_id, text and toxic are left out. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, read, remainder
+from .common import give_back, own_columns, read, remainder, spread
 
 SAMPLE = 20_000
 MIN_G2, MIN_WEIGHT, PREFIX, SUPPORT = 16.0, 3.7, 5, 2
@@ -30,9 +35,21 @@ MIN_G2, MIN_WEIGHT, PREFIX, SUPPORT = 16.0, 3.7, 5, 2
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = set(".-_*~'`^,:;/\\#")
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>«»„“”…*#~^`-_%&=/\\"
-SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ ._*-]{1,2}){2,}[^\W\d_](?!\S)")
+#: Letters of the character model: a to z and those of Latin-1.
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Two tokens and more of at most four characters each; three single letters and more among such tokens.
+SHORT = re.compile(r"(?<!\S)\S{1,4}(?:[ ]{1,2}\S{1,4})+(?!\S)")
+SPELLED = re.compile(r"(?<!\S)[^\W\d_](?: {1,2}[^\W\d_]){2,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1")
-REMEMBER = 400_000
+#: Cost of a space that is no word's end.
+JOIN = 0.3
+REMEMBER, WORDS = 400_000, 200_000
+_ALIKE = str.maketrans({**dict.fromkeys("".join(SEPARATORS) + EDGE, ""), **{k: "i" if v in ("il", "l") else v for k, v in LEET.items()}, "l": "i"})
+
+
+def skeleton(text: str) -> str:
+    """What all readings of a text share: letters that look alike as one, no separators, spaces and repeats."""
+    return re.sub(r"(.)\1+", r"\1", text.translate(_ALIKE))
 
 
 class Channel:
@@ -68,7 +85,9 @@ class Channel:
         out = []
         for m in re.finditer(r"(.)\1*", token, re.S):
             c, n = m[1], len(m[0])
-            if c.isalpha():
+            if c == " ":
+                out.append([(" ", 0.0), ("", JOIN)])
+            elif c.isalpha():
                 out.append([(c, 0.2 if n > 2 else 0.0 if n == 1 else 1.5), *([(c * 2, 0.0 if n == 2 else 0.7)] if n > 1 else [])])
             elif c in LEET:
                 out.append([(x * k, 0.7 * k) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))])
@@ -84,12 +103,17 @@ class Channel:
             for (a, b), (cost, path) in states.items():
                 for letters, own in options:
                     x, y, total, way = a, b, cost + own, path
-                    for c in letters:
-                        total, x, y, way = total + self.cost(x, y, c), y, c, (c, way)
+                    if letters == " ":  # a word ends and another starts
+                        if y == "^":
+                            continue
+                        total, x, y, way = total + self.cost(x, y, "$"), "^", "^", (" ", way)
+                    else:
+                        for c in letters:
+                            total, x, y, way = total + self.cost(x, y, c), y, c, (c, way)
                     if (x, y) not in after or after[x, y][0] > total:
                         after[x, y] = (total, way)
             states = after
-        way = min(((cost + self.cost(a, b, "$"), path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])[1]
+        way = min(((cost + self.cost(a, b, "$"), path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0], default=(0, None))[1]
         out = []
         while way:
             out.append(way[0])
@@ -109,37 +133,64 @@ class Channel:
         return self.decode(core)
 
 
+    def words(self, run: str) -> list[str]:
+        """The words of a run of short tokens, wherever its spaces stand; and, as `a` and `i` are words of their own, what is
+        left of a word without one of them at its ends."""
+        parts = [p.strip("\"'()[]{}<>«»„“”….,;:?%&=~^`#").rstrip("!?.") for p in run.split()]
+        out = self.decode(" ".join(filter(None, parts))).split()
+        alone = {"a", "i"}.intersection(parts)
+        return out + [w[1:] for w in out if w[0] in alone and len(w) > 3] + [w[:-1] for w in out if w[-1] in alone and len(w) > 3]
+
+
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens, and the words that are spelled letter by letter."""
-    low = text.lower()
-    out = set(low.split())
-    out.update(re.sub(r"[ ._*-]", "", m[0]) for m in SPELLED.finditer(low))
-    return out
+    """Distinct lower-case tokens."""
+    return set(text.lower().split())
+
+
+def runs(text: str, pattern: re.Pattern = SHORT) -> set[str]:
+    """Distinct runs of short tokens in a lower-case text."""
+    return {m[0] for m in pattern.finditer(text)}
 
 
 def features(word: str) -> list[str]:
     return [word, *([word[:PREFIX] + "*"] if len(word) > PREFIX else [])] if word else []
 
 
-def learn(rows: DataFrame) -> tuple[dict[str, int], dict[str, float], float]:
-    """Trigram counts, weights of features, prior. rows: text, toxic of the sample."""
-    spark = rows.sparkSession
+def trigrams(docs: DataFrame) -> dict[str, int]:
+    """Trigrams of the letters of all documents' words, those that occur more than once. docs: text."""
 
     def grams(batches):
         import pyarrow as pa
 
-        for b in batches:
+        words: Counter = Counter()
+
+        def told():
             n: Counter = Counter()
+            for w, k in words.items():
+                w = w.strip(EDGE)
+                if LETTERS.fullmatch(w):
+                    w = f"^^{w}$"
+                    for i in range(len(w) - 2):
+                        n[w[i : i + 3]] += k
+            words.clear()
+            return pa.RecordBatch.from_pydict({"gram": list(n), "n": list(n.values())}, schema=pa.schema([("gram", pa.string()), ("n", pa.int64())]))
+
+        for b in batches:
             for t in b.column("text").to_pylist():
-                for w in (t or "").lower().split():
-                    w = w.strip(EDGE)
-                    if w.isalpha() and len(w) > 1:
-                        w = f"^^{w}$"
-                        n.update([w[i : i + 3] for i in range(len(w) - 2)])
-            yield pa.RecordBatch.from_pydict({"gram": list(n), "n": list(n.values())}, schema=pa.schema([("gram", pa.string()), ("n", pa.int64())]))
+                if t:
+                    words.update(t.lower().split())
+                    if len(words) > WORDS:
+                        yield told()
+        yield told()
+        give_back()
+
+    n = spread(own_columns(docs, "text")).mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in n.where("n > 1").collect()}  # of LETTERS: bounded
 
-    # Trigrams of a bounded sample's letters.
-    found = {r.gram: r.n for r in rows.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").collect()}
+
+def learn(rows: DataFrame, found: dict[str, int]) -> tuple[dict[str, int], dict[str, float], float]:
+    """Trigram counts (found), weights of features, prior. rows: text, toxic of the sample."""
+    spark = rows.sparkSession
 
     def seen(batches):
         import pyarrow as pa
@@ -155,6 +206,8 @@ def learn(rows: DataFrame) -> tuple[dict[str, int], dict[str, float], float]:
                             memory.clear()
                         f = memory[w] = features(channel.restore(w))
                     own.update(f)
+                for run in runs((t or "").lower(), SPELLED):
+                    own.update(f for w in channel.words(run) for f in features(w))
                 n.update((f, y) for f in own)
             yield pa.RecordBatch.from_pydict({"f": [f for f, _ in n], "toxic": [y for _, y in n], "n": list(n.values())}, schema=pa.schema([("f", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
 
@@ -177,7 +230,11 @@ def learn(rows: DataFrame) -> tuple[dict[str, int], dict[str, float], float]:
 
         channel = Channel(found)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"hits": [sorted({f for w in tokens(t or "") for f in features(channel.restore(w)) if f in weights}) for t in b.column("text").to_pylist()]}, schema=pa.schema([("hits", pa.list_(pa.string()))]))
+            out = []
+            for t in b.column("text").to_pylist():
+                words = [channel.restore(w) for w in tokens(t or "")] + [w for run in runs((t or "").lower(), SPELLED) for w in channel.words(run)]
+                out.append(sorted({f for w in words for f in features(w) if f in weights}))
+            yield pa.RecordBatch.from_pydict({"hits": out}, schema=pa.schema([("hits", pa.list_(pa.string()))]))
 
     # Rare words of a toxic text, and of its copies, stand beside the words that make it toxic: a feature stays if it is the
     # most significant one of at least SUPPORT texts.
@@ -199,29 +256,52 @@ def score(docs: DataFrame, model: tuple[dict[str, int], dict[str, float], float]
     grams, weights, prior = model
 
     def run(batches):
+        import ahocorasick
         import pyarrow as pa
 
         channel = Channel(grams)
         memory: dict[str, str] = {}
+        spelled: dict[str, frozenset[str]] = {}
+        shapes = ahocorasick.Automaton()
+        for f in weights:
+            shapes.add_word(skeleton(f.rstrip("*")), True)
+        shapes.make_automaton()
         start = math.log(prior / (1 - prior)) if 0 < prior < 1 else -math.inf
+
+        def best_of(word: str) -> str:
+            hits = [x for x in features(word) if x in weights]
+            return max(hits, key=weights.__getitem__) if hits else ""
+
+        def decoded(text: str) -> frozenset[str]:
+            if (x := spelled.get(text)) is None:
+                if len(spelled) > REMEMBER:
+                    spelled.clear()
+                x = spelled[text] = frozenset(filter(None, map(best_of, channel.words(text))))
+            return x
+
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
-                best: dict[str, float] = {}
+                found: set[str] = set()
                 for w in tokens(t or ""):
                     f = memory.get(w)
                     if f is None:
                         if len(memory) > REMEMBER:
                             memory.clear()
-                        hits = [x for x in features(channel.restore(w)) if x in weights]
-                        f = memory[w] = max(hits, key=weights.__getitem__) if hits else ""
+                        f = memory[w] = best_of(channel.restore(w))
                     if f:
-                        best[f] = weights[f]
-                z = start + sum(best.values())
+                        found.add(f)
+                if weights and t:
+                    for text in SHORT.findall(t.lower()):
+                        shape = text.replace(" ", "")  # a mark at a token's end may be read or left out
+                        if next(shapes.iter(skeleton(shape)), None) or "!" in shape and next(shapes.iter(skeleton(shape.replace("!", ""))), None):
+                            found |= decoded(text)
+                z = start + sum(weights[f] for f in sorted(found))
                 out.append(1 / (1 + math.exp(-max(z, -700.0))) if z > -math.inf else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+        give_back()
 
-    d = own_columns(docs, "doc_id", "text")
+    d = spread(own_columns(docs, "doc_id", "text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
 
 
@@ -234,5 +314,5 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame
 
 def op8_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    out = score(docs, learn(sample(docs, labels)))
+    out = score(docs, learn(sample(docs, labels), trigrams(docs)))
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
