@@ -11,7 +11,7 @@ arrays of distinct keys, a frequent word is one entry for each packet, and bucke
 
 Defined results: null counts as empty; an empty text is its end token; rows that repeat count as often as they come; with
 no training text the estimates are uniform; null ids go by the remainder of empty text; an empty table gives an empty
-result. Texts are read whole; a text is one packet at least.
+result; columns other than doc_id and text are left out, whatever their names. Texts are read whole; a text is one packet at least.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, own_columns, packs, read, remainder, word_hashes
+from .common import cut, mix, own_columns, packs, read, remainder, spread, word_hashes
 
 #: Bytes of text of a packet, tokens of the corpus for each bucket.
 PACKET, PER_BUCKET = 8 << 20, 2_000_000
@@ -44,7 +44,7 @@ def packets(docs: DataFrame) -> DataFrame:
     """packet, role, ids, ends, words, stream: texts of one role as token numbers over the packet's sorted word hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = remainder("doc_id", 10)
-    d = own_columns(docs, "doc_id", "text").withColumn("role", F.when(held == 0, SCORED).when(held == 9, DELETED).otherwise(BASE))
+    d = spread(own_columns(docs, "doc_id", "text")).withColumn("role", F.when(held == 0, SCORED).when(held == 9, DELETED).otherwise(BASE))
 
     def run(batches):
         import pyarrow as pa
@@ -77,7 +77,7 @@ def packets(docs: DataFrame) -> DataFrame:
             yield row(role)
 
     out = d.mapInArrow(run, f"role int, ids array<{kind}>, ends binary, words binary, stream binary")
-    return cut(out.withColumn("packet", F.monotonically_increasing_id()).withColumn("tokens", F.octet_length("stream") / 4))
+    return cut(out.withColumn("packet", F.monotonically_increasing_id()).withColumn("tokens", F.octet_length("stream") / 4), codec="zstd")
 
 
 class Packet:
@@ -150,7 +150,7 @@ def answers(asked: DataFrame) -> DataFrame:
         x = list(zip(*out, strict=True))
         return pa.table({"packet": pa.array(x[0], pa.int64()), "kind": pa.array(x[1], pa.int32()), "bucket": pa.array(x[2], pa.int32()), "base": pa.array(x[3], pa.binary()), "deleted": pa.array(x[4], pa.binary()), "seen": pa.array(x[5], pa.int64())})
 
-    return cut(asked.groupBy("kind", "bucket").applyInArrow(run, "packet long, kind int, bucket int, base binary, deleted binary, seen long"))
+    return cut(asked.groupBy("kind", "bucket").applyInArrow(run, "packet long, kind int, bucket int, base binary, deleted binary, seen long"), codec="zstd")
 
 
 def _counted(left, right):

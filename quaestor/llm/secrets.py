@@ -6,8 +6,8 @@ of fixed length: moving it by one character changes the counts of two characters
 from which the entropy follows. A candidate's span runs from the first to the last window at or above the class's
 threshold. An allow-list suppresses entropy spans (words, numbers, placeholders); spans of fixed patterns stay.
 
-Defined results: null and empty texts have no spans and the hash of the empty string; repeated rows stay; an empty table
-gives an empty result; the marks' own characters in a text count as other characters. Times are linear in the text: the
+Defined results: null and empty texts have no spans and the hash of the empty string; repeated rows and null ids stay; an empty
+table gives an empty result; columns other than doc_id and text are left out, whatever their names; the marks' own characters in a text count as other characters. Times are linear in the text: the
 pieces are summed up in groups of GROUP.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, read, text_of
+from .common import own_columns, read, spread, text_of
 
 GROUP = 256
 #: The contract's patterns. Group 2 is what must be long enough. Of access and hex, only long runs are
@@ -139,7 +139,7 @@ def _entropic(found: Column, kind: int, c: EntropyClass, allow: tuple[str, ...])
 def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, and found: array<struct<start, kind (number), end>> in order."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    d = own_columns(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
+    d = spread(own_columns(docs, "doc_id", "text")).select("doc_id", text_of().alias("text"))
     patterns = {**{k: p for k, (p, _) in BASE.items()}, **{c.kind: c.pattern for c in classes}}
     d = d.select("doc_id", *[pieces(F.col("text"), p, NEEDS.get(k, "")).alias(f"p_{k}") for k, p in patterns.items()])
     d = d.select("doc_id", *[spans(F.col(f"p_{k}")).alias(f"s_{k}") for k in patterns])
