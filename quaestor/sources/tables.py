@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows are long texts.
+LONG = ("documents", "pages")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once, unless they find it by the path they inherit."""
     package = Path(__file__).resolve().parent.parent
@@ -22,5 +26,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; those of long texts are dealt to all cores if their files are fewer."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LONG and df._jdf.rdd().getNumPartitions() < cores else df
