@@ -66,9 +66,10 @@ def best_matches(names: DataFrame, nodes: DataFrame, least: float = LETTERS) ->
 
 
 def by_meaning(names: DataFrame, nodes: DataFrame, least: float = MEANING) -> DataFrame:
-    """name, node, score: each asked name's node of largest cosine above `least`. nodes: node, type, description."""
+    """name, node, score: each asked name's node of largest cosine above `least`. nodes: node, and type, description where they are known."""
     asked = names.select("name").distinct().select("name", models.embed(F.col("name")).alias("q"))
-    told = F.concat(F.col("node"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.coalesce("description", F.lit("")))
+    known = lambda c: F.coalesce(c, F.lit("")) if c in nodes.columns else F.lit("")
+    told = F.concat(F.col("node"), F.lit(" ("), known("type"), F.lit("): "), known("description"))
     pairs = _pairs(asked, nodes.select("node", models.embed(told).alias("v")))
     s = pairs.select("name", "node", dense.cosine(F.col("v"), F.col("q")).alias("score")).where(F.col("score") > least)
     return s.groupBy("name").agg(F.max("score").alias("score"), F.min_by("node", F.struct(-F.round("score", 9), F.col("node"))).alias("node")).select("name", "node", "score")

@@ -147,8 +147,8 @@ UNION ALL SELECT p_brand, p_brand || '::table' || row_no // 40, 'Acme', 'reports
     "cell_metrics": (cell_metrics, f"WITH {_CELL} SELECT p_brand AS doc_id, 'Acme ' || label AS name, 'Metric' AS type, label || ' (in thousands); table: Items, in thousands' AS description FROM p UNION ALL SELECT DISTINCT p_brand, 'Acme', 'Company', 'Reporting company' FROM part"),
     "table_chunks": (
         table_chunks,
-        f"""WITH {_CELL}, l AS (SELECT p_brand, row_no, row_no // 40 AS part, 'TABLE ROW ' || label || ' | ' || string_agg(col || ': ' || replace(value, ' ', ''), ' ; ' ORDER BY col_no) AS line FROM c GROUP BY ALL)
-SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items, in thousands' || chr(10) || 'TABLE HEADERS: item | size | employees | share % | grew' || chr(10) || string_agg(line, chr(10) ORDER BY row_no)) AS md5 FROM l GROUP BY p_brand, part""",
+        f"""WITH {_CELL}, l AS (SELECT p_brand, row_no, row_no // 40 AS part, label, string_agg(col || ': ' || replace(value, ' ', ''), ' ; ' ORDER BY col_no) AS cells FROM c GROUP BY ALL)
+SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items, in thousands' || chr(10) || 'TABLE HEADERS: item | size | employees | share % | grew' || chr(10) || string_agg('TABLE ROW ' || label || ' | ' || cells, chr(10) ORDER BY row_no)) AS md5 FROM l GROUP BY p_brand, part""",
     ),
     "aligned_tables": (aligned_tables, "SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey, col ORDER BY n_nationkey) - 1 AS row_no, n_name AS label, col, value FROM (SELECT *, unnest(['Q1 2025', 'Q1 2024']) AS col, unnest([(n_nationkey + 1000)::VARCHAR, '(' || n_nationkey || ')']) AS value FROM nation)"),
     "table_prose": (table_prose, "SELECT 'Before.' || chr(10) || chr(10) || 'After  all.' AS text, count(DISTINCT n_regionkey) AS n FROM nation UNION ALL SELECT 'COMPANY: Acme (ACM)' || chr(10) || 'Items, in thousands' || chr(10) || 'prose after' || chr(10), count(DISTINCT p_brand) FROM part"),
