@@ -116,8 +116,13 @@ class Workbench:
         e, t = build.parsed(said)
         te, tt = build.of_tables(docs)
         progress("graph")
-        g = build.build(te.unionByName(e), tt.unionByName(t.select(*tt.columns)))
-        for name, df in (("nodes", g.nodes), ("edges", g.edges), ("values", g.values), ("aliases", g.aliases)):
+
+        def kept(name: str, df: DataFrame) -> DataFrame:
+            put(name, df)
+            return get(name)
+
+        g = build.build(kept("entities", te.unionByName(e)), kept("triples", tt.unionByName(t.select(*tt.columns))), kept)
+        for name, df in (("nodes", g.nodes), ("edges", g.edges), ("values", g.values)):
             put(name, df)
         whole = build.chunks(narrative, docs)
         put("chunks", whole.withColumn("vec", models.embed(F.col("text"))))

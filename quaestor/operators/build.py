@@ -7,6 +7,7 @@ documents, results, entities before triples, and positions; the first arrival of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,8 @@ def _arrival(kind: int, side: int) -> Column:
     return F.concat(F.col("doc_id").cast("string"), F.lit("\x00"), part(F.col("res") + 1, 8), F.lit(str(kind)), part(F.col("pos"), 8), F.lit(str(side)))
 
 
-def build(entities: DataFrame, triples: DataFrame, **how) -> Graph:
-    """Nodes, edges and values. `how` goes to the resolution.
+def build(entities: DataFrame, triples: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, **how) -> Graph:
+    """Nodes, edges and values. `how` goes to the resolution; `keep` may write what several tables are made from, and read it again.
 
     A triple's object is a value of its subject if it looks like one and is not declared a thing of THINGS in its result;
     else it is a node. Types are those that a result declares for the name (its last declaration), else Other.
@@ -89,8 +90,8 @@ def build(entities: DataFrame, triples: DataFrame, **how) -> Graph:
     e = entities.select(_arrival(0, 0).alias("ord"), "name", "type", "description", exact.alias("exact"), "doc_id")
     s = t.select(_arrival(1, 0).alias("ord"), F.col("subject").alias("name"), F.col("s_type").alias("type"), F.lit("").alias("description"), (F.col("exact") & (F.col("s_type") != "Company")).alias("exact"), "doc_id")
     o = t.where("NOT literal").select(_arrival(1, 1).alias("ord"), F.col("object").alias("name"), F.col("o_type").alias("type"), F.lit("").alias("description"), F.lit(False).alias("exact"), "doc_id")
-    mentions = e.unionByName(s).unionByName(o)
-    aliases = resolve.aliases(mentions, **how)
+    mentions = keep("mentions", e.unionByName(s).unionByName(o))
+    aliases = keep("aliases", resolve.aliases(mentions, **how))
     nodes = mentions.join(aliases, "name").select(F.col("canonical").alias("node"), "type", "description", "doc_id", "ord")
     who = lambda side, out: aliases.select(F.col("name").alias(side), F.col("canonical").alias(out))
     t = t.join(who("subject", "src"), "subject")
