@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, interpolation, language_id, minhash, mixing, neighbours, pieces, secrets, sharding, toxicity
+from . import alignment, exact_dedup, interpolation, language_id, minhash, mixing, neighbours, pieces, secrets, sharding, toxicity, url_filter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_deobfuscation": toxicity.op8_deobfuscation,
         "op9_piece_backtracking": pieces.op9_piece_backtracking,
         "op10_entropy_secrets": secrets.op10_entropy_secrets,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_range_whitening": whitening.op12_range_whitening,
+        "op13_blocked_bloom": url_filter.op13_blocked_bloom,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op6_source_schedule": mixing.SQL, "op10_entropy_secrets": secrets.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op6_source_schedule": mixing.SQL, "op10_entropy_secrets": secrets.SQL, "op13_blocked_bloom": url_filter.SQL}
