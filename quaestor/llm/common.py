@@ -58,11 +58,12 @@ def remainder(doc_id: str | Column, divisor: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share; the session names it, a local default serves tests."""
+    """A fresh path in the folder that all executors share: the session names it; a default serves runs on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"/tmp/quaestor-scratch-{uuid.uuid5(uuid.NAMESPACE_URL, spark.sparkContext.applicationId)}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/quaestor-scratch-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
 
 

@@ -9,7 +9,7 @@ On vectors without low-dimensional structure neighbours on a curve are few of th
 the query set against all rows, in blocks of the first curve. A block's centre, radius and the query's worst result so far
 tell whether it can hold anything better; where it can, it is searched. The result is exact whatever the windows found.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids
+Defined results: ids are whole numbers of any width (others are refused); vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids
 or vectors of another than the most frequent length; rows that repeat an id count once (the smallest vector); ties go to
 the smaller id; queries without candidates have no rows; an empty table gives an empty result.
 """
@@ -68,7 +68,9 @@ def curve_keys(vectors: np.ndarray, seed: int = 5) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double>): one row for each id."""
-    d = own_columns(vectors, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    if vectors.schema["vec_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("vec_id must be whole numbers: the queries are those divisible by 20")
+    d = own_columns(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     d = d.where(fine)
     d = d.groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -7,8 +7,8 @@ from which the entropy follows. A candidate's span runs from the first to the la
 threshold. An allow-list suppresses entropy spans (words, numbers, placeholders); spans of fixed patterns stay.
 
 Defined results: null and empty texts have no spans and the hash of the empty string; repeated rows and null ids stay; an empty
-table gives an empty result; columns other than doc_id and text are left out, whatever their names; the marks' own characters in a text count as other characters. Times are linear in the text: the
-pieces are summed up in groups of GROUP.
+table gives an empty result; columns other than doc_id and text are left out, whatever their names; the marks' own characters in a text count as other characters. Times are linear in a
+candidate's length, and in the text's: the pieces are summed up in groups of GROUP.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import own_columns, read, spread, text_of
 
 GROUP = 256
+#: Parts of a bit in which entropies are summed.
+UNIT = 1 << 40
 #: The contract's patterns. Group 2 is what must be long enough. Of access and hex, only long runs are
 #: marked: a match ends where its run ends, so a short match never hides a long one.
 BASE = {
@@ -44,7 +46,7 @@ class EntropyClass:
 
 CLASSES = (EntropyClass("entropy64", r"()([A-Za-z0-9+/_=-]{20,})", 20, 3.87), EntropyClass("entropy16", r"()([0-9A-Fa-f]{20,})", 20, 2.97))
 #: Candidates that match are no secrets: no digit or no letter, joined words, placeholders.
-ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*[0-9]{0,4}$", r"(?i)example|placeholder|dummy|sample|xxxx|0000|1234567")
+ALLOW = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[A-Za-z][A-Za-z/_=-]*[0-9]{0,4}$", r"(?i)example|placeholder|dummy|sample|xxxx|0000|1234567")
 
 
 def pieces(text: Column, pattern: str, needs: str = "") -> Column:
@@ -90,31 +92,35 @@ def spans(pieces: Column) -> Column:
     return F.when(F.size(pieces) > 1, _let(pieces, lambda p: _let(grouped(p), shifted)))
 
 
-def _term(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def hot_windows(s: Column, window: int, bits: float) -> Column:
+    """struct<first, last>: starts of the first and last window whose entropy reaches `bits`; null if none does.
+
+    A window's sum of c*log2(c) moves by what the character that comes in adds to the count of its kind, and by what the one
+    that goes out takes away; both counts are taken over the characters that stay, window - 1 of them. Sums are whole
+    numbers of 1 / UNIT, so that they do not drift over long candidates.
+    """
+    term = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(window + 1)]
+    gain = F.array(*[F.lit(term[d + 1] - term[d]).cast("long") for d in range(window)])  # one more beside d of a kind
+    most = int((math.log2(window) - bits) * window * UNIT)  # the entropy reaches `bits` while the sum is at most this
 
+    def moves(codes: Column) -> Column:
+        def move(i: Column) -> Column:
+            staying = F.slice(codes, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            beside = lambda kept, at: F.element_at(gain, F.size(F.filter(kept, lambda x: x == F.element_at(codes, at))) + 1)
+            return _let(staying, lambda kept: beside(kept, i) - F.when(i > window, beside(kept, i - window)).otherwise(F.lit(0).cast("long")))
 
-def hot_windows(s: Column, window: int, bits: float) -> Column:
-    """struct<first, last>: starts of the first and last window whose entropy reaches `bits`; null if none does."""
-    most = (math.log2(window) - bits) * window  # the entropy reaches `bits` while the sum of c*log2(c) is at most this
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1))) + 1
-    put = lambda counts, at, by: F.transform(counts, lambda c, j: F.when(j + 1 == at, c + by).otherwise(c))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-
-    def move(state: Column, i: Column) -> Column:
-        """Character i comes in, character i - window goes out."""
-        went = F.when(i > window, code(i - window))
-        c = F.coalesce(F.element_at(state["counts"], went), F.lit(0))
-        less = F.when(went.isNotNull(), put(state["counts"], went, -1)).otherwise(state["counts"])
-        sum_ = state["sum"] - _term(c) + F.when(went.isNotNull(), _term(c - 1)).otherwise(F.lit(0.0))
-        d = F.element_at(less, code(i))
-        sum_ = sum_ - _term(d) + _term(d + 1)
-        hot = (i >= window) & (sum_ <= most)
-        at = i - window
-        return F.struct(put(less, code(i), 1).alias("counts"), sum_.alias("sum"), F.when(hot & state["first"].isNull(), at).otherwise(state["first"]).alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.length(s)), start, move, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
-    return F.when(done["first"].isNotNull(), done)
+        return F.transform(F.sequence(F.lit(1), F.size(codes)), move)
+
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def step(state: Column, moved: Column) -> Column:
+        read, total = state["read"] + 1, state["sum"] + moved
+        hot = (read >= window) & (total <= most)
+        at = read - window
+        return F.struct(total.alias("sum"), read.alias("read"), F.when(hot & state["first"].isNull(), at).otherwise(state["first"]).alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"))
+
+    codes = F.filter(F.split(s, ""), lambda c: c != "")
+    return _let(F.aggregate(_let(codes, moves), start, step, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))), lambda done: F.when(done["first"].isNotNull(), done))
 
 
 def _kinds(classes: tuple[EntropyClass, ...]) -> list[str]:

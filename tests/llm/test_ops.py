@@ -435,6 +435,14 @@ def test_neighbours_are_exact(spark, empty):
     assert neighbours.neighbours(empty.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))).count() == 0
 
 
+def test_neighbours_of_other_id_types(spark):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)]
+    long = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).collect()
+    assert sorted(neighbours.neighbours(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), 3).collect()) == sorted(long)
+    with pytest.raises(ValueError, match="whole numbers"):
+        neighbours.neighbours(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
 def test_hilbert_keys_are_a_curve():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     k = neighbours.hilbert_keys(g, 3)
@@ -624,6 +632,17 @@ def test_secrets_are_brute_force(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_in_long_candidates(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    make = lambda k, a=alphabet: "".join(rng.choice(a) for _ in range(k))
+    quiet = "ab1" * 20_000 + make(60, "xy9") + "cd2" * 5_000
+    texts = [make(10_000), make(100_000), "data:image/png;base64," + make(30_000) + "==", quiet, quiet[:40_000] + make(25) + quiet[:40_000], "aa-" * 40_000 + "b", make(20_000, "0123456789abcdef")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for k in ("assign", "access", "hex", "entropy64", "entropy16") for s in r[k]) for r in secrets.scan(d).collect()}
+    assert got == {k: secret_spans(t) for k, t in enumerate(texts)}
+
+
 def test_workers_keep_one_operators_memory():
     gone = []
     common.only("one", lambda: gone.append("one"))
