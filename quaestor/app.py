@@ -13,16 +13,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.functions import models
+from quaestor import jobs
+from quaestor.functions import models, traces
 from quaestor.functions import text as T
-from quaestor.operators import build, chunking, community, context, engines, graph, rgcn, router, service, summaries, tables
-from quaestor.sources import state
+from quaestor.operators import build, chunking, community, engines, graph, ivf, postings, rgcn, router, service, summaries, tables, telemetry
+from quaestor.sources import keyed, state
+from quaestor.sources.tables import written
 
 VERSION = "1"
 TABLES = ("docs", "chunks", "nodes", "edges", "values", "aliases", "communities", "vectors", "analysis")
 #: Documents and characters of a workspace.
 DOCUMENTS, CHARACTERS = 10, 400_000
-LOG = "request_id string, ts timestamp, endpoint string, status string, engine string, latency_ms double, detail string"
+LOG = "request_id string, ts timestamp, endpoint string, status string, engine string, routed int, latency_ms double, llm_ms double, llm_calls int, prompt_tokens long, completion_tokens long, output_tokens_per_s double, cost_usd double, abstained int, citation_coverage double, detail string"
+CITATIONS = "array<struct<chunk_id:string,doc_id:string,snippet:string>>"
+#: What an answer is, and is kept as.
+ANSWER = f"engine string, answer string, cut boolean, reason string, mode string, citations {CITATIONS}, path array<string>"
 
 
 def extracted(chunks: DataFrame) -> DataFrame:
@@ -49,6 +54,7 @@ class Workbench:
     arms: dict | None = None
     policy: dict = field(default_factory=dict)
     settings: dict = field(default_factory=lambda: {"retrieval_version": VERSION})
+    prices: traces.Prices = field(default_factory=traces.Prices)
 
     def __post_init__(self):
         state.check_workspace(self.workspace)
@@ -126,7 +132,9 @@ class Workbench:
             put(name, df)
         whole = build.chunks(narrative, docs)
         put("chunks", whole.withColumn("vec", models.embed(F.col("text"))))
+        self._index(get("chunks"), path)
         nodes, edges, values = get("nodes"), get("edges"), get("values")
+        put("facts", engines.told(edges, values))
         progress("communities")
         w = graph.weights(edges)
         groups = community.detect(w).persist()
@@ -140,6 +148,21 @@ class Workbench:
         self._publish(path)
         return {"doc_ids": [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").limit(DOCUMENTS).collect()], "chunks": get("chunks").count(), "entities": nodes.count(), "triples": edges.count() + values.count(), "communities": get("communities").count()}
 
+    def _index(self, chunks: DataFrame, path: str) -> None:
+        """Postings of the chunks' texts, and lists and codes of their vectors."""
+        self.text_index(path).add(chunks)
+        vectors = chunks.select(F.col("chunk_id").alias("vec_id"), F.col("vec").alias("embedding"))
+        if not vectors.isEmpty():
+            index = self.vector_index(path)
+            index.train(vectors)
+            index.add(vectors)
+
+    def text_index(self, path: str) -> postings.TextIndex:
+        return postings.TextIndex(self.spark, f"{self.home}/{path}/texts", "chunk_id")
+
+    def vector_index(self, path: str) -> ivf.VectorIndex:
+        return ivf.VectorIndex(self.spark, f"{self.home}/{path}/codes")
+
     def delete(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.home)
         self._fs().delete(path, True)
@@ -147,8 +170,9 @@ class Workbench:
     # -- reads
 
     def corpus(self) -> engines.Corpus:
-        vectors = self.table("vectors")
-        return engines.Corpus(self.table("chunks"), self.table("nodes"), self.table("edges"), self.table("values"), self.table("communities"), vectors if vectors.head(1) else None)
+        vectors, version = self.table("vectors"), self.version()
+        near = self.vector_index(version) if self._has(f"{version}/codes") else None
+        return engines.Corpus(self.table("chunks"), self.table("nodes"), self.table("edges"), self.table("values"), self.table("communities"), vectors if vectors.head(1) else None, self.text_index(version), near, self.table("facts"))
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes with their degree, and edges."""
@@ -177,55 +201,166 @@ class Workbench:
         a = self.analysis().first()
         return router.routed(self._asked(questions), router.features(self.table("nodes")), self.arms, self.policy, self.settings, (a.engine, a.reason), names)
 
-    def query(self, questions: DataFrame, engine: str = "auto") -> DataFrame:
-        """question_id, engine, answer, cut, reason, citations of each question. questions: question_id, question."""
+    def cache(self) -> keyed.Keyed:
+        return keyed.Keyed(self.spark, f"{self.home}/answers")
+
+    def _checked(self, questions: DataFrame, engine: str) -> None:
         if not 0 < (questions.agg(F.max(F.length("question"))).first()[0] or 0) <= 2000:
             raise ValueError("a question has 1 to 2000 characters")
         if engine != "auto" and engine not in engines.ENGINES:
             raise ValueError(f"engines are {', '.join(engines.ENGINES)}")
+
+    def _prompts(self, questions: DataFrame, engine: str, trace: traces.Trace) -> DataFrame:
+        """question_id, question, engine, reason, mode, context, citations, path."""
+        with trace.span("routing"):
+            asked = written(self._asked(questions))
+            route = self.route(questions).select("question_id", "engine", "reason") if engine == "auto" else asked.select("question_id", F.lit(engine).alias("engine"), F.lit("asked for").alias("reason"))
+            choice = written(route)
+            names = [r.engine for r in choice.select("engine").distinct().collect()]  # engines
+        with trace.span("retrieval"):
+            corpus, out = self.corpus(), None
+            for name in sorted(names):
+                one = engines.prepared(asked.join(choice.where(F.col("engine") == name).select("question_id"), "question_id"), corpus, name)
+                out = one if out is None else out.unionByName(one)
+            return written(asked.select("question_id", "question").join(choice, "question_id").join(out, "question_id", "left").withColumn("context", F.coalesce("context", F.lit(""))))
+
+    def _answered(self, questions: DataFrame, engine: str, trace: traces.Trace) -> DataFrame:
+        """question_id, what an answer is, and what its calls took."""
+        prompts = self._prompts(questions, engine, trace)
+        with trace.span("generation"):
+            said = written(models.answer(prompts, self.model))
+            t = said.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens", "llm_ms")], F.coalesce(F.max("estimated"), F.lit(False)).alias("estimated")).first()
+            trace.model(t.calls, t.prompt_tokens, t.completion_tokens, t.llm_ms / 1000, t.estimated)
+        return said.join(prompts.drop("question", "context"), "question_id")
+
+    def query(self, questions: DataFrame, engine: str = "auto", endpoint: str = "query") -> DataFrame:
+        """question_id, ANSWER and cached for each question. questions: question_id, question.
+
+        A question that was answered before on the same documents, whatever its case and spaces, is answered from the cache;
+        answers that were cut off are not kept. Every answer is logged.
+        """
+        self._checked(questions, engine)
         if not self.version():
-            return questions.select("question_id", F.lit("vector").alias("engine"), F.lit(models.NOTHING).alias("answer"), F.lit(False).alias("cut"), F.lit("No documents ingested yet.").alias("reason"), F.array().cast("array<string>").alias("citations"))
-        asked = self._asked(questions)
-        choice = self.route(questions).select("question_id", "engine", "reason") if engine == "auto" else asked.select("question_id", F.lit(engine).alias("engine"), F.lit("asked for").alias("reason"))
-        choice, corpus = choice.persist(), self.corpus()
-        out = None
-        for name in engines.ENGINES if engine == "auto" else (engine,):
-            own = asked.join(choice.where(F.col("engine") == name).select("question_id"), "question_id")
-            ev = engines.evidence(own, corpus, name).select("question_id", "rank", "chunk_id")
-            out = ev if out is None else out.unionByName(ev)
-        ev = out.join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
-        cited = ev.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("citations"))  # few an engine
-        prompts = questions.select("question_id", "question").join(context.assembled(ev.select("question_id", "rank", "text"), "question_id", "rank"), "question_id", "left")
-        said = models.answer(prompts.withColumn("context", F.coalesce("context", F.lit(""))), self.model)
-        return said.join(choice, "question_id").join(cited, "question_id", "left")
+            fixed = {"engine": F.lit("vector"), "answer": F.lit(models.NOTHING), "cut": F.lit(False), "reason": F.lit("No documents ingested yet."), "mode": F.lit("vector"), "citations": F.array().cast(CITATIONS), "path": F.array().cast("array<string>")}
+            return questions.select("question_id", *[c.alias(k) for k, c in fixed.items()], F.lit(False).alias("cached"))
+        trace = traces.Trace()
+        names = [c.split()[0] for c in ANSWER.split(", ")]
+        asked = written(questions.select("question_id", "question", self._key(engine).alias("key")))
+        kept = asked.join(self.cache().get(asked), "key").select("question_id", "key", F.from_json("payload", ANSWER).alias("a"))
+        hits = written(kept.select("question_id", "a.*"))
+        hit_trace = trace.summary(self.prices)["latency_ms"]
+        rest = asked.join(hits.select("question_id"), "question_id", "left_anti")
+        out = hits.select("question_id", *names, F.lit(True).alias("cached"))
+        if not rest.isEmpty():
+            new = written(self._answered(rest.select("question_id", "question"), engine, trace))
+            whole = new.where(F.col("answer") != models.TRUNCATED).join(rest.select("question_id", "key"), "question_id")
+            self.cache().put(whole.select("key", F.to_json(F.struct(*names)).alias("payload")))
+            out = out.unionByName(new.select("question_id", *names, F.lit(False).alias("cached")))
+            self._log(new, endpoint, "ok", trace.summary(self.prices)["latency_ms"], trace.detail(self.prices), engine == "auto")
+        if not hits.isEmpty():
+            self._log(hits, endpoint, "cached", hit_trace, "{}", engine == "auto")
+        return out
+
+    def _key(self, engine: str):
+        """The key of a question's answer: the question, what it is asked of, and what answers it."""
+        name = getattr(self.model, "model", type(self.model).__name__)
+        return T.cache_key(F.col("question"), F.lit(engine), F.lit(self.version()), F.lit(VERSION), F.lit(name))
 
     def compare(self, questions: DataFrame) -> DataFrame:
-        """The same with all engines: question_id, engine, answer, cut, citations."""
+        """The same with all engines: a row for each question and engine."""
         out = None
         for name in engines.ENGINES:
-            one = self.query(questions, name).drop("reason")
+            one = self.query(questions, name, "compare").drop("reason")
             out = one if out is None else out.unionByName(one)
         return out
 
-    def stream(self, question: str, engine: str = "auto", piece: int = 40) -> Iterator[dict]:
-        """Events of one answer: meta, token after token, then done; or error."""
+    def stream(self, question: str, engine: str = "auto", piece: int = 40, beat: float = 15.0) -> Iterator[dict]:
+        """Events of one answer: meta, tokens as the model says them, then done; or error.
+
+        reset takes back what was sent (the model was cut off and is asked again with more room); alive comes after `beat`
+        seconds without another event. A model without `stream` answers at once, in pieces.
+        """
         try:
-            rows = self.query(self.spark.createDataFrame([("q", question)], "question_id string, question string"), engine).collect()  # one row
-            r = rows[0]
-            yield {"event": "meta", "engine": r.engine, "reason": r.reason}
-            for at in range(0, len(r.answer), piece):
-                yield {"event": "token", "text": r.answer[at : at + piece]}
-            if r.cut:  # what was sent is taken back
-                yield {"event": "reset", "text": r.answer}
-            yield {"event": "done", "answer": r.answer, "citations": list(r.citations or [])}
+            asked = self.spark.createDataFrame([("q", question)], "question_id string, question string")
+            if not self.version() or not hasattr(self.model, "stream"):
+                r = self.query(asked, engine, "stream").first()
+                yield {"event": "meta", "engine": r.engine, "reason": r.reason, "cached": r.cached}
+                for at in range(0, len(r.answer), piece):
+                    yield {"event": "token", "text": r.answer[at : at + piece]}
+                yield {"event": "done", "answer": r.answer, "citations": [c.chunk_id for c in r.citations], "path": list(r.path)}
+                return
+            yield from self._streamed(asked, question, engine, beat)
         except ValueError as e:
             yield {"event": "error", "text": str(e)}
 
+    def _streamed(self, asked: DataFrame, question: str, engine: str, beat: float) -> Iterator[dict]:
+        self._checked(asked, engine)
+        trace = traces.Trace()
+        key = asked.select(self._key(engine).alias("key"))
+        kept = self.cache().get(key).select(F.from_json("payload", ANSWER).alias("a")).select("a.*").first()
+        if kept:
+            self._log(self.spark.createDataFrame([kept], ANSWER), "stream", "cached", trace.summary(self.prices)["latency_ms"], "{}", engine == "auto")
+            yield {"event": "meta", "engine": kept.engine, "reason": kept.reason, "cached": True}
+            yield {"event": "token", "text": kept.answer}
+            yield {"event": "done", "answer": kept.answer, "citations": [c.chunk_id for c in kept.citations], "path": list(kept.path)}
+            return
+        p = self._prompts(asked, engine, trace).first()
+        yield {"event": "meta", "engine": p.engine, "reason": p.reason, "cached": False}
+        text, cut = "", bool(p.context)
+        with trace.span("generation"):
+            began, used = trace.clock(), 0
+            for budget in (1500, 3000) if p.context else ():
+                text, used = "", used + 1
+                if used > 1:
+                    yield {"event": "reset"}
+                cut = False
+                for said in jobs.beating(lambda b=budget: self.model.stream(models.SYSTEM, models.prompt(p.context, question), b), beat):
+                    if said is None:
+                        yield {"event": "alive"}
+                    elif said is models.CUT:
+                        cut = True
+                    else:
+                        trace.token()
+                        text += said
+                        yield {"event": "token", "text": said}
+                if not cut:
+                    break
+            if used:
+                trace.model(used, max(1, len(p.context + question) // 4), max(1, len(text) // 4), trace.clock() - began, True)
+        answer = models.TRUNCATED if cut else text or models.NOTHING
+        row = self.spark.createDataFrame([(p.engine, answer, cut, p.reason, p.mode, p.citations or [], p.path or [])], ANSWER)
+        if not cut:
+            self.cache().put(row.select(F.to_json(F.struct(*row.columns)).alias("payload")).crossJoin(key))  # one row each
+        t = trace.summary(self.prices)
+        usage = row.withColumns({"calls": F.lit(t["llm_calls"]), "prompt_tokens": F.lit(t["prompt_tokens"]), "completion_tokens": F.lit(t["completion_tokens"]), "llm_ms": F.lit(float(t["llm_ms"]))})
+        self._log(usage, "stream", "ok", t["latency_ms"], trace.detail(self.prices), engine == "auto")
+        yield {"event": "done", "answer": answer, "citations": [c.chunk_id for c in p.citations or []], "path": list(p.path or [])}
+
     # -- requests
 
+    def _log(self, answers: DataFrame, endpoint: str, status: str, latency_ms: float, detail: str, routed: bool) -> None:
+        """A row for each answer. A question of a batch waits for the batch, so its latency is the batch's."""
+        has = lambda c, kind: F.col(c).cast(kind) if c in answers.columns else F.lit(None).cast(kind)
+        calls, ms, asked, said = has("calls", "int"), has("llm_ms", "double"), has("prompt_tokens", "long"), has("completion_tokens", "long")
+        cost = F.lit(self.prices.input_per_m) * asked / 1e6 + F.lit(self.prices.output_per_m) * said / 1e6 if self.prices.hosted else ms / 3_600_000 * self.prices.per_hour
+        docs = F.array_distinct(F.transform("citations", lambda c: c["doc_id"]))
+        cited = F.size(F.filter(docs, lambda x: F.contains("answer", x)))
+        rows = answers.select(
+            F.uuid().alias("request_id"), F.current_timestamp().alias("ts"), F.lit(endpoint).alias("endpoint"), F.lit(status).alias("status"), "engine", F.lit(int(routed)).alias("routed"), F.lit(float(latency_ms)).alias("latency_ms"),
+            ms.alias("llm_ms"), calls.alias("llm_calls"), asked.alias("prompt_tokens"), said.alias("completion_tokens"), F.when(ms > 0, said / (ms / 1000)).alias("output_tokens_per_s"), cost.cast("double").alias("cost_usd"),
+            T.abstains(F.col("answer")).cast("int").alias("abstained"), F.when(F.size(docs) > 0, cited / F.size(docs)).cast("double").alias("citation_coverage"), F.lit(detail).alias("detail"),
+        )
+        rows.coalesce(1).write.mode("append").parquet(f"{self.home}/requests")
+
     def record(self, endpoint: str, status: str, engine: str | None, latency_ms: float, detail: str = "{}") -> None:
-        row = self.spark.createDataFrame([(uuid.uuid4().hex, endpoint, status, engine, float(latency_ms), detail)], "request_id string, endpoint string, status string, engine string, latency_ms double, detail string")
-        row.withColumn("ts", F.current_timestamp()).select(*[c.split()[0] for c in LOG.split(", ")]).coalesce(1).write.mode("append").parquet(f"{self.home}/requests")
+        """A row of the log for a request that is no question, or failed."""
+        row = self.spark.createDataFrame([(uuid.uuid4().hex, endpoint, status, engine, float(latency_ms), detail)], "request_id string, endpoint string, status string, engine string, latency_ms double, detail string").withColumn("ts", F.current_timestamp())
+        kinds = [c.split() for c in LOG.split(", ")]
+        row.select(*[F.col(c) if c in row.columns else F.lit(None).cast(k).alias(c) for c, k in kinds]).coalesce(1).write.mode("append").parquet(f"{self.home}/requests")
+
+    def metrics(self, minutes: int = 60, endpoint: str | None = None) -> dict:
+        """What the log of the last minutes adds up to: rates, latencies by stage and engine, tokens, cost, quality."""
+        return telemetry.report(self.requests(minutes, endpoint))
 
     def requests(self, minutes: int | None = None, endpoint: str | None = None) -> DataFrame:
         log = self.spark.read.schema(LOG).parquet(f"{self.home}/requests") if self._has("requests") else self.spark.createDataFrame([], LOG)

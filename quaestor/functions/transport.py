@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 
+from quaestor.functions.models import CUT
+
 #: Attempts in all and when turned away, the longest wait that is kept, the longest own wait.
 ATTEMPTS, TURNED_AWAY, LONGEST, OWN = 3, 5, 300.0, 120.0
 #: Roles that models play.
@@ -59,11 +61,12 @@ class Client:
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.time
     usage: Usage = field(default_factory=Usage)
+    lines: Callable[[str, dict, dict], Iterator[str]] | None = None
 
     def playing(self, role: str) -> Client:
         if role not in ROLES:
             raise ValueError(f"roles are {', '.join(ROLES)}")
-        return Client(self.url, self.models, self.post, self.key, role, self.sleep, self.clock, self.usage)
+        return Client(self.url, self.models, self.post, self.key, role, self.sleep, self.clock, self.usage, self.lines)
 
     @property
     def model(self) -> str:
@@ -115,6 +118,34 @@ class Client:
         u.prompt += usage.get("prompt_tokens", max(1, asked // 4))
         u.completion += usage.get("completion_tokens", max(1, said // 4))
 
+    def stream(self, system: str, user: str, limit: int, temperature: float = 0.1) -> Iterator[str | object]:
+        """The answer's pieces as they come, and CUT last if it was cut off. `lines` gives the reply's lines (server-sent events)."""
+        if self.lines is None:
+            text, cut = self.chat(system, user, limit)
+            yield from [text] * bool(text) + [CUT] * cut
+            return
+        payload = {"model": self.model, "stream": True, "max_tokens": limit, "temperature": temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        headers, began, said, usage, ended = {"Authorization": f"Bearer {self.key}"} if self.key else {}, self.clock(), "", {}, ""
+        for line in self.lines(self.url, headers, payload):
+            if not line.startswith("data:") or line[5:].strip() == "[DONE]":
+                continue
+            try:
+                event = json.loads(line[5:])
+            except ValueError:
+                raise ModelError(f"no valid answer of {self.model}") from None
+            usage = event.get("usage") or usage
+            for choice in event.get("choices") or []:
+                piece = (choice.get("delta") or {}).get("content") or ""
+                ended = choice.get("finish_reason") or ended
+                if piece:
+                    said += piece
+                    yield piece
+        if not said.strip() and ended != "length":
+            raise ModelError(f"empty answer of {self.model}")
+        self._count(usage, self.clock() - began, len(system) + len(user), len(said))
+        if ended == "length":
+            yield CUT
+
     def chat(self, system: str, user: str, limit: int) -> tuple[str, bool]:
         """The interface of quaestor.functions.models."""
         try:
@@ -132,3 +163,11 @@ def over_http(url: str, headers: dict, payload: dict, timeout: float = 600) -> t
             return r.status, dict(r.headers), json.loads(r.read())
     except HTTPError as e:
         return e.code, dict(e.headers), {}
+
+
+def lines_over_http(url: str, headers: dict, payload: dict, timeout: float = 600) -> Iterator[str]:
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", **headers}), timeout=timeout) as r:
+        for line in r:
+            yield line.decode("utf-8", "replace").rstrip("\r\n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 #: Fixed value: jobs that are remembered.
@@ -50,3 +51,30 @@ class Jobs:
                 return None
             ahead = sum(j["status"] in ("queued", "running") and j["created"] < job["created"] for j in self.jobs.values()) if job["status"] == "queued" else 0
             return {**job, "jobs_ahead": ahead}
+
+
+def beating(start: Callable[[], Iterator], beat: float) -> Iterator:
+    """What start() yields, read in a thread of its own, and None whenever `beat` seconds pass without anything. Its errors are raised here."""
+    done, events = object(), queue.Queue()
+
+    def read() -> None:
+        try:
+            for x in start():
+                events.put((x, None))
+        except BaseException as e:  # handed over to the reader
+            events.put((done, e))
+        else:
+            events.put((done, None))
+
+    threading.Thread(target=read, daemon=True).start()
+    while True:
+        try:
+            x, error = events.get(timeout=beat)
+        except queue.Empty:
+            yield None
+            continue
+        if error is not None:
+            raise error
+        if x is done:
+            return
+        yield x

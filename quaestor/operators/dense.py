@@ -1,11 +1,11 @@
-"""Exact cosine search: a small question side against all vectors."""
+"""Exact cosine search: stated questions against all vectors, in blocks of both."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions that are broadcast at most; more are joined in blocks of the vectors.
+#: Rows that are broadcast at most where a few are held against many.
 SMALL = 10_000
 
 
@@ -21,25 +21,55 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / ((norm(a) + eps) * (norm(b) + eps))
 
 
+#: Vectors and questions of a block: a task multiplies one block of each.
+ITEMS, QUESTIONS = 8192, 512
+
+
+def matrix(column):
+    """A list column of Arrow as rows of numbers; nulls are NaN."""
+    import numpy as np
+
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
+
+
 def topk(questions: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """question_id, rank, vec_id, score. questions: question_id, q (vector); vectors: vec_id, embedding.
 
-    The question set is stated and small: its size is checked, and beyond SMALL the pairs come from a shuffled block join.
+    Exact: every question meets every vector, in blocks of both that one task multiplies; what could be among a question's k
+    best of its block leaves it. Vectors of other lengths than the question's, and scores that are no numbers, do not count.
     """
-    q = questions.select("question_id", "q", norm(F.col("q")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    few = q.limit(SMALL + 1).count() <= SMALL
-    if few:
-        pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("question_id")) if exclude_self else v.crossJoin(F.broadcast(q))
-    else:
-        blocks = 64
-        q = q.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        v = v.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        pairs = v.join(q, "blk")
-        pairs = pairs.where(F.col("vec_id") != F.col("question_id")) if exclude_self else pairs
-    s = dot(F.col("embedding"), F.col("q")) / ((F.col("vn") + 1e-8) * (F.col("qn") + 1e-8))
+    blocks, packs = max(1, -(-vectors.count() // ITEMS)), max(1, -(-questions.count() // QUESTIONS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), part("vec_id", blocks).alias("block"), all_of(packs).alias("pack"), F.size("embedding").alias("dim")).where("dim > 0")
+    q = questions.select("question_id", F.col("q").cast("array<double>").alias("q"), part("question_id", packs).alias("p"), all_of(blocks).alias("b"), F.size("q").alias("d")).where("d > 0")
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        picked_q, picked_v, picked = [], [], []
+        if left.num_rows and right.num_rows:
+            x, y = matrix(left.column("v")), matrix(right.column("q"))
+            s = y @ x.T / ((np.linalg.norm(y, axis=1) + 1e-8)[:, None] * (np.linalg.norm(x, axis=1) + 1e-8)[None, :])
+            s[~np.isfinite(s)] = -np.inf
+            if exclude_self and right.column("question_id").type == left.column("vec_id").type:
+                at = pc.index_in(right.column("question_id"), left.column("vec_id").combine_chunks()).to_numpy(zero_copy_only=False).astype(float)
+                own = np.flatnonzero(~np.isnan(at))
+                s[own, at[own].astype(np.int64)] = -np.inf
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            picked_q, picked_v = np.nonzero((s >= (least - 1e-8)[:, None]) & (s > -np.inf))
+            # A product of blocks can differ from that of single rows in the last bits: the few that are picked are made again.
+            picked = (y[picked_q] * x[picked_v]).sum(axis=1) / ((np.linalg.norm(y, axis=1) + 1e-8)[picked_q] * (np.linalg.norm(x, axis=1) + 1e-8)[picked_v])
+        take = lambda c, at: c.take(pa.array(np.asarray(at, np.int64)))
+        return pa.table({"question_id": take(right.column("question_id"), picked_q), "vec_id": take(left.column("vec_id"), picked_v), "score": pa.array(np.asarray(picked, np.float64))})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = v.groupBy("block", "pack", "dim").cogroup(q.groupBy("b", "p", "d")).applyInArrow(run, f"question_id {kind(questions, 'question_id')}, vec_id {kind(vectors, 'vec_id')}, score double")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    ranked = pairs.select("question_id", "vec_id", s.alias("score")).withColumn("rank", F.row_number().over(w).cast("long"))
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("long"))
     return ranked.where(F.col("rank") <= k).select("question_id", "rank", "vec_id", "score")
 
 

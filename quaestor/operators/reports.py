@@ -60,7 +60,7 @@ def abstentions(records: DataFrame) -> DataFrame:
 def ingestion_costs(runs: DataFrame) -> DataFrame:
     """Per document: latency, tokens and cost of each ingestion run. runs: run, docs, latency_ms, prompt_tokens, completion_tokens, cost_usd."""
     n = F.greatest("docs", F.lit(1))
-    return runs.select("run", F.round(F.col("latency_ms") / n, 1).alias("latency_ms"), F.round((F.col("prompt_tokens") + F.col("completion_tokens")) / n, 1).alias("tokens"), F.round(F.col("cost_usd") / n, 6).alias("cost_usd"))
+    return runs.select("run", (F.col("latency_ms") / n).alias("latency_ms"), ((F.col("prompt_tokens") + F.col("completion_tokens")) / n).alias("tokens"), (F.col("cost_usd") / n).alias("cost_usd"))
 
 
 def cost(backend: Column, prompt: Column, completion: Column, llm_ms: Column, input_per_m: float, output_per_m: float, per_hour: float) -> Column:
@@ -69,14 +69,10 @@ def cost(backend: Column, prompt: Column, completion: Column, llm_ms: Column, in
     return F.when(backend == "api", hosted).otherwise(llm_ms / 3_600_000 * per_hour)
 
 
-def nearest_rank(value: Column, q: float) -> Column:
-    """An aggregate: the value at the rank that is nearest to q of the way from the first to the last; halves go to even ranks."""
-    sorted_ = F.array_sort(F.filter(F.collect_list(value), lambda x: x.isNotNull()))
-    return F.when(F.size(sorted_) > 0, F.element_at(sorted_, (F.bround((F.size(sorted_) - 1) * q) + 1).cast("int")))
-
-
 def nearest_ranks(rows: DataFrame, group: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
-    """group, n, p<q>: the same without gathering a group: counts of equal values, a running sum over them, and the first that reaches the rank."""
+    """group, n, p<q>: the value at the rank nearest to q of the way from the first to the last, halves to even ranks.
+
+    No group is gathered: counts of equal values, a running sum over them, and the first that reaches the rank."""
     n = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(*group)
     upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))

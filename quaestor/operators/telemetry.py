@@ -84,3 +84,24 @@ def answer_quality(turns: DataFrame) -> DataFrame:
     cited = F.size(F.filter("words", lambda x: F.col("text").contains(x)))
     n = F.size("words")
     return t.select("conv_id", "turn", n.cast("long").alias("retrieved"), cited.cast("long").alias("cited"), F.when(n > 0, F.round(cited / n, 3)).alias("coverage"), F.length("text").cast("long").alias("answer_chars"))
+
+
+def report(requests: DataFrame) -> dict:
+    """A log's summary: counts and rates, latencies in all, by stage and by engine, tokens, cost and quality of successful requests.
+
+    Only aggregates leave Spark: a row for each stage, engine and endpoint.
+    """
+    ok = F.col("status") == "ok"
+    of = lambda c: F.when(ok, F.col(c))
+    one = summary(requests).first().asDict()
+    more = requests.agg(
+        F.round(F.sum(of("cost_usd")), 6).alias("cost_usd"), F.round(F.avg(of("cost_usd")), 6).alias("mean_cost_usd"), F.round(F.avg(of("abstained")), 4).alias("abstention_rate"),
+        F.round(F.avg(of("citation_coverage")), 4).alias("citation_coverage"), F.round(F.sum(of("prompt_tokens") + of("completion_tokens")) / F.count_if(ok), 1).alias("mean_tokens"),
+    ).first().asDict()
+    detail = requests.select("*", F.from_json("detail", "stage_ms map<string,double>, ttft_ms double").alias("d"))
+    stages = stage_latency(detail.select("status", F.col("d.stage_ms").alias("stages")))
+    first = detail.where(ok & F.col("d.ttft_ms").isNotNull()).select(F.col("d.ttft_ms").alias("latency_ms")).agg(*_latency())
+    cached = requests.where("status = 'cached'").agg(*_latency())
+    by = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
+    engines = requests.where(ok & F.col("engine").isNotNull()).groupBy("engine").agg(*_latency(), F.round(F.avg("routed"), 3).alias("routed_share"))
+    return one | more | {"stages": by(stages, "stage"), "engines": by(engines, "engine"), "endpoints": {r.endpoint: r["count"] for r in requests.groupBy("endpoint").count().collect()}, "first_token": first.first().asDict(), "cached_latency": cached.first().asDict()}

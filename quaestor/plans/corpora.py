@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import models
-from quaestor.operators import chunking, context, engines, service
+from quaestor.operators import chunking, context, engines, ivf, postings, service
 from quaestor.sources import filings, state
-from quaestor.sources.tables import table
-from quaestor.streaming.streams import shared
+from quaestor.sources.tables import derived, table
 
 
 def context_budget(spark, d):
@@ -88,10 +87,18 @@ def question_classes(spark, d):
 
 
 def _corpus(spark, d):
-    # Vectors are made once, when documents come in.
-    path = f"{shared(spark)}/chunks"
-    chunking.chunks(table(spark, d, "documents")).select("chunk_id", "doc_id", "text", models.embed(F.col("text")).alias("vec")).write.parquet(path)
-    chunks = spark.read.parquet(path)
+    # Made once in a session, when documents come in: chunks with vectors, and the indexes of both.
+    def make(path):
+        chunking.chunks(table(spark, d, "documents")).select("chunk_id", "doc_id", "text", models.embed(F.col("text")).alias("vec")).write.parquet(f"{path}/chunks")
+        chunks = spark.read.parquet(f"{path}/chunks")
+        postings.TextIndex(spark, f"{path}/texts", "chunk_id").add(chunks)
+        vectors = chunks.select(F.col("chunk_id").alias("vec_id"), F.col("vec").alias("embedding"))
+        index = ivf.VectorIndex(spark, f"{path}/vectors")
+        index.train(vectors)
+        index.add(vectors)
+
+    path = derived(spark, d, "documents", "corpus", make)
+    chunks = spark.read.parquet(f"{path}/chunks")
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     first = docs.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk0")))
     edges = first.select(F.col("source").alias("src"), F.concat(F.lit("language "), F.col("lang")).alias("dst"), F.lit("written in").alias("predicate"), "chunk_id")
@@ -99,7 +106,7 @@ def _corpus(spark, d):
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit("Other").alias("type"), F.lit("").alias("description"))
     groups = docs.select(F.col("source").alias("node"), F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 1), 16, 10).cast("long").alias("community")).distinct()
     communities = groups.groupBy("community").agg(F.array_sort(F.collect_set("node")).alias("members"), F.lit(0).alias("level"), F.array_join(F.array_sort(F.collect_set("node")), " ").alias("summary"))
-    return engines.Corpus(chunks, nodes, edges, values, communities)
+    return engines.Corpus(chunks, nodes, edges, values, communities, texts=postings.TextIndex(spark, f"{path}/texts", "chunk_id"), near=ivf.VectorIndex(spark, f"{path}/vectors"))
 
 
 def engine_evidence(spark, d):
@@ -113,7 +120,7 @@ def answers(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     ev = engines.evidence(q, corpus, "hybrid").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
     prompts = context.assembled(ev.select("question_id", "rank", "text"), "question_id", "rank").join(q, "question_id")
-    return models.answer(prompts, models.Extractive())
+    return models.answer(prompts, models.Extractive()).select("question_id", "answer", "cut")
 
 
 _BOUND = "r AS (SELECT {g} AS g, doc_id, length(text) AS n, 14000 - coalesce(sum(length(text)) OVER (PARTITION BY {g} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents), k AS (SELECT g, doc_id, least(n, room)::BIGINT AS n FROM r WHERE room > 200)"

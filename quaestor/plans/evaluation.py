@@ -52,11 +52,11 @@ def _values(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return evaluation.bootstrap(_values(spark, d).select("k", "x"), 500).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+    return evaluation.bootstrap(_values(spark, d).select("k", "x")).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 def paired_bootstrap(spark, d):
-    return evaluation.bootstrap(_values(spark, d).select("k", (F.col("x") - F.col("y")).alias("x")), 500).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "p_better")], "significant")
+    return evaluation.bootstrap(_values(spark, d).select("k", (F.col("x") - F.col("y")).alias("x"))).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "p_better")], "significant")
 
 
 def _records(spark, d):
@@ -125,7 +125,7 @@ _METRICS = [f"{m}_at_{k}" for k in (1, 3, 5) for m in ("p", "r", "ndcg")] + ["hi
 _MIX = "(b * 7919 + k % 2147483647 * 104729 + 12345) % 2147483647"
 _ROUND = "xor({0}, {0} >> {1}) * {2} % 2147483647"
 _TIMES = " + ".join(f"(h > {t})::INT" for t in evaluation.POISSON)
-_BOOT = f"""n AS (SELECT count(*) AS n, avg(x) AS mean FROM v), b AS (SELECT unnest(range(0, 500)) AS b),
+_BOOT = f"""n AS (SELECT count(*) AS n, avg(x) AS mean FROM v), b AS (SELECT unnest(range(0, 10000)) AS b),
 h0 AS (SELECT b, x, {_MIX} AS h FROM v, b), h1 AS (SELECT b, x, {_ROUND.format('h', 15, 48271)} AS h FROM h0), h2 AS (SELECT b, x, {_ROUND.format('h', 13, 69621)} AS h FROM h1), h3 AS (SELECT b, x, {_ROUND.format('h', 16, 16807)} AS h FROM h2),
 ws AS (SELECT b, x, {_TIMES} AS w FROM h3), ms AS (SELECT b, sum(w * x) / sum(w) AS m FROM ws WHERE w > 0 GROUP BY b),
 ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) AS p FROM ms)"""

@@ -174,7 +174,8 @@ def nearest_rank(spark, d):
 def ingestion_costs(spark, d):
     e = table(spark, d, "events")
     usd = reports.cost(F.when(F.col("event_type") == "error", "api").otherwise("local"), F.col("user_id"), F.pmod("user_id", F.lit(7)), F.col("value") * 100, 1.37, 6.1, 0.41)
-    return reports.ingestion_costs(e.select(F.col("event_id").alias("run"), F.pmod("user_id", F.lit(4)).alias("docs"), (F.col("value") * 7.31).alias("latency_ms"), F.col("user_id").alias("prompt_tokens"), F.pmod("user_id", F.lit(7)).alias("completion_tokens"), usd.alias("cost_usd")))
+    costs = reports.ingestion_costs(e.select(F.col("event_id").alias("run"), F.pmod("user_id", F.lit(4)).alias("docs"), (F.col("value") * 7.31).alias("latency_ms"), F.col("user_id").alias("prompt_tokens"), F.pmod("user_id", F.lit(7)).alias("completion_tokens"), usd.alias("cost_usd")))
+    return costs.select("run", F.round("latency_ms", 6).alias("latency_ms"), F.round("tokens", 6).alias("tokens"), F.round("cost_usd", 12).alias("cost_usd"))
 
 
 def showcase_disagreement(spark, d):
@@ -241,7 +242,7 @@ UNION ALL SELECT 'task', task, router_engine, count(*) FROM o GROUP BY 2, 3 UNIO
     ),
     "ingestion_costs": (
         ingestion_costs,
-        "SELECT event_id AS run, round(value * 7.31::DOUBLE / greatest(user_id % 4, 1), 1) AS latency_ms, round((user_id + user_id % 7) / greatest(user_id % 4, 1)::DOUBLE, 1) AS tokens, round(CASE WHEN event_type = 'error' THEN (user_id * 1.37::DOUBLE + user_id % 7 * 6.1::DOUBLE) / 1e6 ELSE value * 100 / 3600000 * 0.41::DOUBLE END / greatest(user_id % 4, 1), 6) AS cost_usd FROM events",
+        "SELECT event_id AS run, round(value * 7.31::DOUBLE / greatest(user_id % 4, 1), 6) AS latency_ms, round((user_id + user_id % 7) / greatest(user_id % 4, 1)::DOUBLE, 6) AS tokens, round(CASE WHEN event_type = 'error' THEN (user_id * 1.37::DOUBLE + user_id % 7 * 6.1::DOUBLE) / 1e6 ELSE value * 100 / 3600000 * 0.41::DOUBLE END / greatest(user_id % 4, 1), 12) AS cost_usd FROM events",
     ),
     "showcase_disagreement": (
         showcase_disagreement,

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quaestor.sources import tables
+
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's as a stream of files."""
@@ -20,14 +22,13 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quaestor-streams-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+def fresh(spark: SparkSession) -> str:
+    return f"{tables.shared(spark)}/s-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream writes until its sources are read to the end, as a table in the shared folder."""
-    spark, path = stream.sparkSession, shared(stream.sparkSession)
+    spark, path = stream.sparkSession, fresh(stream.sparkSession)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaestor import jobs
 from quaestor.app import Workbench
-from quaestor.functions import jsontext, transport
+from quaestor.functions import jsontext, models, traces, transport
 from quaestor.operators import build, context, engines, html, judging, questions, reports, resolve, rgcn, router, summaries
 from quaestor.plans import catalog
 from quaestor.sources import datasets, uploads
@@ -289,8 +289,7 @@ def test_reports(spark):
     m = spark.createDataFrame([("r", '{"a": {"b": 1, "c": "x"}, "d": 2.5, "e": true}')], "run string, m string")
     assert {r.path: r.value for r in reports.flat(m, "run", "m").collect()} == {"a/b": 1.0, "d": 2.5}
     v = spark.createDataFrame([("g", float(k)) for k in (5, 1, 4, 2, 3, 3)] + [("g", None)], "g string, v double")
-    one = v.groupBy("g").agg(reports.nearest_rank(F.col("v"), 0.5).alias("p")).first().p
-    assert one == 3.0 and reports.nearest_ranks(v, ["g"], "v", (0.5, 0.95)).first()[1:] == (6, 3.0, 5.0)
+    assert reports.nearest_ranks(v, ["g"], "v", (0.5, 0.95)).first()[1:] == (6, 3.0, 5.0)
     c = spark.createDataFrame([([("d", f"c{k}", "s" * 400) for k in range(9)],)], "c array<struct<doc_id:string,chunk_id:string,snippet:string>>").select(reports.trimmed(F.col("c")).alias("c")).first().c
     assert len(c) == 6 and len(c[0].snippet) == 320
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, sha256 string")
@@ -306,6 +305,41 @@ def test_nested_tables_and_fragments():
     assert [c.text for c in html.placed([(")", 1), ("%", 1), ("$", 1)])] == [")%"]
 
 
+class Slow:
+    """A model that says its answer in pieces, slowly, and is cut off the first time."""
+
+    def stream(self, system, user, limit):
+        import time
+
+        time.sleep(0.2)
+        yield from ("Gamma ", "Part") if limit == 1500 else ("Gamma ", "Partners.")
+        if limit == 1500:
+            yield models.CUT
+
+
+def test_streamed_replies():
+    said = ['data: {"choices": [{"delta": {"content": "Net "}}]}', "", ": comment", 'data: {"choices": [{"delta": {"content": "5"}, "finish_reason": "%s"}]}', 'data: {"choices": [], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}', "data: [DONE]"]
+    for reason, more in (("stop", []), ("length", [models.CUT])):
+        client = transport.Client("u", {"answer": "m"}, None, lines=lambda u, h, p, r=reason: iter([x % r if "%s" in x else x for x in said]))
+        assert list(client.stream("s", "q", 10)) == ["Net ", "5", *more]
+        assert (client.usage.prompt, client.usage.completion, client.usage.estimated) == (7, 2, False)
+    with pytest.raises(transport.ModelError):
+        list(transport.Client("u", {"answer": "m"}, None, lines=lambda u, h, p: iter(["data: [DONE]"])).stream("s", "q", 10))
+
+
+def test_traces_add_up():
+    now = iter([0.0, 1.0, 2.0, 4.0, 7.0, 7.5, 9.0, 9.0])
+    t = traces.Trace(clock=lambda: next(now))
+    with t.span("a"):
+        with t.span("b"):
+            t.model(1, 120, 30, 1.5, False)
+        t.token()
+    s = t.summary(traces.Prices(True, 1.0, 2.0))
+    assert s["stage_ms"] == {"b": 2000.0, "a": 4500.0, "other": 2500.0} and s["latency_ms"] == 9000.0 and s["ttft_ms"] == 7000.0
+    assert (s["output_tokens_per_s"], s["llm_by_stage"]["b"]["calls"]) == (20.0, 1) and s["cost_usd"] == pytest.approx(0.00018)
+    assert traces.Prices(per_hour=0.4).of(1, 1, 900) == pytest.approx(0.1)
+
+
 def test_workbench(spark, tmp_path):
     bench = Workbench(spark, str(tmp_path), "a" * 16)
     q = spark.createDataFrame([("q1", "What did Acme Robotics sell in 2025?")], "question_id string, question string")
@@ -320,7 +354,36 @@ def test_workbench(spark, tmp_path):
     assert bench.communities().count() >= 1 and bench.analysis().first().engine in engines.ENGINES
     assert bench.route(q).first().source == "corpus_fallback"
     r = bench.query(q, "hybrid").first()
-    assert r.engine == "hybrid" and r.answer and r.citations
+    assert r.engine == "hybrid" and r.answer and r.citations and not r.cached
+    logged = bench.requests().count()
+    spaced = spark.createDataFrame([("q9", "  what did ACME robotics sell in 2025? ")], "question_id string, question string")
+    again = bench.query(spaced, "hybrid").first()
+    assert (again.question_id, again.cached, again.answer, again.citations) == ("q9", True, r.answer, r.citations) and not bench.query(q, "vector").first().cached
+    assert bench.requests().count() == logged + 2 and bench.requests().where("status = 'cached'").count() == 1
+
+    class Watching(models.Extractive):
+        def chat(self, system, user, limit):
+            return user, False
+
+    watching = Workbench(spark, str(tmp_path), "a" * 16, Watching())
+    g = watching.query(q, "graph").first()
+    assert g.mode == "local" and "Acme Robotics" in g.path and g.citations[0].snippet
+    assert g.answer.startswith("FACTS:\n- ") and "SOURCE TEXT:" in g.answer and "ENTITIES:\n- " in g.answer
+    whole = watching.query(spark.createDataFrame([("q2", "What are the overall themes?")], "question_id string, question string"), "graph").first()
+    assert whole.mode == "global" and whole.answer.startswith("COMMUNITY SUMMARIES:\n[Community: ") and any(c.chunk_id.startswith("community_") for c in whole.citations)
+    assert watching.query(q, "vector").first().answer.startswith("[")
+    m = bench.metrics()
+    assert m["cached"] == 1 and m["requests"] == bench.requests().count() and {"routing", "retrieval", "generation", "other"} <= set(m["stages"]) and m["citation_coverage"] is not None and m["completion_tokens"] > 0
+    for row in bench.requests().where("status = 'ok'").collect():
+        assert sum(json.loads(row.detail)["stage_ms"].values()) == pytest.approx(row.latency_ms, rel=0.02)
+    slow = Workbench(spark, str(tmp_path), "a" * 16, Slow())
+    events = list(slow.stream("What did Beta Holdings buy?", "vector", beat=0.05))
+    kinds = [e["event"] for e in events]
+    assert kinds[0] == "meta" and kinds[-1] == "done" and kinds.count("reset") == 1 and "alive" in kinds[: kinds.index("token") + 1] + kinds
+    after = events[kinds.index("reset") :]
+    assert "".join(e["text"] for e in after if e["event"] == "token") == events[-1]["answer"] == "Gamma Partners."
+    assert slow.metrics()["first_token"]["n"] == 1
+    assert [e["event"] for e in slow.stream("what did beta holdings buy?", "vector")] == ["meta", "token", "done"]
     events = list(bench.stream("What did Acme Robotics sell?", "vector"))
     assert events[0]["event"] == "meta" and events[-1]["event"] == "done" and "".join(e["text"] for e in events if e["event"] == "token") == events[-1]["answer"]
     assert next(iter(bench.stream("x" * 3000)))["event"] == "error"

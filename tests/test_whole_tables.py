@@ -43,10 +43,10 @@ def test_bootstraps_weigh_every_row(spark):
             x = (x ^ (x >> shift)) * factor % prime
         return sum((x > int(prime * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)))).astype(int) for i in range(10))
 
-    w = np.stack([counts(b) for b in range(500)])
+    w = np.stack([counts(b) for b in range(10_000)])
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.1
     for name, x in (("bootstrap_ci", e.value / 100), ("paired_bootstrap", e.value / 100 - e.user_id % 10 / 10)):
-        m = (w * x.to_numpy()).sum(axis=1) / w.sum(axis=1)
+        m = (w @ x.to_numpy()) / w.sum(axis=1)
         got = run(spark, name).iloc[0]
         assert (got.n, got["mean"]) == (len(e), pytest.approx(x.mean(), abs=1e-6))
         assert [got.lo, got.hi] == pytest.approx(np.quantile(m, [0.025, 0.975]), abs=2e-6)
