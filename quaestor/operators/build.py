@@ -91,7 +91,7 @@ def build(entities: DataFrame, triples: DataFrame, keep: Callable[[str, DataFram
     s = t.select(_arrival(1, 0).alias("ord"), F.col("subject").alias("name"), F.col("s_type").alias("type"), F.lit("").alias("description"), (F.col("exact") & (F.col("s_type") != "Company")).alias("exact"), "doc_id")
     o = t.where("NOT literal").select(_arrival(1, 1).alias("ord"), F.col("object").alias("name"), F.col("o_type").alias("type"), F.lit("").alias("description"), F.lit(False).alias("exact"), "doc_id")
     mentions = keep("mentions", e.unionByName(s).unionByName(o))
-    aliases = keep("aliases", resolve.aliases(mentions, **how))
+    aliases = keep("aliases", resolve.by_letters(mentions) if how == {"meaning": False} else resolve.aliases(mentions, **how))
     nodes = mentions.join(aliases, "name").select(F.col("canonical").alias("node"), "type", "description", "doc_id", "ord")
     who = lambda side, out: aliases.select(F.col("name").alias(side), F.col("canonical").alias(out))
     t = t.join(who("subject", "src"), "subject")

@@ -62,10 +62,13 @@ POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(
 
 
 def _below(v):
-    """v modulo PRIME for numbers below 2**62, in place of a division: 2**31 is 1 modulo PRIME."""
-    v = (v & PRIME) + (v >> 31)
-    v = (v & PRIME) + (v >> 31)
-    v[v >= PRIME] -= PRIME
+    """v modulo PRIME, in place, for numbers below 2**61: 2**31 is 1 modulo PRIME, and what is left is below twice PRIME."""
+    import numpy as np
+
+    high = v >> np.uint64(31)
+    v &= np.uint64(PRIME)
+    v += high
+    np.minimum(v, v - np.uint64(PRIME), out=v)  # below PRIME the difference wraps around and is the larger
     return v
 
 
@@ -73,18 +76,20 @@ def poisson_counts(keys, resamples: int):
     """How often each row (by key) counts in each resample: products, shifts and xor that SQL engines share, as a matrix."""
     import numpy as np
 
-    k, b = np.asarray(keys, np.int64) % PRIME, np.arange(resamples, dtype=np.int64)
-    x = _below(b[None, :] * 7919 + k[:, None] * 104729 + 12345)
+    k, b = (np.asarray(keys, np.int64) % PRIME).astype(np.uint64), np.arange(resamples, dtype=np.uint64)
+    x = _below((b * np.uint64(7919) + np.uint64(12345))[None, :] + (k * np.uint64(104729))[:, None])
     for shift, factor in ((15, 48271), (13, 69621), (16, 16807)):
-        x = _below((x ^ (x >> shift)) * factor)
-    times = np.zeros(x.shape, np.uint8)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+        x = _below(x)
+    x, times = x.astype(np.uint32), np.zeros(x.shape, np.uint8)
     for t in POISSON:
-        times += x > t
+        times += x > np.uint32(t)
     return times
 
 
-#: Cells of the matrix of rows and resamples that a task holds at a time.
-CELLS = 1 << 20
+#: Cells of the matrix of rows and resamples that a task holds at a time: what a core's cache holds.
+CELLS = 1 << 16
 
 
 def bootstrap(values: DataFrame, resamples: int = 10_000) -> DataFrame:

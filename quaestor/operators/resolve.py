@@ -1,9 +1,13 @@
 """Names: similarity with years, best matches, linking with a semantic fallback, and entity resolution in arrival order.
 
-Names can merge only if their numbers and quarters are the same set, so resolution runs for each such set on its own: the
-result is that of one pass over all arrivals. A name's first arrival decides for all its arrivals, so only first arrivals
-meet in a task: as many rows as a set has different names. Names without numbers are one such set; within it only names of
-lengths that can reach the threshold are compared.
+Names can merge only if their numbers and quarters are the same set, and the result is that of one pass over all arrivals.
+A name's first arrival decides for all its arrivals.
+
+By letters alone (`by_letters`) this is a join and rounds. Names that reach the threshold differ by few letters, so they share
+one of their rarest pairs of letters: names meet by those, and only names that meet are compared. Then a name is canonical if
+all earlier names that are similar to it have merged, and merges if one of them is canonical: rounds decide more and more names,
+until all are. No task holds the names of a set together. With meaning (`aliases`) the names of a set meet in one task, as what
+is nearest among all that came before decides.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import models
 from quaestor.functions import text as T
 from quaestor.operators import dense
+from quaestor.sources.tables import written
 
 #: Similarity that merges names; the factor of a conflict of years; cosines that merge names of one type
 #: without and with confirmation; what a link must exceed by letters and by meaning; links of a question.
@@ -140,9 +145,115 @@ def aliases(mentions: DataFrame, threshold: float = SAME, confirm: Callable[[str
     return m.groupBy("numbers").applyInArrow(run, "name string, canonical string")
 
 
+def cleaned(name: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"^(the|this)\s+", "", name.strip(), flags=re.I))
+
+
+def grams(form_: str) -> list[str]:
+    """The form's pairs of letters, the n-th of equal ones numbered, and the whole form, which equal forms share."""
+    seen: dict[str, int] = {}
+    out = [f"={form_}"]
+    for a, b in zip(form_, form_[1:]):
+        seen[a + b] = seen.get(a + b, 0) + 1
+        out.append(f"{a}{b}{seen[a + b]}")
+    return out
+
+
+def similar(names: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier, ratio: pairs of names of one set of numbers whose similarity reaches the threshold (0.8 at least).
+
+    names: id, numbers, at (order), form, exact; later names that are exact are left out. A ratio of 2 M / (a + b) leaves
+    e = (1 - threshold) (a + b) letters unmatched, each of which changes at most two pairs of a name. So of a name's pairs, rarest
+    first, one of the first 2 e + 1 is among the other's first, e taken for the longest name that can reach the threshold.
+    """
+    if threshold < 0.8:
+        raise ValueError("below 0.8 similar names need not share pairs of letters")
+
+    def spelled(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = [grams(f) for f in b.column("form").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("numbers"), pa.array(lists, pa.list_(pa.string()))], ["id", "numbers", "grams"])
+
+    g = names.select("id", "numbers", "form").mapInArrow(spelled, "id long, numbers string, grams array<string>").select("id", "numbers", F.explode("grams").alias("gram"))
+    rare = g.groupBy("numbers", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # what one name alone has brings none together
+    n = F.length("form")
+    reach = names.select("id", (2 * F.floor((1 - threshold) * (n + F.floor(n * (2 - threshold) / threshold)) + 1e-9) + 1).alias("most"), n.alias("n"))
+    own = g.join(rare, ["numbers", "gram"], "left").join(reach, "id")
+    w = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "gram")
+    whole = F.col("gram").startswith("=")
+    first = own.withColumn("place", F.row_number().over(w) - F.max(F.when(whole, 1).otherwise(0)).over(w)).where((whole | (F.col("place") <= F.col("most"))) & F.col("df").isNotNull()).select("id", "numbers", "gram", "n")
+    first = written(first)
+    a, b = first.select(F.col("id").alias("later"), "numbers", "gram", F.col("n").alias("na")), first.select(F.col("id").alias("earlier"), "numbers", "gram", F.col("n").alias("nb"))
+    near = 2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+    met = a.join(b, ["numbers", "gram"]).where((F.col("later") != F.col("earlier")) & near).select("later", "earlier").distinct()
+    x, y = names.select(F.col("id").alias("later"), F.col("at").alias("at_l"), F.col("form").alias("f")).where("NOT exact"), names.select(F.col("id").alias("earlier"), F.col("at").alias("at_e"), F.col("form").alias("o"))
+    met = met.join(x, "later").join(y, "earlier").where("at_e < at_l").select("later", "earlier", "f", "o")
+
+    def compared(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep, scores = [], []
+            for k, (f, o) in enumerate(zip(b.column("f").to_pylist(), b.column("o").to_pylist(), strict=True)):
+                m = SequenceMatcher(None, f, o)
+                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (r := m.ratio()) >= threshold:
+                    keep.append(k)
+                    scores.append(r)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("later").take(at), b.column("earlier").take(at), pa.array(scores, pa.float64())], ["later", "earlier", "ratio"])
+
+    return met.mapInArrow(compared, "later long, earlier long, ratio double")
+
+
+def canonical(pairs: DataFrame) -> DataFrame:
+    """later, earlier of each name that merges: its most similar earlier canonical name. pairs as `similar` gives them, written.
+
+    A name without pairs as the later one is canonical. Rounds: a name merges if one of its earlier names is canonical, and is
+    canonical if all of them have merged. The earliest name that is open is decided in each round, so the rounds end.
+    """
+    open_ = pairs.select("later", "earlier")
+    # What is no later name of any pair is canonical from the start.
+    state = written(pairs.select(F.col("earlier").alias("id")).distinct().join(pairs.select(F.col("later").alias("id")).distinct(), "id", "left_anti").withColumn("merged", F.lit(False)))
+    while True:
+        seen = open_.join(state.select(F.col("id").alias("earlier"), "merged"), "earlier", "left")
+        each = seen.groupBy("later").agg(F.max(F.when(~F.col("merged"), True).otherwise(False)).alias("hit"), F.min(F.col("merged").isNotNull() & F.coalesce("merged", F.lit(False))).alias("all_merged"))
+        new = written(each.where("hit OR all_merged").select(F.col("later").alias("id"), F.col("hit").alias("merged")))
+        if new.isEmpty():
+            break
+        state = written(state.unionByName(new))
+        open_ = written(open_.join(new.select(F.col("id").alias("later")), "later", "left_anti"))
+    return pairs.join(state.where("merged").select(F.col("id").alias("later")), "later", "left_semi").join(state.where("NOT merged").select(F.col("id").alias("earlier")), "earlier", "left_semi")
+
+
+def by_letters(mentions: DataFrame, threshold: float = SAME) -> DataFrame:
+    """name, canonical of each distinct name, as `aliases` without meaning resolves them, in many tasks. mentions: ord, name, exact."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            names = [cleaned(x) for x in b.column("name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("numbers"), b.column("at"), b.column("exact"), pa.array(names), pa.array([x.lower() for x in names]), pa.array([form(x) for x in names])], ["name", "numbers", "at", "exact", "clean", "low", "form"])
+
+    m = mentions.select("ord", F.coalesce("name", F.lit("")).alias("name"), "exact").groupBy("name").agg(F.min(F.struct("ord", "exact")).alias("m"))
+    m = m.select("name", F.array_join(T.number_key(F.col("name")), ",").alias("numbers"), F.col("m.ord").alias("o"), F.col("m.exact").alias("exact"))
+    # One number for the order of arrival: ties by name.
+    ordered = m.repartitionByRange("o", "name").sortWithinPartitions("o", "name").withColumn("at", F.monotonically_increasing_id())
+    rows = written(ordered.select("name", "numbers", "at", "exact").mapInArrow(read, "name string, numbers string, at long, exact boolean, clean string, low string, form string"))
+    first = rows.groupBy("numbers", "low").agg(F.min(F.struct("at", "clean", "form", "exact")).alias("f"))
+    names = written(first.select("numbers", "low", F.col("f.at").alias("id"), F.col("f.at").alias("at"), F.col("f.clean").alias("clean"), F.col("f.form").alias("form"), F.col("f.exact").alias("exact")))
+    pairs = written(similar(names, threshold))
+    best = canonical(pairs).groupBy("later").agg(F.min_by("earlier", F.struct(-F.col("ratio"), F.col("earlier"))).alias("earlier"))
+    target = best.join(names.select(F.col("id").alias("earlier"), F.col("clean").alias("found")), "earlier").select(F.col("later").alias("id"), "found")
+    known = names.join(target, "id", "left").select("numbers", "low", F.coalesce("found", "clean").alias("canonical"))
+    return rows.join(known, ["numbers", "low"]).select("name", "canonical")
+
+
 def resolve(mentions: DataFrame, threshold: float = SAME) -> DataFrame:
     """ord, name, canonical of each mention, by letters alone. mentions: ord, name, exact."""
-    found = aliases(mentions.select("ord", "name", "exact"), threshold, meaning=False)
+    found = by_letters(mentions, threshold)
     return mentions.join(found, F.coalesce(mentions["name"], F.lit("")) == found["name"]).select(mentions["ord"], mentions["name"], "canonical")
 
 
