@@ -11,7 +11,13 @@ BOILERPLATE = (
     r"(?im)forward-looking statements|safe harbor|private securities litigation reform act|investor relations|media contact|^contacts?:|conference call|webcast|"
     r"non-gaap financial measures? (?:are|is|should)|not (?:been )?prepared in accordance with gaap|undue reliance|risk factors.{0,40}annual report on form 10-k"
 )
-PERIOD = r"^((?i:q[1-4]\s+20[0-9][0-9]|h[12]\s+20[0-9][0-9]|fy\s?20[0-9][0-9])|20[0-9][0-9]|[A-Z][a-z]+\.?\s+[0-9]{1,2},?\s+20[0-9][0-9])$"
+PERIODS = (
+    r"(?i)^Q[1-4]\s+20\d\d$",
+    r"(?i)^H[12]\s+20\d\d$",
+    r"(?i)^FY\s?20\d\d$",
+    r"^20\d\d$",
+    r"^[A-Z][a-z]+\.?\s+\d{1,2},?\s+20\d\d$",
+)
 VALUE = r"(?i)^\(?\s*[$€£]?\s*\(?\s*[-–—]?\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?\s*(?:%|x|pts?|bps)?\s*\)?$"
 RATE = r"(?i)per share|per gallon|\(cents\)|margin|ratio|percent|%|rate\b|yield|per available|days|employees"
 SUFFIX = r"(?i),?\s+(inc|corp|corporation|co|company|llc|plc|ltd|holdings)\.?$"
@@ -21,6 +27,8 @@ LITERALS = ("up", "down", "increase", "decrease", "increased", "decreased", "fla
 CORPORATE = r"\b(inc|corp|llc|plc|ltd)\b"
 PREDICATES = (
     ("has_value", r"(?i)\bvalue\b|\bwas\b|totaled|amounted|^is\b"),
+    # As defined, `year` must not be followed by `.over.year`; SQL engines have no such look ahead. Nothing is lost: where it
+    # would exclude one `year`, the last one of the same words matches.
     ("in_period", r"(?i)period|quarter|fiscal|month|year"),
     ("comparison", r"(?i)increas|decreas|compar|grew|declin|versus|\bvs\b|sequential|year.over.year|yoy|up |down "),
     ("reports", r"(?i)segment|report|division|subsidiary"),
@@ -53,6 +61,11 @@ def number_key(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(NUMBER_TOKEN), 1)))
 
 
+def entity_text(name: Column, type_: Column, description: Column) -> Column:
+    """What a name is embedded as."""
+    return F.concat(name, F.lit(" ("), type_, F.lit("): "), F.coalesce(description, F.lit("")))
+
+
 def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(YEAR), 1))
 
@@ -63,7 +76,10 @@ def year_conflict(a: Column, b: Column) -> Column:
 
 
 def is_period(text: Column) -> Column:
-    return F.trim(text).rlike(PERIOD)
+    token, out = F.trim(text), F.lit(False)
+    for pattern in PERIODS:
+        out = out | token.rlike(pattern)
+    return out
 
 
 def is_value(text: Column) -> Column:

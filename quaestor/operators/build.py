@@ -13,12 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions import jsontext
+from quaestor.functions import jsontext, models
 from quaestor.functions import text as T
 from quaestor.operators import graph, resolve, tables
 
 #: Types whose names stay nodes even if they look like values; the type of unknown names; shortest passage to halve.
 THINGS, OTHER, SHORTEST = ("Company", "Segment", "Person"), "Other", 600
+#: Tokens of an extraction's answer at first and at most, divisions of a passage, answers that may lack the lists.
+BUDGET, LARGEST, DIVISIONS, INVALID = 4096, 16384, 2, 3
+EXTRACT = "Return JSON with the lists entities (name, type, description) and triples (subject, predicate, object, evidence) that the passage states."
+AGAIN = " Your previous response lacked the required lists. Return both, empty if the passage states nothing."
 RESPONSE = "struct<entities:array<struct<name:string,type:string,description:string>>,triples:array<struct<subject:string,predicate:string,object:string,evidence:string>>>"
 
 
@@ -100,11 +104,6 @@ def build(entities: DataFrame, triples: DataFrame, keep: Callable[[str, DataFram
     return Graph(graph.consolidate(nodes), edges, values, aliases)
 
 
-def entity_text(name: Column, type_: Column, description: Column) -> Column:
-    """What a name is embedded as."""
-    return F.trim(F.concat(name, F.lit(" ("), type_, F.lit("): "), F.coalesce(description, F.lit(""))))
-
-
 def fact_texts(edges: DataFrame, values: DataFrame) -> DataFrame:
     """fact, chunk_id, doc_id, node: edges and values as the lines that contexts show."""
     tail = F.concat(F.lit("  (source: "), F.col("doc_id").cast("string"), F.lit("; "), F.coalesce("evidence", F.lit("")), F.lit(")"))
@@ -113,6 +112,53 @@ def fact_texts(edges: DataFrame, values: DataFrame) -> DataFrame:
     return said.unionByName(known)
 
 
+def items(text: str, model: models.LanguageModel) -> dict:
+    """Entities and triples that a model finds in a passage.
+
+    An answer that is cut off is most often one that repeats itself, so a passage of SHORTEST characters is divided and its
+    halves are asked about, DIVISIONS times deep; a shorter one gets more room up to LARGEST and is then left out. An answer
+    without both lists is asked for again; after INVALID of them the passage fails.
+    """
+    found: dict[str, list] = {"entities": [], "triples": []}
+    waiting = [(text, 0)]
+    while waiting:
+        part, depth = waiting.pop()
+        room, system, invalid = BUDGET, EXTRACT, 0
+        while True:
+            said, cut = model.chat(system, part, room)
+            if cut and len(part) >= SHORTEST and depth < DIVISIONS:
+                waiting += [(half, depth + 1) for half in reversed(halves(part))]  # the first half is next
+                break
+            if cut:
+                if room >= LARGEST:
+                    break
+                room = min(2 * room, LARGEST)
+                continue
+            data = jsontext.loaded(said)
+            if all(isinstance(data.get(k), list) for k in found):
+                for k in found:
+                    found[k] += data[k]
+                break
+            invalid += 1
+            if invalid >= INVALID:
+                raise ValueError(f"no lists of entities and triples after {INVALID} answers")
+            system = EXTRACT + AGAIN
+    return found
+
+
+def extractor(model: models.LanguageModel, at_once: int = 4) -> Callable[[DataFrame], DataFrame]:
+    """chunks (chunk_id, text) -> chunk_id, response: a model's items, without paragraphs that state nothing."""
+
+    def run(frames):
+        import json
+
+        for f in frames:
+            f["response"] = [json.dumps(items(t, model), ensure_ascii=False) for t in f.pop("text")]
+            yield f[["chunk_id", "response"]]
+
+    return lambda chunks: chunks.select("chunk_id", T.strip_boilerplate(F.col("text")).alias("text")).repartition(at_once).mapInPandas(run, "chunk_id string, response string")
+
+
 def stats(g: Graph) -> DataFrame:
     """One row: nodes, edges, and documents among the nodes' sources."""
     docs = g.nodes.select(F.explode("source_docs").alias("d")).agg(F.countDistinct("d").alias("docs"))

@@ -74,8 +74,7 @@ def by_meaning(names: DataFrame, nodes: DataFrame, least: float = MEANING) -> Da
     """name, node, score: each asked name's node of largest cosine above `least`. nodes: node, and type, description where they are known."""
     asked = names.select("name").distinct().select("name", models.embed(F.col("name")).alias("q"))
     known = lambda c: F.coalesce(c, F.lit("")) if c in nodes.columns else F.lit("")
-    told = F.concat(F.col("node"), F.lit(" ("), known("type"), F.lit("): "), known("description"))
-    pairs = _pairs(asked, nodes.select("node", models.embed(told).alias("v")))
+    pairs = _pairs(asked, nodes.select("node", models.embed(T.entity_text(F.col("node"), known("type"), known("description"))).alias("v")))
     s = pairs.select("name", "node", dense.cosine(F.col("v"), F.col("q")).alias("score")).where(F.col("score") > least)
     return s.groupBy("name").agg(F.max("score").alias("score"), F.min_by("node", F.struct(-F.round("score", 9), F.col("node"))).alias("node")).select("name", "node", "score")
 
@@ -139,7 +138,7 @@ def aliases(mentions: DataFrame, threshold: float = SAME, confirm: Callable[[str
     about = F.col("description") if "description" in have else F.lit("")
     m = mentions.select("ord", F.coalesce("name", F.lit("")).alias("name"), "exact", kind.alias("type"), F.coalesce(about, F.lit("")).alias("description"))
     m = m.groupBy("name").agg(F.min(F.struct("ord", "exact", "type", "description")).alias("m")).select("name", "m.*")
-    told = F.concat(F.col("name"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.col("description"))
+    told = T.entity_text(F.col("name"), F.coalesce("type", F.lit("")), F.col("description"))
     vec = F.when(~F.col("exact"), models.embed(told)) if meaning else F.lit(None).cast("array<double>")
     m = m.withColumn("numbers", F.array_join(T.number_key(F.col("name")), ",")).withColumn("vec", vec)
     return m.groupBy("numbers").applyInArrow(run, "name string, canonical string")

@@ -155,7 +155,17 @@ SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items,
     "fuzzy_match": (fuzzy_match, None),
     "entity_resolution": (entity_resolution, None),
     "communities": (communities, None),
-    "numeric_score": (numeric_score, "SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 0.0 ELSE 5.0 END AS score FROM events"),
+    "numeric_score": (
+        numeric_score,
+        # The rule for these forms: the number behind the mark, negative in parentheses; where the published one is a percentage, also a
+        # hundredth of it; a scale that both name cancels; right within a thousandth or half of the last published digit.
+        r"""WITH e AS (SELECT event_id, event_id % 5 AS k, round(value, 2) + 1 AS n FROM events), f AS (SELECT *, printf('%.2f', n) AS v FROM e),
+r AS (SELECT event_id, CASE k WHEN 0 THEN 'FINAL_NUMERIC_ANSWER: ' || v WHEN 1 THEN 'FINAL_NUMERIC_ANSWER: ' || v || '%' WHEN 2 THEN 'FINAL_NUMERIC_ANSWER: ' || v || ' million' WHEN 3 THEN 'the value is ' || v ELSE 'FINAL_NUMERIC_ANSWER: (' || v || ')' END AS answer,
+ printf('%.4f', CASE k WHEN 1 THEN n / 100 WHEN 4 THEN -n ELSE n END)::DOUBLE AS gold, CASE k WHEN 1 THEN v || '%' WHEN 2 THEN v || ' million' ELSE v END AS human FROM f),
+p AS (SELECT *, nullif(regexp_extract(answer, 'FINAL_NUMERIC_ANSWER: \(?([0-9.]+)', 1), '')::DOUBLE * CASE WHEN answer LIKE '%(%' THEN -1 ELSE 1 END AS x, human LIKE '%\%' ESCAPE '\' AS ratio, length(regexp_extract(human, '\.([0-9]+)', 1)) AS digits FROM r),
+t AS (SELECT *, greatest(1e-5, abs(gold) * 0.001, CASE WHEN human LIKE '%million' THEN 0 ELSE 0.5 * 10.0 ** -digits / CASE WHEN ratio THEN 100 ELSE 1 END END) AS tolerance FROM p)
+SELECT event_id, CASE WHEN abs(x - gold) <= tolerance OR ratio AND abs(x / 100 - gold) <= tolerance THEN 5.0 ELSE 0.0 END::DOUBLE AS score FROM t""",
+    ),
     "judge_scores": (judge_scores, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN user_id % 8 <= 5 THEN (user_id % 8)::DOUBLE END WHEN 3 THEN 3.5 WHEN 4 THEN (user_id % 6)::DOUBLE END AS score FROM events"),
     "stream_window_metrics": (stream_window_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY ALL"),
     "stream_sessions": (
@@ -163,7 +173,15 @@ SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items,
         "WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS new FROM events), s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
     ),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
-    "rate_limit_decisions": (rate_limit_decisions, None),
+    "rate_limit_decisions": (
+        rate_limit_decisions,
+        """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+n AS (SELECT a.user_id, a.k, min(b.k) AS nxt FROM e a JOIN e b ON a.user_id = b.user_id AND b.us - a.us >= 3600000000 GROUP BY a.user_id, a.k),
+a AS (SELECT user_id, 1::BIGINT AS k FROM e WHERE k = 1 UNION ALL SELECT n.user_id, n.nxt FROM a JOIN n ON a.user_id = n.user_id AND a.k = n.k),
+t AS (SELECT e.*, a.k IS NOT NULL AS allowed FROM e LEFT JOIN a ON e.user_id = a.user_id AND e.k = a.k),
+l AS (SELECT *, max(CASE WHEN allowed THEN us END) OVER (PARTITION BY user_id ORDER BY k) AS last FROM t)
+SELECT event_id, user_id, allowed, CASE WHEN allowed THEN 0 ELSE greatest(1, ceil(3600 - (us - last) / 1e6))::BIGINT END AS retry_after FROM l""",
+    ),
     "online_bandit": (online_bandit, None),
     "stream_ingest": (stream_ingest, "SELECT c_custkey AS doc_id, c_name FROM customer WHERE c_custkey % 4 <> 0"),
 }

@@ -145,7 +145,7 @@ QUERIES = {
     "literal_filter": (literal_filter, f"WITH {_W}, t AS (SELECT lower(trim(s)) AS t FROM w2) SELECT {_LIT} AS literal, count(*) AS n FROM t GROUP BY 1"),
     "value_filter": (
         value_filter,
-        rf"WITH s AS (SELECT event_id, trim(['$ ' || value, '(' || user_id || ')', value || ' %', 'Q' || (user_id % 6) || ' 2025', props][(event_id % 5 + 1)::INT]) AS s FROM events) SELECT event_id, regexp_matches(s, '{T.VALUE}') AS value, regexp_matches(s, '{T.PERIOD}') AS period FROM s",
+        rf"WITH s AS (SELECT event_id, trim(['$ ' || value, '(' || user_id || ')', value || ' %', 'Q' || (user_id % 6) || ' 2025', props][(event_id % 5 + 1)::INT]) AS s FROM events) SELECT event_id, regexp_matches(s, '{T.VALUE}') AS value, " + " OR ".join(f"regexp_matches(s, '{p}')" for p in T.PERIODS) + " AS period FROM s",
     ),
     "year_conflict": (year_conflict, "SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_custkey % 4 <> o_orderkey % 5 AS conflict FROM orders"),
     "number_key": (number_key, rf"WITH {_W} SELECT doc_id, line, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(s), '{T.NUMBER_TOKEN}'))), ',') AS numbers FROM w2"),
