@@ -319,6 +319,8 @@ def prepared(questions: DataFrame, corpus: Corpus, engine: str) -> DataFrame:
     texts = context.assembled(sections(found, corpus), "question_id", "part")
     own = texts.join(_cited(citations(found, corpus)), "question_id").join(paths(found), "question_id", "left")
     own = own.select("question_id", F.lit("local").alias("mode"), "context", "citations", F.coalesce(F.col("nodes").cast("array<string>"), F.array().cast("array<string>")).alias("path"))
+    if rest.isEmpty():
+        return own
     top = written(best_communities(rest, corpus))
     ev = written(overall(rest, corpus, top).join(chunks, "chunk_id"))
     groups = corpus.communities.select("community", F.col("title") if "title" in corpus.communities.columns else F.col("community").cast("string").alias("title"), "summary", "members")

@@ -95,7 +95,7 @@ def report(requests: DataFrame) -> dict:
     of = lambda c: F.when(ok, F.col(c))
     one = summary(requests).first().asDict()
     more = requests.agg(
-        F.round(F.sum(of("cost_usd")), 6).alias("cost_usd"), F.round(F.avg(of("cost_usd")), 6).alias("mean_cost_usd"), F.round(F.avg(of("abstained")), 4).alias("abstention_rate"),
+        F.count_if(F.col("status") == "cached").alias("cached"), F.round(F.sum(of("cost_usd")), 6).alias("cost_usd"), F.round(F.avg(of("cost_usd")), 6).alias("mean_cost_usd"), F.round(F.avg(of("abstained")), 4).alias("abstention_rate"),
         F.round(F.avg(of("citation_coverage")), 4).alias("citation_coverage"), F.round(F.sum(of("prompt_tokens") + of("completion_tokens")) / F.count_if(ok), 1).alias("mean_tokens"),
     ).first().asDict()
     detail = requests.select("*", F.from_json("detail", "stage_ms map<string,double>, ttft_ms double").alias("d"))
