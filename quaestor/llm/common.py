@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -61,7 +62,7 @@ def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share: the session names it; a default serves runs on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"{tempfile.gettempdir()}/quaestor-scratch-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
