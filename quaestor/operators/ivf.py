@@ -6,7 +6,8 @@ its code, a byte for each part, sorted by list in folders; a deletion writes ids
 version deletes its id, and adding an id again deletes its earlier rows.
 
 A search finds each question's nearest lists, estimates scores from the codes (a table for each part, no vectors are read), and
-reranks the best estimates on the vectors themselves. Long lists are cut in slices, so that no task holds a list whole.
+reranks the best estimates on the vectors themselves. Long lists are cut in slices and
+many questions in packs, so that no task holds a list or all questions.
 How many lists a search asks is measured when the index is made: sample vectors are held against all of the
 sample, and the least number that finds the share WANTED of their neighbours is kept.
 
@@ -26,8 +27,8 @@ from quaestor.sources.tables import exists, written
 
 #: Vectors of the training sample at most, lists at most, codes of a part, and rounds of training.
 SAMPLE, LISTS, CODES, ROUNDS = 20_000, 1024, 256, 8
-#: Dimensions of a part; lists of a folder; rows of a slice; estimates that are reranked for each result that is asked for.
-PART, FOLDER, SLICE, RERANK = 4, 16, 65_536, 10
+#: Dimensions of a part; lists of a folder; rows of a slice; estimates that are reranked for each result that is asked for; questions of a pack.
+PART, FOLDER, SLICE, RERANK, PACK = 4, 16, 65_536, 10, 4096
 #: Share of the sample's neighbours that a search is to find, neighbours and vectors of that measurement.
 WANTED, NEAREST, MEASURED = 0.97, 20, 300
 
@@ -225,8 +226,11 @@ class VectorIndex:
         asked = q.mapInArrow(asks, f"question_id {kind}, q array<double>, list int")
         lists = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
         of = F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice")
+        packs = max(1, -(-q.count() // PACK))
         coded = rows.select("list", "vec_id", "code").join(F.broadcast(lists), "list").select("list", of, "vec_id", "code")  # a row for each of at most LISTS lists
-        asked = asked.join(F.broadcast(lists), "list").select(F.col("list").alias("l"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), "question_id", "q")
+        coded = coded.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+        pack = F.pmod(F.xxhash64("question_id"), F.lit(packs)).cast("int").alias("p")
+        asked = asked.join(F.broadcast(lists), "list").select(F.col("list").alias("l"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), pack, "question_id", "q")
         most = rerank * k
 
         def estimate(left, right):
@@ -247,7 +251,7 @@ class VectorIndex:
             cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
             return pa.table({"question_id": right.column("question_id").take(pa.array(cat(out_q, np.int64))), "vec_id": left.column("vec_id").take(pa.array(cat(out_v, np.int64))), "about": pa.array(cat(out_s, np.float64))})
 
-        near = coded.groupBy("list", "slice").cogroup(asked.groupBy("l", "s")).applyInArrow(estimate, f"question_id {kind}, vec_id {other}, about double")
+        near = coded.groupBy("list", "slice", "pack").cogroup(asked.groupBy("l", "s", "p")).applyInArrow(estimate, f"question_id {kind}, vec_id {other}, about double")
         if exclude_self:
             near = near.where(F.col("vec_id") != F.col("question_id"))
         w = Window.partitionBy("question_id").orderBy(F.desc("about"), "vec_id")

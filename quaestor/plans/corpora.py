@@ -126,7 +126,18 @@ def answers(spark, d):
 _BOUND = "r AS (SELECT {g} AS g, doc_id, length(text) AS n, 14000 - coalesce(sum(length(text)) OVER (PARTITION BY {g} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM documents), k AS (SELECT g, doc_id, least(n, room)::BIGINT AS n FROM r WHERE room > 200)"
 _CUES = "CASE " + " ".join(f"WHEN regexp_matches(text, '{c}') THEN '{n}'" for n, c in models.CUES) + " ELSE 'local' END"
 
+def company_titles(spark, d):
+    """Names from titles as filers write them."""
+    title = F.concat(F.lit(" "), F.upper("p_name"), F.lit("  US "), F.col("p_brand"), F.when(F.pmod("p_partkey", F.lit(3)) == 0, " /NEW").when(F.pmod("p_partkey", F.lit(3)) == 1, " /DE/").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", filings.company_name(title).alias("company"))
+
+
 QUERIES = {
+    "company_titles": (
+        company_titles,
+        r"""WITH t AS (SELECT p_partkey, ' ' || upper(p_name) || '  US ' || p_brand || CASE p_partkey % 3 WHEN 0 THEN ' /NEW' WHEN 1 THEN ' /DE/' ELSE '' END AS t FROM part), w AS (SELECT p_partkey, list_filter(string_split_regex(regexp_replace(trim(t), '\s*/[A-Z]{2,}/?\s*$', ''), '\s+'), lambda w: w <> '') AS w FROM t)
+SELECT p_partkey, array_to_string(list_transform(w, lambda w: CASE WHEN length(w) <= 3 AND upper(w) = w AND lower(w) <> w THEN w ELSE upper(w[1:1]) || lower(w[2:]) END), ' ') AS company FROM w""",
+    ),
     "context_budget": (context_budget, f"WITH {_BOUND.format(g='source')} SELECT g AS source, doc_id, n FROM k"),
     "context_assembled": (context_assembled, f"WITH {_BOUND.format(g='lang')} SELECT g AS lang, (sum(n) + count(*) - 1)::BIGINT AS n FROM k GROUP BY g"),
     "source_passages": (source_passages, None),

@@ -28,6 +28,13 @@ def releases(rows: DataFrame, exhibits: DataFrame, n: int = RELEASES) -> DataFra
     return own.withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") <= n)
 
 
+def company_name(title: Column) -> Column:
+    """A filer's title as a name: no state or marker behind a slash, words capitalised, short ones in capitals kept."""
+    words = F.filter(F.split(F.regexp_replace(F.trim(title), r"\s*/[A-Z]{2,}/?\s*$", ""), r"\s+"), lambda w: w != "")
+    short = lambda w: (F.length(w) <= 3) & (F.upper(w) == w) & (F.lower(w) != w)
+    return F.array_join(F.transform(words, lambda w: F.when(short(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))), " ")
+
+
 def rendered(company: Column, ticker: Column, filed: Column, url: Column, body: Column, most: int = 80_000) -> Column:
     """A release as a document: its header, and the body cut at a paragraph in its second half."""
     head = F.substring(body, 1, most)

@@ -70,7 +70,9 @@ def cosines(q, v):
 
 
 @pytest.mark.parametrize("n", [500, 4000])
-def test_vector_index_recall(spark, tmp_path, n):
+def test_vector_index_recall(spark, tmp_path, monkeypatch, n):
+    monkeypatch.setattr(ivf, "SLICE", 40)
+    monkeypatch.setattr(ivf, "PACK", 30)
     rng = np.random.default_rng(n)
     v = rng.standard_normal((n, 64))
     table = spark.createDataFrame([(k, [float(c) for c in row]) for k, row in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text as T
 from quaestor.operators import build, judging, questions, reports
-from quaestor.sources import datasets
+from quaestor.sources import datasets, filings
 
 
 def test_names_and_requests(spark):
@@ -17,6 +17,12 @@ def test_names_and_requests(spark):
     assert got[1].t == "this one (Company): "
 
 
+def test_company_names(spark):
+    titles = {"COSTCO WHOLESALE CORP /NEW": "Costco Wholesale Corp", "  3M  CO ": "3M CO", "IBM Global /DE/": "IBM Global", "A/B TESTING": "A/B Testing", "": ""}
+    d = spark.createDataFrame([(k,) for k in titles], "t string")
+    assert {r.t: r.n for r in d.select("t", filings.company_name(F.col("t")).alias("n")).collect()} == titles
+
+
 def test_question_files(spark, tmp_path):
     one = {"id": "ACME/2020/page_1.pdf-1", "pre_text": ["before"], "post_text": ["after"], "table": [["", "2020"], ["sales", "5"]], "qa": {"question": "sales?", "exe_ans": 5.0, "answer": "5", "program": "x", "gold_inds": {"table_1": "the sales of 2020 is 5"}}}
     (tmp_path / "train.json").write_text(json.dumps([one]))
