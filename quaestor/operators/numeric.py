@@ -46,19 +46,25 @@ def parse(text: object) -> Scalar | None:
     return Scalar(-abs(value) if m["open"] else value, m["unit"] or "number", len(m["number"].partition(".")[2]))
 
 
+#: What an answer's number is taken by, for its unit and what is expected: a ratio (published as a percentage), points, or neither.
+READINGS = {
+    "percent": {"ratio": (0.01,), "points": (1.0,), "": ()},
+    "number": {"ratio": (1.0, 0.01), "points": (1.0,), "": (1.0,)},
+}
+MONEY = ("dollars", "usd")
+
+
 def _readings(got: Scalar, human: Scalar | None, ratio: bool, points: bool, question: str) -> list[float]:
     """What the answer's number may mean in the unit of the expected value."""
-    published = human.unit if human else "number"
-    v = got.value
-    if got.unit in PERCENT:
-        return [v / 100] if ratio else [v] if points else []
-    if got.unit in SCALES:
-        asked = next((f for name, f in SCALES.items() if re.search(rf"in (?:\$\s*)?{name}s?\b", question.lower())), None)
-        scale = SCALES.get(published) or asked
-        return [v * SCALES[got.unit] / scale] if scale else [v]
-    if published in SCALES and got.unit in ("dollars", "usd"):
-        return [v / SCALES[published]]
-    return [v, v / 100] if ratio else [v]
+    expected = "ratio" if ratio else "points" if points else ""
+    own, scale = SCALES.get(got.unit), SCALES.get(human.unit) if human else None
+    factors = READINGS["percent" if got.unit in PERCENT else "number"][expected]
+    if own:  # a scale goes by the published one, else by the one that the question asks for
+        asked = (f for name, f in SCALES.items() if re.search(rf"in (?:\$\s*)?{name}s?\b", question.lower()))
+        factors = (own / (scale or next(asked, own)),)
+    elif scale and got.unit in MONEY:
+        factors = (1 / scale,)
+    return [got.value * f for f in factors]
 
 
 def score(answer: str, gold: str, human: str = "", program: str = "", question: str = "") -> float:

@@ -157,14 +157,14 @@ SELECT p_brand AS doc_id, p_brand || '::table' || part AS chunk_id, md5('Items,
     "communities": (communities, None),
     "numeric_score": (
         numeric_score,
-        # The rule for these forms: the number behind the mark, negative in parentheses; where the published one is a percentage, also a
-        # hundredth of it; a scale that both name cancels; right within a thousandth or half of the last published digit.
+        # The rule for these forms: the number behind the mark, negative in parentheses; a percentage is its hundredth where the published
+        # one is a percentage; a scale that both name cancels; right within a thousandth or half of the last published digit.
         r"""WITH e AS (SELECT event_id, event_id % 5 AS k, round(value, 2) + 1 AS n FROM events), f AS (SELECT *, printf('%.2f', n) AS v FROM e),
 r AS (SELECT event_id, CASE k WHEN 0 THEN 'FINAL_NUMERIC_ANSWER: ' || v WHEN 1 THEN 'FINAL_NUMERIC_ANSWER: ' || v || '%' WHEN 2 THEN 'FINAL_NUMERIC_ANSWER: ' || v || ' million' WHEN 3 THEN 'the value is ' || v ELSE 'FINAL_NUMERIC_ANSWER: (' || v || ')' END AS answer,
  printf('%.4f', CASE k WHEN 1 THEN n / 100 WHEN 4 THEN -n ELSE n END)::DOUBLE AS gold, CASE k WHEN 1 THEN v || '%' WHEN 2 THEN v || ' million' ELSE v END AS human FROM f),
 p AS (SELECT *, nullif(regexp_extract(answer, 'FINAL_NUMERIC_ANSWER: \(?([0-9.]+)', 1), '')::DOUBLE * CASE WHEN answer LIKE '%(%' THEN -1 ELSE 1 END AS x, human LIKE '%\%' ESCAPE '\' AS ratio, length(regexp_extract(human, '\.([0-9]+)', 1)) AS digits FROM r),
 t AS (SELECT *, greatest(1e-5, abs(gold) * 0.001, CASE WHEN human LIKE '%million' THEN 0 ELSE 0.5 * 10.0 ** -digits / CASE WHEN ratio THEN 100 ELSE 1 END END) AS tolerance FROM p)
-SELECT event_id, CASE WHEN abs(x - gold) <= tolerance OR ratio AND abs(x / 100 - gold) <= tolerance THEN 5.0 ELSE 0.0 END::DOUBLE AS score FROM t""",
+SELECT event_id, CASE WHEN abs(CASE WHEN ratio THEN x / 100 ELSE x END - gold) <= tolerance THEN 5.0 ELSE 0.0 END::DOUBLE AS score FROM t""",
     ),
     "judge_scores": (judge_scores, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN user_id % 8 <= 5 THEN (user_id % 8)::DOUBLE END WHEN 3 THEN 3.5 WHEN 4 THEN (user_id % 6)::DOUBLE END AS score FROM events"),
     "stream_window_metrics": (stream_window_metrics, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY ALL"),
