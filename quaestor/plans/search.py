@@ -112,8 +112,7 @@ def cosine_matrix(spark, d):
     """Similarities of a stated question set (ids divisible by 20) to all vectors, as sums for each."""
     v = _vectors(spark, d)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
-    s = v.crossJoin(F.broadcast(q)).select("question_id", dense.cosine(F.col("embedding"), F.col("q")).alias("s"))
-    return s.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 5).alias("total"), F.round(F.max("s"), 6).alias("most"), F.round(F.min("s"), 6).alias("least"))
+    return dense.totals(q, v).select("question_id", "n", F.round("total", 5).alias("total"), F.round("most", 6).alias("most"), F.round("least", 6).alias("least"))
 
 
 def mean_seed_neighbors(spark, d):
