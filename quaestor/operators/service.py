@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.sources.tables import written
+
 
 def round_robin(rows: DataFrame, group: str, order: list[Column | str], limit: int) -> DataFrame:
     """`limit` rows taken from the groups in turn, each group in its order; adds round."""
@@ -56,10 +58,24 @@ def disjoint_splits(rows: DataFrame, splits: tuple[str, ...], report: str) -> Da
     return rows.withColumn("_o", order).join(first, report).where("_o = first").drop("_o", "first")
 
 
+def numbered(rows: DataFrame, by: str, key: str) -> DataFrame:
+    """Adds n: the row's number (from 0) within `by` in the key's order. Ranges of keys are counted, so that no task orders a group."""
+    keys = rows.groupBy(F.col(by).alias("_by"), F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_k"))
+    keys = written(keys.repartitionByRange("_by", "_key").withColumn("_part", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = keys.groupBy("_by", "_part").agg(F.sum("_k").alias("_k"))  # a row for each range
+    parts = parts.select("_by", "_part", F.coalesce(F.sum("_k").over(before.partitionBy("_by").orderBy("_part")), F.lit(0)).alias("_first"))
+    inner = F.coalesce(F.sum("_k").over(before.partitionBy("_by", "_part").orderBy("_key")), F.lit(0)).alias("_inner")
+    keys, own = keys.select("_by", "_key", "_part", inner), parts.withColumnRenamed("_by", "_b").withColumnRenamed("_part", "_p")
+    keys = keys.join(own, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).select("_by", "_key", (F.col("_first") + F.col("_inner")).alias("_first"))
+    out = rows.join(keys, F.col(by).eqNullSafe(F.col("_by")) & F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn("n", F.col("_first") + F.row_number().over(Window.partitionBy(by, key).orderBy(F.lit(0))) - 1).drop("_by", "_key", "_first")
+
+
 def bundles(docs: DataFrame, by: str, key: str, size: int = 8) -> DataFrame:
-    """bundle of each document: runs of `size` in the key's order, for each split."""
-    w = Window.partitionBy(by).orderBy(key)
-    return docs.withColumn("bundle", F.concat(F.col(by), F.lit("_"), F.lpad(F.floor((F.row_number().over(w) - 1) / size).cast("string"), 4, "0")))
+    """bundle of each document: runs of `size` in the key's order, for each split; numbers of four digits at least."""
+    n = F.floor(F.col("n") / size).cast("long")
+    return numbered(docs, by, key).withColumn("bundle", F.concat(F.col(by), F.format_string("_%04d", n))).drop("n")
 
 
 def quality_gate(checks: DataFrame, tolerance: float = 0.01) -> DataFrame:

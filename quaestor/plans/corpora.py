@@ -27,9 +27,10 @@ def source_passages(spark, d):
 
 def passage_catalog(spark, d):
     """Bundles of eight documents in order of their ids, each with an equal share of the budget."""
-    docs = service.bundles(table(spark, d, "documents").select("doc_id", "text", F.lit("all").alias("split")), "split", "doc_id")
-    docs = docs.withColumn("doc_no", F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id")).cast("long"))
-    return context.catalog(docs.select("bundle", "doc_id", "doc_no").join(context.passage_rows(docs), "doc_id"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    placed = service.bundles(docs.select("doc_id", F.lit("all").alias("split")), "split", "doc_id")  # texts stay where they are
+    placed = placed.withColumn("doc_no", F.row_number().over(Window.partitionBy("bundle").orderBy("doc_id")).cast("long"))
+    return context.catalog(placed.select("bundle", "doc_id", "doc_no").join(context.passage_rows(docs), "doc_id"))
 
 
 def source_quote(spark, d):
