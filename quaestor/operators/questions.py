@@ -124,13 +124,14 @@ def disjoint(examples: DataFrame, limits: dict[str, int], seed: int = 0) -> Data
 
     examples: id, split, report, question, answer. Splits go one after another, as each excludes what the ones before chose.
     """
-    rows = shuffled(examples.where("question IS NOT NULL AND answer IS NOT NULL"), "id", seed)
+    rows = examples.where("question IS NOT NULL AND answer IS NOT NULL")
+    w = Window.partitionBy("split").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary")), "id")  # a limit of rows, so that tasks cut their own first
     chosen = None
     for split, most in limits.items():
         own = rows.where(F.col("split") == split)
         if chosen is not None:
             own = own.join(chosen.select("report").distinct(), "report", "left_anti").join(chosen.select("id").distinct(), "id", "left_anti").select(*rows.columns)
-        own = own.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("place")).cast("long")).where(F.col("place") <= most)
+        own = own.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
         chosen = own if chosen is None else chosen.unionByName(own)
     return chosen
 
