@@ -96,6 +96,10 @@ def limited(events: DataFrame, limit: int = 1, window_s: float = 3600.0, late: s
     return rows.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Results that the bandit's worker holds at a time.
+OUT = 4096
+
+
 def online_bandit(events: DataFrame, alpha: float = 0.5, dim: int = 3) -> DataFrame:
     """Per key (event type) a bandit that picks one of two arms for each event, sees its reward, and learns from it.
 
@@ -108,19 +112,23 @@ def online_bandit(events: DataFrame, alpha: float = 0.5, dim: int = 3) -> DataFr
 
         n = dim * dim + dim
         s = np.array(state.get[0]).reshape(2, n) if state.exists else np.tile(np.append(np.eye(dim).ravel(), np.zeros(dim)), (2, 1))
-        rows = pd.concat(list(chunks)).sort_values(["t", "event_id"])
-        out = []
-        for i, x1, x2, r in zip(rows.event_id, rows.x1, rows.x2, rows.reward, strict=True):
-            x = np.array([x1, x2, 1.0])
-            inverse = [np.linalg.inv(a[: dim * dim].reshape(dim, dim)) for a in s]
-            ucb = [x @ (v @ a[dim * dim :]) + alpha * np.sqrt(max(x @ v @ x, 0.0)) for v, a in zip(inverse, s, strict=True)]
-            arm = int(ucb[1] > ucb[0])
-            got = r if arm == 0 else 1 - r
-            s[arm, : dim * dim] += np.outer(x, x).ravel()
-            s[arm, dim * dim :] += got * x
-            out.append((int(i), arm, float(got)))
+        columns = list(zip(*([c[k].to_numpy() for k in ("t", "event_id", "x1", "x2", "reward")] for c in chunks)))  # numbers only: a key can have many events
+        t, ids, x1, x2, reward = (np.concatenate(columns.pop(0)) for _ in range(5))
+        order = np.lexsort((ids, t))
+        del t
+        for at in range(0, len(order), OUT):
+            out = []
+            for k in order[at : at + OUT]:
+                x = np.array([x1[k], x2[k], 1.0])
+                inverse = [np.linalg.inv(a[: dim * dim].reshape(dim, dim)) for a in s]
+                ucb = [x @ (v @ a[dim * dim :]) + alpha * np.sqrt(max(x @ v @ x, 0.0)) for v, a in zip(inverse, s, strict=True)]
+                arm = int(ucb[1] > ucb[0])
+                got = reward[k] if arm == 0 else 1 - reward[k]
+                s[arm, : dim * dim] += np.outer(x, x).ravel()
+                s[arm, dim * dim :] += got * x
+                out.append((int(ids[k]), arm, float(got)))
+            yield pd.DataFrame(out, columns=["event_id", "arm", "reward"])
         state.update((s.ravel().tolist(),))
-        yield pd.DataFrame(out, columns=["event_id", "arm", "reward"])
 
     rows = events.select("event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (F.pmod("user_id", F.lit(10)) / 10.0).alias("x1"), (F.hour("ts") / 24.0).alias("x2"), F.least(F.col("value") / 100, F.lit(1.0)).alias("reward"))
     return rows.groupBy("event_type").applyInPandasWithState(run, "event_id long, arm int, reward double", "s array<double>", "append", GroupStateTimeout.NoTimeout)
