@@ -54,6 +54,8 @@ def _nearest(questions: DataFrame, items: DataFrame, key: str, k: int) -> DataFr
 
 #: Items and questions of a block: a task scores the pairs of one block of items with one of questions.
 ITEMS, QUESTIONS = 8192, 256
+#: Questions of a block that are scored at a time.
+STEP = 32
 
 
 def best_of(pairs: DataFrame, items: DataFrame, questions: DataFrame, key: str, k: int) -> DataFrame:
@@ -100,6 +102,52 @@ def best_of(pairs: DataFrame, items: DataFrame, questions: DataFrame, key: str,
     return left.groupBy("block", "pack").cogroup(right.groupBy("b", "p")).applyInArrow(run, f"question_id {kind(questions, 'question_id')}, {key} {kind(items, key)}, score double")
 
 
+def best_of_groups(items: DataFrame, questions: DataFrame, key: str, k: int) -> DataFrame:
+    """question_id, place, key, score: of a question's items with their best group at a place, at least the k of largest cosine and their ties.
+
+    items: key, vec, groups (array, not empty); questions: question_id, q, groups, places (of its groups, the least is the best).
+    Which items a question has is found in a block of both: the pairs are never written out.
+    """
+    blocks, packs = max(1, -(-items.count() // ITEMS)), max(1, -(-questions.count() // QUESTIONS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = items.select(F.col(key).alias("item"), F.col("vec").cast("array<double>").alias("vec"), F.col("groups").cast("array<string>").alias("groups"), part(key, blocks).alias("block"), all_of(packs).alias("pack"))
+    right = questions.select("question_id", F.col("q").cast("array<double>").alias("q"), F.col("groups").cast("array<string>").alias("of"), F.col("places").cast("array<int>").alias("places"), part("question_id", packs).alias("p"), all_of(blocks).alias("b"))
+
+    def run(items, asked):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0)]]
+        if items.num_rows and asked.num_rows:
+            own, of = items.column("groups").combine_chunks(), asked.column("of").combine_chunks()
+            names = pc.unique(own.flatten())
+            at = pc.index_in(of.flatten(), names).to_numpy(zero_copy_only=False).astype(float)
+            row, known = np.repeat(np.arange(len(of)), np.asarray(pc.list_value_length(of))), ~np.isnan(at)
+            none = np.iinfo(np.int32).max
+            places = np.full((len(of), len(names)), none, np.int32)
+            places[row[known], at[known].astype(np.int64)] = np.asarray(asked.column("places").combine_chunks().flatten())[known]
+            group, starts = np.asarray(pc.index_in(own.flatten(), names)), np.append(0, np.cumsum(pc.list_value_length(own)))[:-1]
+            x, whole = dense.matrix(items.column("vec")), dense.matrix(asked.column("q"))
+            nx, ny = np.linalg.norm(x, axis=1) + 1e-8, np.linalg.norm(whole, axis=1) + 1e-8
+            for a in range(0, len(whole), STEP):
+                y = whole[a : a + STEP]
+                best = np.minimum.reduceat(places[a : a + STEP][:, group], starts, axis=1)
+                s = y @ x.T / (ny[a : a + STEP, None] * nx[None, :])
+                for place in np.unique(best[best < none]):
+                    mine = np.where(best == place, s, -np.inf)
+                    least = np.partition(mine, -k, axis=1)[:, -k] if mine.shape[1] > k else np.full(len(mine), -np.inf)
+                    i, j = np.nonzero((mine >= (least - 1e-8)[:, None]) & (mine > -np.inf))
+                    for column, values in zip(out, (i + a, j, np.full(len(i), place), (x[j] * y[i]).sum(axis=1) / (nx[j] * ny[i + a]))):
+                        column.append(values)
+        q, v, place, score = map(np.concatenate, out)
+        return pa.table({"question_id": asked.column("question_id").take(pa.array(q)), "place": pa.array(place, pa.int32()), key: items.column("item").take(pa.array(v)), "score": score})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return left.groupBy("block", "pack").cogroup(right.groupBy("b", "p")).applyInArrow(run, f"question_id {kind(questions, 'question_id')}, place int, {key} {kind(items, key)}, score double")
+
+
 def _ranked(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), *keys)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
@@ -163,14 +211,23 @@ def told(edges: DataFrame, values: DataFrame) -> DataFrame:
     return written(lines.withColumn("vec", models.embed(F.col("fact"))).drop("kind"))
 
 
-#: Parts of a question's facts that are cut to the first ones before all of them are.
-PARTS = 64
+#: Parts of a question's facts that are cut to the first ones before all of them are; ids of a range whose facts are counted.
+PARTS, RANGE = 64, 1024
 
 
 def facts(near: DataFrame, lines: DataFrame, most: int = RANKED) -> DataFrame:
-    """question_id, fact_id: lines whose nodes are all in the neighbourhood, the first `most` of each question."""
-    a, b = near.withColumnRenamed("node", "a"), near.withColumnRenamed("node", "b")
-    inside = lines.select("fact_id", "a", "b").join(a, "a").join(b, ["question_id", "b"]).select("question_id", "fact_id")
+    """question_id, fact_id: lines whose nodes are all in the neighbourhood, the first `most` of each question.
+
+    Counts by ranges of ids say in which range a question's last fact is; lines beyond it do not meet the question.
+    """
+    b = near.select("question_id", F.col("node").alias("b"))
+    ranged = lines.select("fact_id", "a", "b", F.expr(f"fact_id div {RANGE}").alias("range"))
+    counts = ranged.groupBy("a", "b", "range").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(near.withColumnRenamed("node", "a"), "a").join(b, ["question_id", "b"]).groupBy("question_id", "range").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("question_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).groupBy("question_id").agg(F.max("range").alias("last"))
+    a = written(near.join(last, "question_id").select("question_id", F.col("node").alias("a"), "last"))
+    inside = ranged.join(a, (ranged.a == a.a) & (F.col("range") <= F.col("last"))).select("question_id", "b", "fact_id").join(b, ["question_id", "b"]).select("question_id", "fact_id")
     part = Window.partitionBy("question_id", F.pmod("fact_id", F.lit(PARTS))).orderBy("fact_id")
     first = inside.withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)  # so that no task orders a hub's facts alone
     return first.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("fact_id"))).where(F.col("n") <= most).select("question_id", "fact_id")
@@ -195,11 +252,14 @@ def searched(questions: DataFrame, corpus: Corpus) -> Found:
         near = near.unionByName(learned(start, near, corpus.vectors)).distinct()
     near = written(near)
     lines = corpus.facts if corpus.facts is not None else told(corpus.edges, corpus.values)
-    best = best_of(facts(near, lines), lines.select("fact_id", "vec"), asked, "fact_id", FACTS)
+    own = written(facts(near, lines))
+    best = best_of(own, lines.select("fact_id", "vec").join(own.select("fact_id").distinct(), "fact_id", "left_semi"), asked, "fact_id", FACTS)
     top = written(_ranked(best.join(lines.select("fact_id", "node", "chunk_id", "fact"), "fact_id"), ["fact", "chunk_id"], FACTS))
-    ground = graphs.grounding(corpus.edges, corpus.values, corpus.chunks).join(near, "node").select("question_id", "chunk_id").distinct()
-    ground = ground.join(top.select("question_id").distinct(), "question_id", "left_semi")  # no facts, no answer
-    chunks = _ranked(best_of(ground, corpus.chunk_vectors(), asked, "chunk_id", CHUNKS), ["chunk_id"], CHUNKS)
+    ground = graphs.grounding(corpus.edges, corpus.values, corpus.chunks).groupBy("chunk_id").agg(F.collect_set("node").alias("groups"))  # a chunk's nodes
+    ground = corpus.chunk_vectors().join(ground, "chunk_id")
+    mine = near.join(top.select("question_id").distinct(), "question_id", "left_semi")  # no facts, no answer
+    mine = mine.groupBy("question_id").agg(F.collect_set("node").alias("groups")).withColumn("places", F.transform("groups", lambda g: F.lit(1))).join(asked, "question_id")
+    chunks = _ranked(best_of_groups(ground, mine, "chunk_id", CHUNKS).drop("place"), ["chunk_id"], CHUNKS)
     return Found(start, near, top, written(chunks.join(corpus.chunks.select("chunk_id", "text"), "chunk_id")))
 
 
@@ -249,12 +309,12 @@ def overall(questions: DataFrame, corpus: Corpus, top: DataFrame | None = None)
     top = best_communities(questions, corpus) if top is None else top
     ends = corpus.edges.select(F.explode(F.array("src", "dst")).alias("node"), "chunk_id").unionByName(corpus.values.select("node", "chunk_id")).distinct()
     own = corpus.communities.where("level = 0").select("community", F.explode("members").alias("node")).join(ends, "node").select("community", "chunk_id").distinct()
-    mine = top.join(own, "community").groupBy("question_id", "chunk_id").agg(F.min("place").alias("place"))  # a chunk belongs to the best summary that has it
-    # A question beside one of its summaries asks for chunks of its own.
-    both = F.to_json(F.struct("question_id", "place")).alias("part")
-    asked = _asked(questions).join(top.select("question_id", "place"), "question_id").select(both.alias("question_id"), "q")
-    s = _ranked(best_of(mine.select(both.alias("question_id"), "chunk_id"), corpus.chunk_vectors(), asked, "chunk_id", PER_SUMMARY), ["chunk_id"], PER_SUMMARY)
-    s = s.select(F.col("question_id").alias("part"), "chunk_id", "score", F.col("rank").alias("n")).join(top.select(both, "question_id", "place"), "part").drop("part")
+    items = corpus.chunk_vectors().join(own.groupBy("chunk_id").agg(F.collect_set("community").alias("groups")), "chunk_id")  # a chunk's communities
+    # A chunk belongs to the best summary that has it, and each summary has chunks of its own.
+    mine = top.groupBy("question_id").agg(F.collect_list(F.struct("community", "place")).alias("t"))  # SUMMARIES
+    mine = mine.select("question_id", F.transform("t", lambda x: x["community"]).alias("groups"), F.transform("t", lambda x: x["place"]).alias("places")).join(_asked(questions), "question_id")
+    n = F.row_number().over(Window.partitionBy("question_id", "place").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
+    s = best_of_groups(items, mine, "chunk_id", PER_SUMMARY).withColumn("n", n).where(F.col("n") <= PER_SUMMARY)
     w = Window.partitionBy("question_id").orderBy("place", "n")
     return s.withColumn("rank", F.row_number().over(w).cast("long")).select("question_id", "rank", "chunk_id", "score")
 
