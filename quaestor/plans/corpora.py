@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import models
 from quaestor.operators import chunking, context, engines, ivf, postings, service
 from quaestor.sources import filings, state
-from quaestor.sources.tables import derived, table
+from quaestor.sources.tables import derived, table, written
 
 
 def context_budget(spark, d):
@@ -119,7 +119,8 @@ def answers(spark, d):
     """The whole way: hybrid evidence, bounded context, extractive answer."""
     corpus = _corpus(spark, d)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    ev = engines.evidence(q, corpus, "hybrid").join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
+    ev = written(engines.evidence(q, corpus, "hybrid").select("question_id", "rank", "chunk_id"))
+    ev = corpus.chunks.select("chunk_id", "text").join(ev, "chunk_id")
     prompts = context.assembled(ev.select("question_id", "rank", "text"), "question_id", "rank").join(q, "question_id")
     return models.answer(prompts, models.Extractive()).select("question_id", "answer", "cut")
 
