@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import models
 from quaestor.functions import text as T
+from quaestor.sources.tables import written
 
 #: Fixed values of the model and its training.
 DIM, LAYERS, EPOCHS, RATE, DROPOUT, CORRUPTED, HELD, HELD_FROM, DECAY = 48, 2, 120, 0.02, 0.1, 2, 0.15, 20, 1e-5
 RELATIONS = (*(name for name, _ in T.PREDICATES), "other")
 #: Links that the weights are fitted on at most.
 EDGES = 100_000
+#: The kind of a node's link to itself; nodes of a block, whose sums a task holds; links that it adds up at a time.
+OWN, BLOCK, STEP = -1, 200_000, 8192
 
 
 @dataclass
@@ -147,34 +150,100 @@ def trained(nodes: DataFrame, edges: DataFrame, most: int = EDGES, epochs: int =
     return fit(x, np.array([(place[e.src], e.rel, place[e.dst]) for e in rows]), epochs)
 
 
+def packed(nodes: DataFrame, edges: DataFrame, blocks: int) -> DataFrame:
+    """src, rel, block, dsts: a source's links of one kind to nodes of one block. Kind OWN is each node's link to itself."""
+
+    def pack(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            if b.num_rows:
+                keys = [b.column(c) for c in ("src", "rel", "block")]
+                new = np.logical_or.reduce([np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), True)) for c in keys])
+                at = np.concatenate(([0], np.flatnonzero(new) + 1))
+                dsts = pa.ListArray.from_arrays(pa.array(np.append(at, b.num_rows), pa.int32()), b.column("dst"))
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in keys], dsts], ["src", "rel", "block", "dsts"])
+
+    own = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(OWN).alias("rel"))
+    e = links(edges).unionByName(own).withColumn("block", F.pmod(F.xxhash64("dst"), F.lit(blocks)).cast("int"))
+    return e.repartition("src").sortWithinPartitions("src", "rel", "block").mapInArrow(pack, "src string, rel int, block int, dsts array<string>")
+
+
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _lists(h: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.ravel()))
+
+
+def _said(weights: dict[int, np.ndarray]):
+    """What a source tells a block's nodes: one vector for all its links of a kind."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                h, rel = _matrix(b.column("h")), np.asarray(b.column("rel"))
+                v = np.empty_like(h)
+                for r in np.unique(rel):
+                    v[rel == r] = h[rel == r] @ weights[r]
+                yield pa.RecordBatch.from_arrays([b.column("block"), b.column("rel"), b.column("dsts"), _lists(v)], ["block", "rel", "dsts", "v"])
+
+    return run
+
+
+def _summed(batches):
+    """node, h of one block of nodes: the sums of what they are told, a step of links at a time."""
+    import pyarrow as pa
+
+    place: dict[str, int] = {}
+    z, own = np.zeros((1024, DIM)), np.zeros(1024, bool)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, v, rel = b.column("dsts"), _matrix(b.column("v")), np.asarray(b.column("rel"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(names.offsets)))
+        to = np.array([place.setdefault(n, len(place)) for n in names.flatten().to_pylist()])
+        if len(place) > len(z):
+            more = max(len(place) - len(z), len(z))
+            z, own = np.concatenate((z, np.zeros((more, DIM)))), np.concatenate((own, np.zeros(more, bool)))
+        own[to[rel[row] == OWN]] = True
+        for at in range(0, len(to), STEP):
+            order = np.argsort(to[at : at + STEP], kind="stable") + at
+            t = to[order]
+            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            z[t[first]] += np.add.reduceat(v[row[order]], first, axis=0)
+    names = list(place)
+    for at in range(0, len(names), STEP):
+        keep = np.flatnonzero(own[: len(names)][at : at + STEP]) + at
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), _lists(np.maximum(z[keep], 0))], ["node", "h"])
+
+
 def vectors(nodes: DataFrame, edges: DataFrame, model: Model) -> DataFrame:
-    """node, embedding of every node: a layer is a join, sums by target and relation, and products in Arrow batches."""
+    """node, embedding of every node (nodes come once each).
+
+    Nodes fall into blocks by hash. A source sends a block one vector for each kind of link, with the names of those it goes to,
+    instead of one for each link; the block's task adds them up. Links are packed so once, for all layers.
+    """
     w = model.weights
 
     def project(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = np.array(b.column("x").to_pylist(), np.float64).reshape(b.num_rows, -1)
-            h = x @ w["in"] + w["bias"] if b.num_rows else np.zeros((0, DIM))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(h), pa.list_(pa.float64()))], ["node", "h"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("node"), _lists(_matrix(b.column("x")) @ w["in"] + w["bias"])], ["node", "h"])
 
     h = features(nodes).mapInArrow(project, "node string, h array<double>")
-    e = links(edges)
+    blocks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // BLOCK))
+    e = written(packed(nodes, edges, blocks))
     for k in range(LAYERS):
-        said = h.select(F.col("node").alias("src"), *[F.col("h")[i].alias(f"h{i}") for i in range(DIM)])
-        sums = e.join(said, "src").groupBy(F.col("dst").alias("node"), "rel").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(DIM)])
-        sums = sums.select("node", F.struct("rel", F.array(*[f"h{i}" for i in range(DIM)]).alias("v")).alias("m")).groupBy("node").agg(F.collect_list("m").alias("m"))  # a row for each relation
-
-        def step(batches, own=w[f"self{k}"], by=w[f"by{k}"]):
-            import pyarrow as pa
-
-            for b in batches:
-                z = np.array(b.column("h").to_pylist(), np.float64).reshape(-1, DIM) @ own
-                for i, m in enumerate(b.column("m").to_pylist()):
-                    for x in m or ():
-                        z[i] += np.array(x["v"]) @ by[x["rel"]]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(np.maximum(z, 0)), pa.list_(pa.float64()))], ["node", "h"])
-
-        h = h.join(sums, "node", "left").select("node", "h", "m").mapInArrow(step, "node string, h array<double>")
+        said = h.withColumnRenamed("node", "src").join(e, "src").select("block", "rel", "dsts", "h")
+        said = said.mapInArrow(_said({OWN: w[f"self{k}"], **dict(enumerate(w[f"by{k}"]))}), "block int, rel int, dsts array<string>, v array<double>")
+        h = said.repartitionById(blocks, "block").mapInArrow(_summed, "node string, h array<double>")
     return h.select("node", F.col("h").alias("embedding"))

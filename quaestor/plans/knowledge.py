@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaestor.operators import build, engines, judging, questions, reports, rgcn, summaries
 from quaestor.plans import corpora
 from quaestor.sources import datasets
-from quaestor.sources.tables import table
+from quaestor.sources.tables import table, written
 
 # -- a graph of nations: companies by declaration, their region as segment, their keys as values
 
@@ -81,8 +81,10 @@ def community_summaries(spark, d):
 
 def rgcn_vectors(spark, d):
     """Vectors of suppliers and parts after training on their links."""
-    ps = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.lit("sells").alias("predicate")).distinct()
+    ps = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.lit("sells").alias("predicate"))
+    ps = written(ps.distinct())  # read for the fit, the nodes and the vectors
     nodes = ps.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.substring("node", 1, 1).alias("type"), F.lit("").alias("description"))
+    nodes = written(nodes)
     model = rgcn.trained(nodes, ps, most=2000, epochs=20)
     return rgcn.vectors(nodes, ps, model).select("node", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0], 4).alias("first"))
 
