@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaestor.operators import community, html, numeric, resolve, tables
-from quaestor.sources.tables import table
+from quaestor.sources.tables import table, written
 from quaestor.streaming import streams
 
 
@@ -41,7 +41,8 @@ def parse_tables(spark, d):
 
 
 def cell_facts(spark, d):
-    return tables.facts(tables.cells(_documents(spark, d))).select("doc_id", "chunk_id", "subject", "predicate", "object", "evidence")
+    cells = written(tables.cells(_documents(spark, d)))  # read for the facts and for what a company reports
+    return tables.facts(cells).select("doc_id", "chunk_id", "subject", "predicate", "object", "evidence")
 
 
 def cell_metrics(spark, d):
