@@ -229,6 +229,7 @@ def vectors(nodes: DataFrame, edges: DataFrame, model: Model) -> DataFrame:
 
     Nodes fall into blocks by hash. A source sends a block one vector for each kind of link, with the names of those it goes to,
     instead of one for each link; the block's task adds them up. Links are packed so once, for all layers.
+    Vectors are larger than the files they are estimated by, so they are never broadcast.
     """
     w = model.weights
 
@@ -243,7 +244,7 @@ def vectors(nodes: DataFrame, edges: DataFrame, model: Model) -> DataFrame:
     blocks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // BLOCK))
     e = written(packed(nodes, edges, blocks))
     for k in range(LAYERS):
-        said = h.withColumnRenamed("node", "src").join(e, "src").select("block", "rel", "dsts", "h")
+        said = h.withColumnRenamed("node", "src").hint("merge").join(e, "src").select("block", "rel", "dsts", "h")
         said = said.mapInArrow(_said({OWN: w[f"self{k}"], **dict(enumerate(w[f"by{k}"]))}), "block int, rel int, dsts array<string>, v array<double>")
         h = said.repartitionById(blocks, "block").mapInArrow(_summed, "node string, h array<double>")
     return h.select("node", F.col("h").alias("embedding"))
