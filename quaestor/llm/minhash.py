@@ -36,7 +36,7 @@ COMPONENTS, BANDS, ROWS = 128, 25, 5
 #: Longs of a parity sketch: 64 bits each.
 SKETCH = 16
 #: Points that are drawn at a time: what a worker's memory holds.
-POINTS = 1 << 19
+POINTS = 1 << 17
 #: Pairs of one node that are compared in one task.
 TOGETHER = 2048
 GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -88,9 +88,10 @@ class Codec:
 
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         import ahocorasick
 
+        self.remember = remember
         model, settings = read_model(path)
         if settings != SETTINGS:
             raise ValueError(f"a model of other settings: {sorted(k for k in SETTINGS if settings[k] != SETTINGS[k])}")
@@ -112,12 +113,9 @@ class Codec:
         #: The next shorter piece that a piece starts with.
         self.shorter = {i: next((made[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in made), -1) for p, i in made.items()}
         self.compatible = lru_cache(PAIRS)(self._compatible)
-        self.memory: dict[str, tuple[str, int, str | None]] = {}
-        self.older: dict[str, tuple[str, int, str | None]] = {}
-
-    def forget(self) -> None:
-        self.memory, self.older = {}, {}
-        self.compatible.cache_clear()
+        #: What `_segment` says of a segment.
+        self.memory: dict[str, bytes | tuple[bytes, str]] = {}
+        self.older: dict[str, bytes | tuple[bytes, str]] = {}
 
     # -- merging, the definition
 
@@ -190,11 +188,13 @@ class Codec:
 
     # -- texts
 
-    def _segment(self, s: str) -> tuple[str, int, str | None]:
-        """Ids of one segment, joined by commas; their number; the decoded segment, None if its pieces spell it as it is."""
+    def _segment(self, s: str) -> bytes | tuple[bytes, str]:
+        """Ids of one segment, joined by commas; with the decoded segment, unless its pieces spell it as it is.
+
+        Plain bytes, as hundreds of thousands of them are remembered.
+        """
         if self.chars.issuperset(s):
-            ids = self.encode_run(s)
-            return ",".join([self.digits[i] for i in ids]), len(ids), None
+            return ",".join([self.digits[i] for i in self.encode_run(s)]).encode()
         ids: list[int] = []
         known: list[str] = []
 
@@ -210,7 +210,7 @@ class Codec:
                 flush()
                 ids.extend(self.byte.get(b, self.unknown) for b in c.encode())
         flush()
-        return ",".join(map(str, ids)), len(ids), self.pieces_text(ids)
+        return ",".join(map(str, ids)).encode(), self.pieces_text(ids)
 
     def pieces_text(self, ids: list[int]) -> str:
         """Pieces' text and bytes, before the leading space goes; bytes that are no UTF-8 become U+FFFD one by one."""
@@ -242,22 +242,25 @@ class Codec:
         """The text's ids joined by commas, their number, and the decoded text."""
         if not text:
             return "", 0, ""
-        if len(self.memory) > REMEMBER // 2:  # what is asked for again moves on, the rest goes
+        if len(self.memory) > self.remember // 2:  # what is asked for again moves on, the rest goes
             self.memory, self.older = {}, self.memory
         memory, older = self.memory, self.older
         parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-        got = []
-        for s in parts:
-            x = memory.get(s)
-            if x is None:
-                x = older.get(s) or self._segment(s)
-                if len(s) < 64:
-                    memory[s] = x
-            got.append(x)
-        ids, numbers, texts = zip(*got, strict=True)
-        plain = texts.count(None) == len(texts)
-        text = "".join(parts) if plain else "".join([p if t is None else t for p, t in zip(parts, texts, strict=True)])
-        return ",".join(ids), sum(numbers), text.replace(SPACE, " ")[1:]
+        got = list(map(memory.get, parts))
+        if None in got:
+            for k, x in enumerate(got):
+                if x is None:
+                    s = parts[k]
+                    got[k] = x = memory.get(s) or older.get(s) or self._segment(s)
+                    if len(s) < 64:
+                        memory[s] = x
+        if tuple in set(map(type, got)):
+            both = [x if type(x) is tuple else (x, p) for p, x in zip(parts, got, strict=True)]
+            got, text = [x for x, _ in both], "".join([t for _, t in both]).replace(SPACE, " ")[1:]
+        else:
+            text = text.replace(SPACE, " ")
+        ids = b",".join(got)
+        return ids.decode(), ids.count(b",") + 1, text
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.run(text)[0]
@@ -269,8 +272,8 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, remember: int = REMEMBER) -> Codec:
+    return Codec(path, remember)
 
 
 def encode_column(docs: DataFrame, path: str) -> DataFrame:
@@ -280,7 +283,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         c = codec(path)
-        only("pieces", c.forget)
+        only("pieces", codec.cache_clear)
         for b in batches:
             ids = [c.encode(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -289,15 +292,16 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
 
 
-def digest_column(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
+def digest_column(docs: DataFrame, path: str, remember: int = REMEMBER) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text. remember: segments that a worker keeps; no result depends on it."""
 
     def run(batches):
         import pyarrow as pa
 
-        c, sha = codec(path), lambda s: hashlib.sha256(s.encode()).hexdigest()
-        only("pieces", c.forget)
+        c, sha = codec(path, remember), lambda s: hashlib.sha256(s.encode()).hexdigest()
+        only("pieces", codec.cache_clear)
         for b in batches:
+            pa.default_memory_pool().release_unused()
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
