@@ -23,7 +23,7 @@ def test_a_remembered_segment_takes_few_bytes():
         c.run(t)
     each = tracemalloc.get_traced_memory()[0] / len(c.memory)
     tracemalloc.stop()
-    assert len(c.memory) > 19_000 and each < 240
+    assert len(c.memory) > 19_000 and each < 180
 
 
 def test_few_remembered_segments_change_no_result():
