@@ -85,7 +85,7 @@ def rgcn_vectors(spark, d):
     ps = written(ps.distinct())  # read for the fit, the nodes and the vectors
     nodes = ps.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.substring("node", 1, 1).alias("type"), F.lit("").alias("description"))
     nodes = written(nodes)
-    model = rgcn.trained(nodes, ps, most=2000, epochs=20)
+    model = rgcn.trained(nodes, ps, epochs=20)
     return rgcn.vectors(nodes, ps, model).select("node", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0], 4).alias("first"))
 
 
